@@ -77,6 +77,11 @@ def clean(text: Column) -> Column:
     return strip_punctuation(trim_lines(cut_at_marker(text)))
 
 
+def words_of(text: Column) -> Column:
+    """The words of `clean(text)`. Trimming lines changes no word, so that step is left out."""
+    return tokens(strip_punctuation(cut_at_marker(text)))
+
+
 def tokens(text: Column) -> Column:
     """Whitespace-separated words."""
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda word: word != "")
@@ -90,6 +95,12 @@ def _is_content_word(code: str):
     return lambda word: ~word.isin(STOP_WORDS[code])
 
 
+def stop_words_of_any(words: Column) -> Column:
+    """The words that are a stop word of some language: all that a vote needs to read."""
+    every = sorted({word for listed in STOP_WORDS.values() for word in listed})
+    return F.filter(words, lambda word: word.isin(every))
+
+
 def language(words: Column) -> Column:
     """The language whose stop words occur most often among `words`."""
     ballots = [

@@ -88,6 +88,8 @@ def embed(
     so cosines of it are exact, and a text without words is a zero vector.
     """
     encode = _modelled(model) if model else _hashed(width)
+    # Keeps the optimizer from copying the encoder into filters that it pushes down.
+    encode = encode.asNondeterministic()
     return df.withColumn(into, encode(F.col(text)))
 
 

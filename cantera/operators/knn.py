@@ -251,6 +251,8 @@ def _hits(name: str, best: Best, qid: str, id: str) -> pa.RecordBatch:
 
 
 def _broadcasted(spark, small, points, k, filters, qid, id, key_type) -> DataFrame:
+    # A list without queries needs no column of the points.
+    small = [item for item in small if len(item[2].vectors)] or small[:1]
     shared = spark.sparkContext.broadcast(small)
     vectors = sorted({vector for _, vector, _ in small})
 
@@ -265,6 +267,11 @@ def _broadcasted(spark, small, points, k, filters, qid, id, key_type) -> DataFra
             yield _hits(name, best, qid, id)
 
     narrow = points.select(F.col(id).cast("long"), *vectors, *filters)
+    for at, column in enumerate(filters):
+        if all(wanted[at] is not None for _, _, queries in small for wanted in queries.groups):
+            # Every query constrains the column, so the scan need not read other rows.
+            values = sorted({value for _, _, queries in small for value in queries.values[at]})
+            narrow = narrow.filter(F.col(column).isin(values))
     return narrow.mapInArrow(scan, _hit_schema(qid, id, key_type))
 
 

@@ -22,9 +22,13 @@ def detect_language(
     """
     if detector is not None:
         return df.withColumn(into, detector)
-    # As a column of its own the word list is computed once and read by every vote.
-    words = df.withColumn("__tokens", X.tokens(F.col(text)))
-    return words.withColumn(into, X.language(F.col("__tokens"))).drop("__tokens")
+    return _voted(df.withColumn("__tokens", X.tokens(F.col(text))), into).drop("__tokens")
+
+
+def _voted(df: DataFrame, into: str) -> DataFrame:
+    # As columns of their own the word lists are computed once and read by every vote.
+    voters = df.withColumn("__voters", X.stop_words_of_any(F.col("__tokens")))
+    return voters.withColumn(into, X.language(F.col("__voters"))).drop("__voters")
 
 
 def drop_stopwords(df: DataFrame, text: str, language: str, into: str = "words") -> DataFrame:
@@ -35,7 +39,6 @@ def drop_stopwords(df: DataFrame, text: str, language: str, into: str = "words")
 
 def prepare_lyrics(df: DataFrame, text: str, into: str = "words") -> DataFrame:
     """Clean, detect, filter: the text that is embedded, null for a null lyric."""
-    cleaned = df.withColumn("__tokens", X.tokens(X.clean(F.col(text))))
-    voted = cleaned.withColumn("__language", X.language(F.col("__tokens")))
+    voted = _voted(df.withColumn("__tokens", X.words_of(F.col(text))), "__language")
     filtered = voted.withColumn(into, X.without_stop_words(F.col("__tokens"), F.col("__language")))
     return filtered.drop("__tokens", "__language")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cantera.functions import text as X
 from cantera.operators import embedding, knn
+from cantera.session import shared_folder
 
 # Fields that may be constrained, and the fields of a result.
 FILTERS = ("genre", "key", "bpm")
@@ -29,24 +30,25 @@ def valid_requests(requests: DataFrame) -> DataFrame:
 
 def phrase_vectors(requests: DataFrame, width: int = embedding.WIDTH, model=None) -> DataFrame:
     """Add the `vector` of the phrase. A model gets the phrase as written, hashing its words."""
-    words = F.col("query") if model else F.array_join(X.tokens(X.clean(F.col("query"))), " ")
+    words = F.col("query") if model else F.array_join(X.words_of(F.col("query")), " ")
     return embedding.embed(requests.withColumn("_phrase", words), "_phrase", width, model).drop("_phrase")
 
 
 def reference_songs(requests: DataFrame, points: DataFrame, small: bool = False) -> DataFrame:
     """(qid, ref_id): the song that artist and title of the request name, the smallest id of it.
 
-    Points are only read for id, artist and title. Songs of one name are reduced to their
-    smallest id before the shuffle. `small` says that the number of requests was checked.
+    Points are only read for id, artist and title. `small` says that the number of requests
+    was checked: their names are broadcast and only matching songs are reduced. Otherwise
+    songs are reduced to one id per name before the shuffle, so a name that very many songs
+    bear is no hot spot.
     """
     named = requests.filter(F.col("artist_ref").isNotNull() & F.col("title_ref").isNotNull())
-    asked = named.select(F.col("artist_ref").alias("artist"), F.col("title_ref").alias("title")).distinct()
-    songs = points.select("id", "artist", "title")
-    matched = songs.join(F.broadcast(asked) if small else asked, ["artist", "title"])
-    found = matched.groupBy(F.col("artist").alias("artist_ref"), F.col("title").alias("title_ref")).agg(
-        F.min("id").alias("ref_id")
-    )
-    return named.select("qid", "artist_ref", "title_ref").join(found, ["artist_ref", "title_ref"]).select("qid", "ref_id")
+    songs = points.select(F.col("artist").alias("artist_ref"), F.col("title").alias("title_ref"), "id")
+    names = ["artist_ref", "title_ref"]
+    if small:
+        songs = songs.join(F.broadcast(named.select(names).distinct()), names)
+    found = songs.groupBy(names).agg(F.min("id").alias("ref_id"))
+    return named.select("qid", *names).join(found, names).select("qid", "ref_id")
 
 
 def sound_queries(requests: DataFrame, points: DataFrame, small: bool = False) -> DataFrame:
@@ -87,7 +89,8 @@ def fused_search(
     # The number of requests decides whether what grows with them may be broadcast.
     small = valid.select("qid").limit(max_requests + 1).count() <= max_requests
     # Written once: both the sound list and the self exclusion read it.
-    sounds = _cut(sound_queries(valid, points, small))
+    shared_folder(points.sparkSession)
+    sounds = sound_queries(valid, points, small).checkpoint()
     hits = knn.search_lists(
         [
             knn.SearchList("lyrics", phrase_vectors(valid, width, model), "lyrics_vector"),
@@ -102,13 +105,6 @@ def fused_search(
     return with_payload(ranked, points, small)
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from cantera.session import shared_folder
-
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def without_reference(hits: DataFrame, refs: DataFrame, small: bool = False) -> DataFrame:
     """Drop the reference song from the sound list."""
     own = refs.select("qid", F.col("ref_id").alias("id"), F.lit("track").alias("list"))

@@ -11,7 +11,7 @@ from cantera.plans.relational_queries import PROGRESS_SQL, progress_updates
 from cantera.plans.vector_queries import LYRIC_WORDS_SQL
 from cantera.session import new_path
 from cantera.streaming import progress, publish
-from cantera.tables import read
+from cantera.tables import read, spread
 
 DOCUMENTS = "doc_id BIGINT, text STRING, lang STRING, source STRING"
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
@@ -32,7 +32,7 @@ def stream_publish(spark, folder):
 
     def prepare(batch):
         nothing = {c: F.lit(None).cast("string") for c in ("album", "mbid", "link", "genre")}
-        songs = batch.join(tracks, "doc_id", "left").select(
+        songs = spread(batch).join(tracks, "doc_id", "left").select(
             F.col("doc_id").alias("id"),
             "track_vector",
             F.col("source").alias("artista"),
