@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -64,15 +63,17 @@ def _word_hash(word: str, known: dict[str, int]) -> int:
 def _modelled(model: Callable[[], Callable[[list[str]], np.ndarray]]):
     """`model()` is called once per task and returns the encoder of a list of texts."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = model()
         for texts in batches:
-            filled = texts.dropna()
-            vectors = np.asarray(encoder(filled.tolist()), np.float32) if len(filled) else []
-            yield pd.Series(list(vectors), index=filled.index, dtype=object).reindex(texts.index)
-
-    return encode
+            filled = texts.drop_null().to_pylist()
+            vectors = np.asarray(encoder(filled) if filled else np.zeros((0, 0)), np.float32)
+            nulls = pc.is_null(texts)
+            widths = np.where(nulls.to_numpy(zero_copy_only=False), 0, vectors.shape[1])
+            offsets = pa.array(np.r_[0, np.cumsum(widths)].astype(np.int32))
+            yield pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()), mask=nulls)
+
+    return F.arrow_udf(encode, "array<float>")
 
 
 def embed(

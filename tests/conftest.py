@@ -8,7 +8,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
 # Workers import the package too, whatever folder the tests are started from.
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH")]))
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH")]))
 
 from cantera.session import build_session  # noqa: E402
 
