@@ -1,8 +1,10 @@
 """Loads, updates, deletes and existence checks, each over a whole batch.
 
 Wherever a join only asks whether a key exists, the asked side is first reduced to its
-distinct keys. That reduction starts before the shuffle, so a key that fills a third of a
-table arrives as one row per task, and the join reuses its partitioning.
+distinct keys. That reduction starts before the shuffle, so a key that fills a third of the
+asked table arrives as one row per task. The asking side may have such a key as well: Spark
+splits it at run time, for which both sides have to be shuffled for the join itself
+(`reshuffled`). Sides known to be unique by the key skip that second shuffle of keys.
 """
 
 from __future__ import annotations
@@ -19,14 +21,35 @@ def keys_of(df: DataFrame, keys: Sequence[str], names: Sequence[str] | None = No
     return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names or keys)]).distinct()
 
 
-def existing(batch: DataFrame, target: DataFrame, keys: Sequence[str], target_keys: Sequence[str] | None = None) -> DataFrame:
-    """The rows of `batch` whose key is in `target`; null keys never are."""
-    return batch.join(keys_of(target, target_keys or keys, keys), list(keys), "left_semi")
+def reshuffled(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same rows, their place by `keys` forgotten.
+
+    After an aggregation by the keys Spark would join in place, and then cannot split a
+    partition whose other side is skewed. Only worth it for narrow rows.
+    """
+    return df.withColumns({k: F.greatest(k, k) for k in keys})
+
+
+def existing(
+    batch: DataFrame, target: DataFrame, keys: Sequence[str], target_keys: Sequence[str] | None = None, unique: bool = False
+) -> DataFrame:
+    """The rows of `batch` whose key is in `target`; null keys never are.
+
+    `unique` says that no key of `batch` has very many rows.
+    """
+    return batch.join(_asked(target, keys, target_keys, unique), list(keys), "left_semi")
 
 
-def absent(batch: DataFrame, target: DataFrame, keys: Sequence[str], target_keys: Sequence[str] | None = None) -> DataFrame:
+def absent(
+    batch: DataFrame, target: DataFrame, keys: Sequence[str], target_keys: Sequence[str] | None = None, unique: bool = False
+) -> DataFrame:
     """The rows of `batch` whose key is not in `target`; null keys never match, so they stay."""
-    return batch.join(keys_of(target, target_keys or keys, keys), list(keys), "left_anti")
+    return batch.join(_asked(target, keys, target_keys, unique), list(keys), "left_anti")
+
+
+def _asked(target: DataFrame, keys: Sequence[str], target_keys: Sequence[str] | None, unique: bool) -> DataFrame:
+    asked = keys_of(target, target_keys or keys, keys)
+    return asked if unique else reshuffled(asked, keys)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -43,7 +66,7 @@ def insert_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], orde
     """
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     first = first_per_key(batch.filter(~null_key), keys, order)
-    return absent(first, target, keys).unionByName(batch.filter(null_key))
+    return absent(first, target, keys, unique=True).unionByName(batch.filter(null_key))
 
 
 def ensure_columns(df: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
@@ -94,7 +117,7 @@ def upsert(current: DataFrame, new: DataFrame, key: str, order: Sequence[Column]
     With `order`, the first row of each key in `new` counts; without, `new` is unique by key.
     """
     incoming = first_per_key(new, [key], order) if order else new
-    return absent(current, incoming, [key]).unionByName(incoming)
+    return absent(current, incoming, [key], unique=True).unionByName(incoming)
 
 
 def cascade_delete(
@@ -106,7 +129,7 @@ def cascade_delete(
     """
     survivors, gone, gone_key = [], deleted, deleted.columns[0]
     for rows, key, parent in levels:
-        dead = keys_of(gone, [gone_key], ["_dead"])
+        dead = reshuffled(keys_of(gone, [gone_key], ["_dead"]), ["_dead"])
         survivors.append(rows.join(dead, rows[parent] == dead["_dead"], "left_anti"))
         gone = rows.join(dead, rows[parent] == dead["_dead"], "left_semi")
         gone_key = key
@@ -131,7 +154,7 @@ def missing_lyrics(
     costs the same on every page.
     """
     held = lyrics.filter(F.col("letra").isNotNull())
-    missing = absent(songs, held, ["id"], ["id_cancion"])
+    missing = absent(songs, held, ["id"], ["id_cancion"], unique=True)
     if after_id is not None:
         missing = missing.filter(F.col("id") > after_id)
     if limit is None:
@@ -177,4 +200,4 @@ def present(df: DataFrame, column: str) -> DataFrame:
 def publish_queue(songs: DataFrame, published: DataFrame, key: str, vectors: Sequence[str]) -> DataFrame:
     """Songs with all their vectors that have not been published."""
     complete = reduce(lambda a, b: a & b, [F.col(v).isNotNull() for v in vectors])
-    return absent(songs.filter(complete), published, [key])
+    return absent(songs.filter(complete), published, [key], unique=True)

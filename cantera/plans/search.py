@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cantera.functions import text as X
 from cantera.operators import embedding, knn
+from cantera.operators.relational import reshuffled
 from cantera.session import shared_folder
 
 # Fields that may be constrained, and the fields of a result.
@@ -48,7 +49,7 @@ def reference_songs(requests: DataFrame, points: DataFrame, small: bool = False)
     if small:
         songs = songs.join(F.broadcast(named.select(names).distinct()), names)
     found = songs.groupBy(names).agg(F.min("id").alias("ref_id"))
-    return named.select("qid", *names).join(found, names).select("qid", "ref_id")
+    return named.select("qid", *names).join(reshuffled(found, names), names).select("qid", "ref_id")
 
 
 def sound_queries(requests: DataFrame, points: DataFrame, small: bool = False) -> DataFrame:

@@ -26,26 +26,36 @@ def payload() -> Column:
     return F.struct(*[F.col(column).alias(field) for field, column in PAYLOAD.items()])
 
 
-def to_points(songs: DataFrame) -> DataFrame:
+def to_points(songs: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
     """(id, track_vector, lyrics_vector, payload, reason) of catalogue rows.
 
-    `reason` is null for rows that can be published; a song whose patches cannot be averaged
-    or whose lyric vector is empty says why instead.
+    `reason` is null for rows that can be published; a song whose patches cannot be averaged,
+    or that has a vector missing or of another width than `widths`, says why instead.
     """
     pooled = pool_nested(songs, "track_vector", "_pooled")
+    columns = {"track_vector": F.col("_pooled"), "lyrics_vector": F.col("letra_vec").cast("array<float>")}
     checks = {
         "track vector is empty or ragged": F.coalesce(F.size("_pooled") == 0, F.lit(True)),
         "lyrics vector is empty": F.coalesce(F.size("letra_vec") == 0, F.lit(True)),
     }
+    for name, width in (widths or {}).items():
+        checks[f"{name} is not {width} wide"] = F.size(columns[name]) != width
     return tag_rejected(pooled, checks).select(
-        "id",
-        F.col("_pooled").alias("track_vector"),
-        F.col("letra_vec").cast("array<float>").alias("lyrics_vector"),
-        payload().alias("payload"),
-        "reason",
+        "id", *[column.alias(name) for name, column in columns.items()], payload().alias("payload"), "reason"
     )
 
 
+def declare(points: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """Note the width and metric of the vectors in the schema, which Parquet keeps."""
+    noted = {name: {"width": width, "metric": "cosine"} for name, width in widths.items()}
+    return points.select(*[F.col(c).alias(c, metadata=noted[c]) if c in noted else F.col(c) for c in points.columns])
+
+
+def declared(points: DataFrame) -> dict[str, int]:
+    """The widths noted by `declare`."""
+    return {f.name: f.metadata["width"] for f in points.schema if "width" in f.metadata}
+
+
 def flat(points: DataFrame) -> DataFrame:
     """Points with their payload fields as columns, the form that search reads."""
     return points.select("id", "track_vector", "lyrics_vector", "payload.*")

@@ -32,16 +32,18 @@ def publish_stream(
     checkpoint: str,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     max_files: int = 1000,
+    widths: dict[str, int] | None = None,
 ) -> StreamingQuery:
     """Publish the Parquet files at `source` that were not published yet, then stop.
 
-    `prepare` turns source rows into catalogue rows with both vectors.
+    `prepare` turns source rows into catalogue rows with both vectors. `widths` are those of
+    the point table; vectors of another width are rejected.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def publish(batch: DataFrame, number: int) -> None:
-        points = to_points(prepare(batch) if prepare else batch)
+        points = to_points(prepare(batch) if prepare else batch, widths)
         stamped = points.withColumns(
             {"published_at": F.current_timestamp(), "rejected": F.col("reason").isNotNull()}
         )

@@ -230,3 +230,48 @@ def test_collection_from_responses(spark):
 def test_schemas_are_readable(spark):
     for name, ddl in SCHEMAS.items():
         assert spark.createDataFrame([], ddl).columns, name
+
+
+@pytest.fixture()
+def splitting(spark):
+    """Thresholds at which Spark splits a hot key already in a small test."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def stored(spark, tmp_path, name, df):
+    df.repartition(8).write.parquet(str(tmp_path / name))
+    return spark.read.parquet(str(tmp_path / name))
+
+
+@pytest.mark.parametrize("operator", [R.existing, R.absent])
+def test_hot_key_on_either_side(spark, splitting, tmp_path, operator):
+    """A third of both tables is one key: the asked side shrinks, the asking side is split."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(4)).otherwise(F.col("id"))
+    batch = stored(spark, tmp_path, "batch", spark.range(300000).select(hot.alias("k"), F.col("id").alias("v")))
+    target = stored(spark, tmp_path, "target", spark.range(0, 300000, 2).select(hot.alias("k")))
+    result = operator(batch, target, ["k"]).agg(F.count("v").alias("n"))
+    n = result.collect()[0].n
+    there = {4 if i % 3 == 0 else i for i in range(0, 300000, 2)}
+    want = sum((4 if i % 3 == 0 else i) in there for i in range(300000))
+    assert n == (want if operator is R.existing else 300000 - want)
+    assert "skew=true" in result._jdf.queryExecution().executedPlan().toString()
+
+
+def test_song_artist_splits_a_hot_artist(spark, splitting, tmp_path):
+    hot = F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 5000)
+    songs = stored(spark, tmp_path, "songs", spark.range(300000).select("id", hot.alias("id_artista"), F.lit("t").alias("cancion")))
+    artists = stored(spark, tmp_path, "artists", spark.range(5000).select("id", F.col("id").cast("string").alias("nombre")))
+    result = R.song_artist(songs, artists).agg(F.count("nombre").alias("n"), F.sum("id"))
+    assert result.collect()[0].n == 300000
+    assert "skew=true" in result._jdf.queryExecution().executedPlan().toString()

@@ -151,3 +151,24 @@ def test_points_from_patches(spark):
     assert made[2].track_vector == [1.0, 2.0] and made[2].reason is None
     assert {made[i].reason for i in (3, 4)} == {"track vector is empty or ragged"}
     assert made[5].reason == "lyrics vector is empty"
+
+
+def test_other_widths_are_rejected_and_widths_are_kept(spark):
+    schema = SCHEMAS["lyrics_database"]
+    names = [name.split()[0] for name in schema.split(", ")]
+    base = dict.fromkeys(names)
+    songs = [{**base, "id": i, "track_vector": [[1.0] * n], "letra_vec": [1.0]} for i, n in ((1, 2), (2, 3))]
+    df = spark.createDataFrame([tuple(s[n] for n in names) for s in songs], schema)
+    made = points.to_points(df, {"track_vector": 2, "lyrics_vector": 1})
+    assert {r.id: r.reason for r in made.collect()} == {1: None, 2: "track_vector is not 2 wide"}
+    path = new_path(spark, "points")
+    points.declare(made, {"track_vector": 2, "lyrics_vector": 1}).write.parquet(path)
+    assert points.declared(spark.read.parquet(path)) == {"track_vector": 2, "lyrics_vector": 1}
+
+
+def test_append_adds_rows(spark):
+    path = new_path(spark, "results")
+    df = spark.createDataFrame([(1, "x")], "id INT, letra STRING")
+    sinks.append(df, path)
+    sinks.append(df, path)
+    assert scan.scan_parquet(spark, path).count() == 2
