@@ -1,4 +1,4 @@
-"""Lyric cleaning, stop words and the other text expressions.
+"""Lyric cleaning and the other text expressions; the word lists of `functions.stopwords`.
 
 All of them are JVM-side column expressions. Patterns avoid `\\s`, `\\w` and `.`, whose
 meaning differs between regex engines.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 CUT_MARKER = "____"
 SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
+NO_WORD = f"[^{WORD}{SPACE}]"
 LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # The characters of SPACE one by one, for trimming.
 SPACE_CHARACTERS = (
@@ -69,7 +70,7 @@ def trim_lines(text: Column) -> Column:
 
 
 def strip_punctuation(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), f"[^{WORD}{SPACE}]", "")
+    return F.regexp_replace(F.lower(text), NO_WORD, "")
 
 
 def clean(text: Column) -> Column:
@@ -87,42 +88,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda word: word != "")
 
 
-def _is_stop_word(code: str):
-    return lambda word: word.isin(STOP_WORDS[code])
-
-
-def _is_content_word(code: str):
-    return lambda word: ~word.isin(STOP_WORDS[code])
-
-
-def stop_words_of_any(words: Column) -> Column:
-    """The words that are a stop word of some language: all that a vote needs to read."""
-    every = sorted({word for listed in STOP_WORDS.values() for word in listed})
-    return F.filter(words, lambda word: word.isin(every))
-
-
-def language(words: Column) -> Column:
-    """The language whose stop words occur most often among `words`."""
-    ballots = [
-        F.struct(
-            F.size(F.filter(words, _is_stop_word(code))).alias("votes"),
-            F.lit(-place).alias("place"),
-            F.lit(code).alias("code"),
-        )
-        for place, code in enumerate(VOTE_ORDER)
-    ]
-    winner = F.array_max(F.array(*ballots)).getField("code")
-    return F.when(words.isNull(), F.lit(DEFAULT_LANGUAGE)).otherwise(winner)
-
-
-def without_stop_words(words: Column, code: Column) -> Column:
-    """`words` less the stop words of `code`, joined by one space."""
-    chosen = F.filter(words, _is_content_word(DEFAULT_LANGUAGE))
-    for listed in FILTER_LISTS:
-        chosen = F.when(code == listed, F.filter(words, _is_content_word(listed))).otherwise(chosen)
-    return F.array_join(chosen, " ")
-
-
 def strip_annotations(text: Column) -> Column:
     """Delete `(...)` and `[...]` within a line; the brackets need not match."""
     return F.regexp_replace(text, ANNOTATION, "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cantera.functions import stopwords
 from cantera.functions import text as X
 
 
@@ -18,27 +19,19 @@ def detect_language(
     """Add the language of a cleaned text.
 
     The default is the stop-word vote; `detector` takes any other column expression, such as
-    a pandas UDF around a language model.
+    a UDF around a language model.
     """
-    if detector is not None:
-        return df.withColumn(into, detector)
-    return _voted(df.withColumn("__tokens", X.tokens(F.col(text))), into).drop("__tokens")
-
-
-def _voted(df: DataFrame, into: str) -> DataFrame:
-    # As columns of their own the word lists are computed once and read by every vote.
-    voters = df.withColumn("__voters", X.stop_words_of_any(F.col("__tokens")))
-    return voters.withColumn(into, X.language(F.col("__voters"))).drop("__voters")
+    return df.withColumn(into, stopwords.vote(text) if detector is None else detector)
 
 
 def drop_stopwords(df: DataFrame, text: str, language: str, into: str = "words") -> DataFrame:
     """Add the words of a cleaned text that are not stop words of its language."""
-    words = df.withColumn("__tokens", X.tokens(F.col(text)))
-    return words.withColumn(into, X.without_stop_words(F.col("__tokens"), F.col(language))).drop("__tokens")
+    return df.withColumn(into, stopwords.remove(text, language))
 
 
 def prepare_lyrics(df: DataFrame, text: str, into: str = "words") -> DataFrame:
-    """Clean, detect, filter: the text that is embedded, null for a null lyric."""
-    voted = _voted(df.withColumn("__tokens", X.words_of(F.col(text))), "__language")
-    filtered = voted.withColumn(into, X.without_stop_words(F.col("__tokens"), F.col("__language")))
-    return filtered.drop("__tokens", "__language")
+    """Clean, detect, filter in one pass: the text that is embedded, null for a null lyric.
+
+    Trimming lines changes no word, so that step is left out.
+    """
+    return df.withColumn(into, stopwords.vote_and_remove(F.lower(X.cut_at_marker(F.col(text)))))

@@ -17,7 +17,7 @@ def new_artists(artists: DataFrame, pages: DataFrame, response: str, query: str)
     """Artists to append, from collected pages of names; the id is a hash of the name."""
     names = responses.explode_hits(pages, response, "artists", "name", keep=(query, "page"), into="nombre")
     fresh = relational.insert_absent(artists, names, ["nombre"], [F.asc("page")])
-    return fresh.select(F.xxhash64("nombre").alias("id"), "nombre", F.col(query).alias("query"))
+    return fresh.select(F.xxhash64("nombre").alias("id"), "nombre", F.col(query).alias("query"), "page")
 
 
 def new_songs(songs: DataFrame, found: DataFrame, response: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cantera.functions import text as X
 from cantera.operators import lyrics as L
+from cantera.plans import catalogue
 from cantera.plans import standins as S
 from cantera.plans.registry import query
 from cantera.session import new_path
@@ -210,3 +211,38 @@ def parse_requests(spark, folder):
     phrase = F.when(F.col("artist_ref").isNotNull(), F.col("query")).alias("query")
     texts_ = S.requests(spark, folder).select("qid", F.to_json(F.struct(phrase, *fields)).alias("request"))
     return responses.parse_requests(texts_, "request", ("qid",))
+
+
+@query(
+    "collect_artists",
+    """
+SELECT name AS nombre, min(doc_id) AS page FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS name FROM documents)
+WHERE name <> '' AND name NOT IN (SELECT unnest(string_split(text, chr(10))) FROM benchmark) GROUP BY name
+""",
+)
+def collect_artists(spark, folder):
+    """A page of names per document, one name per line; the benchmark's lines are stored already."""
+    names = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("name")))
+    pages = texts(spark, folder).select(
+        F.col("doc_id").alias("page"), F.lit("a").alias("query"), F.to_json(F.struct(names.alias("artists"))).alias("body")
+    )
+    stored = read(spark, folder, "benchmark").select(F.explode(F.split("text", "\n")).alias("nombre"))
+    return catalogue.new_artists(stored, pages, "body", "query").select("nombre", "page")
+
+
+@query(
+    "collect_songs",
+    """
+SELECT conv_id AS id_artista, title AS cancion FROM (
+  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS title FROM conversations WHERE role <> 'system')
+WHERE title <> '' AND (conv_id, title) NOT IN (
+  SELECT (conv_id, unnest(string_split(text, chr(10)))) FROM conversations WHERE turn = 0)
+GROUP BY conv_id, title
+""",
+)
+def collect_songs(spark, folder):
+    """Search responses per artist, here a conversation; the lines of first turns are stored already."""
+    stored = read(spark, folder, "conversations").filter("turn = 0")
+    stored = stored.select(F.col("conv_id").alias("id_artista"), F.explode(F.split("text", "\n")).alias("cancion"))
+    found = search_responses(spark, folder).withColumnsRenamed({"conv_id": "id_artista", "turn": "artista"})
+    return catalogue.new_songs(stored, found, "body").select("id_artista", "cancion")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cantera.functions import vectors as V
 from cantera.operators import ann, embedding, knn
 from cantera.operators import lyrics as L
 from cantera.operators import relational as R
@@ -17,6 +18,7 @@ from cantera.sources import sinks
 from cantera.tables import read, spread
 
 LYRIC_WORDS_SQL = f"SELECT id, string_split(words, ' ') AS words FROM ({S.prepared_sql('documents', 'doc_id', 'text')}) WHERE words <> ''"
+COSINE_SQL = """list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"""
 PHRASE_WORDS_SQL = f"SELECT item_id AS id, {S.tokens_sql(S.clean_sql('text'))} AS words FROM benchmark"
 
 
@@ -71,6 +73,24 @@ def mean_pool(spark, folder):
     return entries.select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
+@query(
+    "cosine_to_mean",
+    f"""
+WITH m AS (SELECT label, list(x ORDER BY pos) AS mean FROM (
+  SELECT label, pos, avg(x) AS x FROM (
+    SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding::DOUBLE[]) AS x FROM embeddings)
+  GROUP BY label, pos) GROUP BY label)
+SELECT vec_id AS id, round({COSINE_SQL.format(a='embedding::DOUBLE[]', b='mean')}, 6) AS score FROM embeddings JOIN m USING (label)
+""",
+)
+def cosine_to_mean(spark, folder):
+    """How close each vector is to the mean of its label."""
+    songs = vectors(spark, folder)
+    means = embedding.mean_pool(songs, "label", "track_vector", "mean").drop("patches")
+    score = V.cosine(F.col("track_vector"), F.col("mean"))
+    return songs.join(R.reshuffled(means, ["label"]), "label").select("id", F.round(score, 6).alias("score"))
+
+
 @query(
     "pool_nested",
     """
@@ -154,7 +174,6 @@ lyric_scores AS MATERIALIZED (
   SELECT qn.id AS qid, dn.id AS id, coalesce(dots.dot, 0) / (sqrt(qn.n) * sqrt(dn.n)) AS score
   FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.qid = qn.id AND dots.id = dn.id)"""
 
-COSINE_SQL = """list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"""
 
 
 def rounded(hits):
