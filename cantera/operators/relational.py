@@ -58,15 +58,21 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
 
 
-def insert_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def insert_absent(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[Column], null_keys: str = "keep"
+) -> DataFrame:
     """The rows to append: new keys only, the first of each by `order`.
 
-    Equal to inserting one row after the other if absent: a null key equals nothing, so each
-    such row is new.
+    Equal to inserting one row after the other if absent. A null key equals nothing, so each
+    such row is new, which takes a second look at the batch; `null_keys="drop"` leaves those
+    rows out and is for batches that have none.
     """
+    if null_keys not in ("keep", "drop"):
+        raise ValueError(f"unknown null_keys {null_keys}")
     null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     first = first_per_key(batch.filter(~null_key), keys, order)
-    return absent(first, target, keys, unique=True).unionByName(batch.filter(null_key))
+    new = absent(first, target, keys, unique=True)
+    return new if null_keys == "drop" else new.unionByName(batch.filter(null_key))
 
 
 def ensure_columns(df: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from cantera.tables import GATES
 def new_artists(artists: DataFrame, pages: DataFrame, response: str, query: str) -> DataFrame:
     """Artists to append, from collected pages of names; the id is a hash of the name."""
     names = responses.explode_hits(pages, response, "artists", "name", keep=(query, "page"), into="nombre")
-    fresh = relational.insert_absent(artists, names, ["nombre"], [F.asc("page")])
+    fresh = relational.insert_absent(artists, names, ["nombre"], [F.asc("page")], "drop")
     return fresh.select(F.xxhash64("nombre").alias("id"), "nombre", F.col(query).alias("query"), "page")
 
 
@@ -25,7 +25,7 @@ def new_songs(songs: DataFrame, found: DataFrame, response: str) -> DataFrame:
     titles = responses.explode_hits(
         found, response, "response.hits", "result.title", keep=("id_artista", "artista"), into="cancion"
     )
-    fresh = relational.insert_absent(songs, titles, ["id_artista", "cancion"], [F.asc("artista")])
+    fresh = relational.insert_absent(songs, titles, ["id_artista", "cancion"], [F.asc("artista")], "drop")
     return fresh.select(F.xxhash64("id_artista", "cancion").alias("id"), "id_artista", "artista", "cancion")
 
 

@@ -46,9 +46,9 @@ SELECT 'artist', c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHER
 def exists_semi(spark, folder):
     songs = S.songs(spark, folder)
     stored = read(spark, folder, "orders").filter("o_orderstatus = 'F'")
-    with_lyric = R.existing(songs, S.lyrics(spark, folder), ["id"], ["id_cancion"])
+    with_lyric = R.existing(songs, S.lyrics(spark, folder), ["id"], ["id_cancion"], unique=True)
     saved = R.existing(songs, stored, ["id_artista", "cancion"], ["o_custkey", "o_orderpriority"])
-    with_song = R.existing(S.artists(spark, folder), songs, ["id"], ["id_artista"])
+    with_song = R.existing(S.artists(spark, folder), songs, ["id"], ["id_artista"], unique=True)
     levels = {"lyric": with_lyric, "song": saved, "artist": with_song}
     rows = [df.select(F.lit(level).alias("level"), "id") for level, df in levels.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -145,7 +145,7 @@ WHERE c_name NOT IN (SELECT c_name FROM customer WHERE c_acctbal >= 0) GROUP BY
 def insert_new_artists(spark, folder):
     stored = read(spark, folder, "customer").filter("c_acctbal >= 0").select(F.col("c_name").alias("nombre"))
     batch = R.song_artist(S.songs(spark, folder), S.artists(spark, folder)).select("nombre", F.col("id").alias("first_page"))
-    return R.insert_absent(stored, batch, ["nombre"], [F.asc("first_page")])
+    return R.insert_absent(stored, batch, ["nombre"], [F.asc("first_page")], "drop")
 
 
 @query(
@@ -163,7 +163,7 @@ def insert_new_songs(spark, folder):
     lines = read(spark, folder, "lineitem", "l_suppkey", "l_partkey", "l_shipdate", "l_returnflag").join(titles, "l_partkey")
     found = lines.select(F.col("l_suppkey").alias("id_artista"), "cancion", F.col("l_shipdate").alias("fecha"), "l_returnflag")
     stored = found.filter("l_returnflag = 'R'")
-    fresh = R.insert_absent(stored, found.drop("l_returnflag"), ["id_artista", "cancion"], [F.asc("fecha")])
+    fresh = R.insert_absent(stored, found.drop("l_returnflag"), ["id_artista", "cancion"], [F.asc("fecha")], "drop")
     return fresh.select("id_artista", "cancion", C.format_date(F.col("fecha")).alias("fecha"))
 
 

@@ -36,9 +36,13 @@ FROM lineitem
 """
 
 
-def catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """Songs with lyric, tempo, key, genre and, where there is one, a track vector."""
-    documents = spread(read(spark, folder, "documents", "doc_id", "text", "lang", "source"))
+def catalogue(spark: SparkSession, folder: str, heavy: bool = False) -> DataFrame:
+    """Songs with lyric, tempo, key, genre and, where there is one, a track vector.
+
+    `heavy` announces expensive work per song.
+    """
+    documents = read(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    documents = spread(documents) if heavy else documents
     labels = read(spark, folder, "labels", "doc_id", "quality")
     vectors = read(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("track_vector"))
     joined = documents.join(labels, "doc_id", "left").join(vectors, "doc_id", "left")

@@ -196,7 +196,7 @@ def lyrics_knn(spark, folder):
 def sounds(spark, folder):
     """The track vector of the song with the id of each benchmark item."""
     songs = vectors(spark, folder).select(F.col("id").alias("qid"), F.col("track_vector").alias("vector"))
-    return R.existing(songs, read(spark, folder, "benchmark"), ["qid"], ["item_id"])
+    return R.existing(songs, read(spark, folder, "benchmark"), ["qid"], ["item_id"], unique=True)
 
 
 TRACK_TOP_SQL = f"""
@@ -228,7 +228,7 @@ PASSES_SQL = """(r.genre = '' OR r.genre IS NULL OR r.genre = p.genre) AND (r.ke
 
 def points(spark, folder):
     """Published songs: both vectors and the payload as columns."""
-    songs = vectorise(S.catalogue(spark, folder).filter("track_vector IS NOT NULL"))
+    songs = vectorise(S.catalogue(spark, folder, heavy=True).filter("track_vector IS NOT NULL"))
     return songs.select(
         "id",
         "track_vector",

@@ -20,8 +20,8 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def new_documents(landed: DataFrame, documents: DataFrame, id: str, order: Sequence[Column]) -> DataFrame:
-    """The documents to land: ids not landed yet, each once."""
-    return insert_absent(landed, documents, [id], order)
+    """The documents to land: ids not landed yet, each once. A document without id is none."""
+    return insert_absent(landed, documents, [id], order, "drop")
 
 
 def append_documents(documents: DataFrame, path: str) -> None:
