@@ -283,16 +283,20 @@ def _replicated(item: SearchList, queries, points, k, filters, qid, id, max_quer
     """
     spark = points.sparkSession
     blocks = max(1, -(-2 * queries.count() // max_queries))
-    cells = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Enough groups for every task; more cells would only copy the queries more often.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(1, -(-2 * tasks // blocks))
     key_type = queries.schema[qid].dataType
     name = item.name
+    elements = {queries.schema[item.query_vector].dataType.elementType, points.schema[item.vector].dataType.elementType}
+    wide = "array<float>" if elements == {T.FloatType()} else "array<double>"
     asked = queries.select(
         F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
         F.lit(0).alias("side"),
         F.col(qid),
         F.lit(None).cast("long").alias(id),
-        F.col(item.query_vector).cast("array<double>").alias("vector"),
+        F.col(item.query_vector).cast(wide).alias("vector"),
         *[F.col(name).cast(points.schema[name].dataType) for name in filters],
     )
     scanned = points.filter(F.col(item.vector).isNotNull()).select(
@@ -301,7 +305,7 @@ def _replicated(item: SearchList, queries, points, k, filters, qid, id, max_quer
         F.lit(1).alias("side"),
         F.lit(None).cast(key_type).alias(qid),
         F.col(id).cast("long").alias(id),
-        F.col(item.vector).cast("array<double>").alias("vector"),
+        F.col(item.vector).cast(wide).alias("vector"),
         *filters,
     )
 
@@ -329,5 +333,6 @@ def _replicated(item: SearchList, queries, points, k, filters, qid, id, max_quer
             yield _hits(name, best, qid, id)
 
     both = asked.unionByName(scanned)
-    grouped = both.repartition("block", "cell").sortWithinPartitions("block", "cell", "side")
+    # A given number of partitions is not coalesced by size: the work is in the products.
+    grouped = both.repartition(tasks, "block", "cell").sortWithinPartitions("block", "cell", "side")
     return grouped.mapInArrow(meet, _hit_schema(qid, id, key_type))

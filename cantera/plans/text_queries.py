@@ -47,14 +47,16 @@ def strip_annotations(spark, folder):
     return texts(spark, folder).select("doc_id", X.strip_annotations(F.col("text")).alias("stripped"))
 
 
+# The pages use four entities; a title cut short may end in one without its semicolon.
 @query(
     "lyrics_from_html",
     r"""
 SELECT page_id, CASE WHEN article IS NULL THEN 'no lyric' ELSE 'found' END AS status,
        array_to_string(list_filter(string_split(regexp_replace(decoded, '[\(\[][^\n]*?[\)\]]', '', 'g'), chr(10)), lambda x: x <> ''), chr(10)) AS letra
 FROM (SELECT page_id, article,
-        replace(replace(replace(replace(array_to_string(list_filter(string_split_regex(article, '<[^>]*>'), lambda x: x <> ''), chr(10)),
-          '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS decoded
+        regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+          array_to_string(list_filter(string_split_regex(article, '<[^>]*>'), lambda x: x <> ''), chr(10)),
+          '&quot;?', '"', 'g'), '&middot;?', '·', 'g'), '&copy;?', '©', 'g'), '&amp;?', '&', 'g') AS decoded
       FROM (SELECT page_id, nullif(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '') AS article FROM pages))
 """,
 )
