@@ -57,7 +57,22 @@ def sound_queries(requests: DataFrame, points: DataFrame, small: bool = False) -
     refs = reference_songs(requests, points, small)
     wanted = refs.join(requests.select("qid", *FILTERS), "qid")
     sounds = points.select(F.col("id").alias("ref_id"), F.col("track_vector").alias("vector"))
-    return sounds.join(F.broadcast(wanted) if small else wanted, "ref_id")
+    return _fetched(sounds, wanted, "ref_id", small)
+
+
+def _fetched(songs: DataFrame, wanted: DataFrame, key: str, small: bool) -> DataFrame:
+    """`songs` joined to the rows of `wanted`.
+
+    When these are few, their ids are named in a filter as well. It reaches the scan, so that
+    files sorted by id give up only the pages that hold one, whatever the other columns weigh.
+    """
+    if not small:
+        return songs.join(wanted, key)
+    shared_folder(songs.sparkSession)
+    wanted = wanted.checkpoint()
+    ids = [str(row[key]) for row in wanted.select(key).distinct().collect()]
+    named = F.expr(f"{key} IN ({', '.join(ids)})") if ids else F.lit(False)
+    return songs.filter(named).join(F.broadcast(wanted), key)
 
 
 def fuse(hits: DataFrame, top_k: int, weight: float = 0.5) -> DataFrame:
@@ -115,8 +130,7 @@ def without_reference(hits: DataFrame, refs: DataFrame, small: bool = False) ->
 def with_payload(ranked: DataFrame, points: DataFrame, small: bool = False) -> DataFrame:
     """Join the payload to the few ranked rows and name the result fields."""
     songs = points.select("id", "artist", "title", F.col("lyric").alias("letra"), "album", "mbid", "bpm", "key", "genre", "link")
-    rows = songs.join(F.broadcast(ranked) if small else ranked, "id")
-    return rows.withColumn("score", F.round("score", 4)).select("qid", "id", "lists", *RESULT)
+    return _fetched(songs, ranked, "id", small).withColumn("score", F.round("score", 4)).select("qid", "id", "lists", *RESULT)
 
 
 def displayed(results: DataFrame, absent: str = "N/A") -> DataFrame:

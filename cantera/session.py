@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Fetching the few songs of a result names their ids to the scan, one by one.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "32768",
 }
 
 

@@ -48,7 +48,8 @@ def publish_stream(
             {"published_at": F.current_timestamp(), "rejected": F.col("reason").isNotNull()}
         )
         folder = f"{target}/run={run}/batch={number}"
-        stamped.write.mode("overwrite").partitionBy("rejected").parquet(folder)
+        # Sorted by id, a file lets a search fetch single songs by page.
+        stamped.sortWithinPartitions("rejected", "id").write.mode("overwrite").partitionBy("rejected").parquet(folder)
 
     return (
         rows.writeStream.foreachBatch(publish)
@@ -84,4 +85,5 @@ def compact(spark: SparkSession, target: str, into: str) -> None:
     newest = published(spark, target).withColumns(
         {"reason": F.lit(None).cast("string"), "published_at": F.current_timestamp(), "rejected": F.lit(False)}
     )
-    newest.write.mode("errorifexists").partitionBy("rejected").parquet(f"{into}/run=compacted/batch=0")
+    ranged = newest.repartitionByRange("id").sortWithinPartitions("rejected", "id")
+    ranged.write.mode("errorifexists").partitionBy("rejected").parquet(f"{into}/run=compacted/batch=0")

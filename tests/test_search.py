@@ -259,3 +259,33 @@ def test_phrase_alone_scores_half(spark, case):
     assert len(hits) == 5 and all(h.score <= 0.5 and h.lists == 1 for h in hits)
     shown = search.displayed(search.fused_search(r, p, model=length_model)).first()
     assert shown.album == "N/A" and shown.link == "u"
+
+
+def test_result_songs_are_fetched_by_id(spark, case, tmp_path):
+    """On a stored table the ids of the ranked songs reach the scan of the payload."""
+    points, requests = case
+    names = [column.split()[0] for column in POINT.split(", ")]
+    df = spark.createDataFrame([tuple(point[n] for n in names) for point in points], POINT)
+    df.sortWithinPartitions("id").write.parquet(str(tmp_path / "points"))
+    stored = spark.read.parquet(str(tmp_path / "points"))
+    names = [column.split()[0] for column in REQUEST.split(", ")]
+    r = spark.createDataFrame([tuple(request[n] for n in names) for request in requests[:3]], REQUEST)
+    found = search.fused_search(r, stored, model=length_model)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(id," in plan or "In(id, [" in plan
+    assert found.count() > 0
+
+
+def test_a_name_that_a_third_of_the_songs_bear(spark):
+    points = spark.range(3000).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, "Unknown").otherwise(F.concat(F.lit("a"), F.col("id"))).alias("artist"),
+        F.when(F.col("id") % 3 == 0, "Track 1").otherwise(F.lit("t")).alias("title"),
+    )
+    requests = spark.createDataFrame(
+        [(1, "Unknown", "Track 1"), (2, "a7", "t"), (3, "a7", "T"), (4, None, "t"), (5, "Unknown", "Track 1")],
+        "qid BIGINT, artist_ref STRING, title_ref STRING",
+    )
+    for small in (True, False):
+        got = sorted(map(tuple, search.reference_songs(requests, points, small).collect()))
+        assert got == [(1, 0), (2, 7), (5, 0)]
