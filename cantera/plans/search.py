@@ -52,26 +52,34 @@ def reference_songs(requests: DataFrame, points: DataFrame, small: bool = False)
     return named.select("qid", *names).join(reshuffled(found, names), names).select("qid", "ref_id")
 
 
-def sound_queries(requests: DataFrame, points: DataFrame, small: bool = False) -> DataFrame:
-    """(qid, ref_id, vector, filters): the sound of each request's reference song."""
+def sound_queries(requests: DataFrame, points: DataFrame, small: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(qid, ref_id) of the reference songs, and (qid, vector, filters) with their sound."""
     refs = reference_songs(requests, points, small)
-    wanted = refs.join(requests.select("qid", *FILTERS), "qid")
+    wanted = _settled(refs.join(requests.select("qid", *FILTERS), "qid"), small)
     sounds = points.select(F.col("id").alias("ref_id"), F.col("track_vector").alias("vector"))
-    return _fetched(sounds, wanted, "ref_id", small)
+    sounds = _fetched(sounds, wanted, "ref_id", small)
+    return wanted.select("qid", "ref_id"), sounds if small else _settled(sounds, small)
+
+
+def _settled(df: DataFrame, small: bool) -> DataFrame:
+    """Computed once, because several parts of the plan read it: a few narrow rows per request
+    as a local table while the requests are few, a checkpoint in the shared folder otherwise."""
+    if small:
+        return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def _fetched(songs: DataFrame, wanted: DataFrame, key: str, small: bool) -> DataFrame:
-    """`songs` joined to the rows of `wanted`.
+    """`songs` joined to the settled rows of `wanted`.
 
     When these are few, their ids are named in a filter as well. It reaches the scan, so that
     files sorted by id give up only the pages that hold one, whatever the other columns weigh.
     """
     if not small:
         return songs.join(wanted, key)
-    shared_folder(songs.sparkSession)
-    wanted = wanted.checkpoint()
-    ids = [str(row[key]) for row in wanted.select(key).distinct().collect()]
-    named = F.expr(f"{key} IN ({', '.join(ids)})") if ids else F.lit(False)
+    ids = sorted({row[0] for row in wanted.select(key).collect()})
+    named = F.expr(f"{key} IN ({', '.join(map(str, ids))})") if ids else F.lit(False)
     return songs.filter(named).join(F.broadcast(wanted), key)
 
 
@@ -104,9 +112,7 @@ def fused_search(
     valid = valid_requests(requests)
     # The number of requests decides whether what grows with them may be broadcast.
     small = valid.select("qid").limit(max_requests + 1).count() <= max_requests
-    # Written once: both the sound list and the self exclusion read it.
-    shared_folder(points.sparkSession)
-    sounds = sound_queries(valid, points, small).checkpoint()
+    refs, sounds = sound_queries(valid, points, small)
     hits = knn.search_lists(
         [
             knn.SearchList("lyrics", phrase_vectors(valid, width, model), "lyrics_vector"),
@@ -117,7 +123,7 @@ def fused_search(
         FILTERS,
         max_queries=max_requests,
     )
-    ranked = fuse(without_reference(hits, sounds, small), top_k, weight)
+    ranked = _settled(fuse(without_reference(hits, refs, small), top_k, weight), small)
     return with_payload(ranked, points, small)
 
 
