@@ -2,8 +2,10 @@
 
 The table is a log: every micro-batch appends its points under its own folder, and the
 newest version of a song counts. Publishing costs what the batch holds, not what the table
-holds; `compact` folds the log when there are many batches. A batch that is repeated after
-a failure overwrites its own folder, and the checkpoint records it only after the write.
+holds. `compact` folds the log into a base; publishing then goes on into a new log with the
+same checkpoint, and a reader gives both. Reading shuffles the log only: songs of the base
+stay in place, less those that the log replaces. A batch that is repeated after a failure
+overwrites its own folder, and the checkpoint records it only after the write.
 """
 
 from __future__ import annotations
@@ -11,11 +13,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cantera.operators.relational import first_per_key
+from cantera.operators.relational import absent, first_per_key
 from cantera.sources.points import to_points
 from cantera.tables import SCHEMAS
 
@@ -65,14 +68,24 @@ def publish_available(*args, **options) -> None:
 
 
 def _log(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(target)
+    try:
+        return spark.read.schema(LOG_SCHEMA).parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Nothing has been published there yet.
+        return spark.createDataFrame([], LOG_SCHEMA)
 
 
-def published(spark: SparkSession, target: str) -> DataFrame:
-    """The newest point of every song."""
+def published(spark: SparkSession, target: str, base: str | None = None) -> DataFrame:
+    """The newest point of every song in the log `target`, and of `base` where the log has none."""
     accepted = _log(spark, target).filter(~F.col("rejected"))
     newest = first_per_key(accepted, ["id"], [F.desc("published_at"), F.desc("batch")])
-    return newest.drop("reason", "rejected", "run", "batch", "published_at")
+    newest = newest.drop("reason", "rejected", "run", "batch", "published_at")
+    if base is None:
+        return newest
+    kept = absent(spark.read.schema(SCHEMAS["points"]).parquet(base), accepted, ["id"], unique=True)
+    return kept.unionByName(newest)
 
 
 def rejected(spark: SparkSession, target: str) -> DataFrame:
@@ -80,10 +93,7 @@ def rejected(spark: SparkSession, target: str) -> DataFrame:
     return _log(spark, target).filter("rejected").select("id", "reason", "batch")
 
 
-def compact(spark: SparkSession, target: str, into: str) -> None:
-    """Write the newest points as one batch to a new folder, to be used instead of the log."""
-    newest = published(spark, target).withColumns(
-        {"reason": F.lit(None).cast("string"), "published_at": F.current_timestamp(), "rejected": F.lit(False)}
-    )
-    ranged = newest.repartitionByRange("id").sortWithinPartitions("rejected", "id")
-    ranged.write.mode("errorifexists").partitionBy("rejected").parquet(f"{into}/run=compacted/batch=0")
+def compact(spark: SparkSession, target: str, into: str, base: str | None = None) -> None:
+    """Write the newest points to the new folder `into`, each file a range of ids in order."""
+    newest = published(spark, target, base)
+    newest.repartitionByRange("id").sortWithinPartitions("id").write.mode("errorifexists").parquet(into)

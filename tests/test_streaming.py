@@ -67,15 +67,25 @@ def test_new_checkpoint_publishes_again_without_duplicates(spark, places):
     assert first == again and batches(spark, target) == 2
 
 
-def test_compacted_log_reads_the_same(spark, places):
+def test_publishing_goes_on_after_compaction(spark, places):
     source, target, checkpoint = places
     for title in ("a", "b"):
         songs(spark, song(1, title, [[1.0]]), song(2, title, [[2.0]])).write.mode("append").parquet(source)
         run(spark, places)
-    into = new_path(spark, "compacted")
-    publish.compact(spark, target, into)
-    assert publish._log(spark, into).count() == 2
-    assert sorted(r.id for r in publish.published(spark, into).filter("payload.title = 'b'").collect()) == [1, 2]
+    base, later = new_path(spark, "base"), new_path(spark, "target")
+    publish.compact(spark, target, base)
+    titles = lambda: {r.id: r.payload.title for r in publish.published(spark, later, base).collect()}
+    assert spark.read.parquet(base).count() == 2 and titles() == {1: "b", 2: "b"}
+    songs(spark, song(2, "c", [[2.0]]), song(3, "c", [[3.0]])).write.mode("append").parquet(source)
+    publish.publish_available(spark, source, SONG, later, checkpoint)
+    assert titles() == {1: "b", 2: "c", 3: "c"} and publish._log(spark, later).count() == 2
+    again = new_path(spark, "base")
+    publish.compact(spark, later, again, base)
+    assert spark.read.parquet(again).count() == 3
+
+
+def test_nothing_published_yet(spark):
+    assert publish.published(spark, new_path(spark, "none")).count() == 0
 
 
 UPDATES = "task_type STRING, current_offset INT, total_items INT, last_processed_id INT, status STRING, error_message STRING, updated_at TIMESTAMP_NTZ, n INT"
