@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 import check
+from cantera.plans.registry import QUERIES, SQL
 from conftest import SMALL
 
 
@@ -12,14 +13,14 @@ def duck():
     return check.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_equals_sql(spark, duck, name):
     good, message = check.compare(spark, duck, SMALL, name)
     assert good, message
 
 
 def test_only_the_iterative_query_lacks_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"ann_knn"}
+    assert set(QUERIES) - set(SQL) == {"ann_knn"}
 
 
 def test_entry(spark):
@@ -27,7 +28,7 @@ def test_entry(spark):
     assert result.columns[:3] == ["qid", "id", "lists"] and result.count() > 0
 
 
-PLANNED = [name for name in entry.queries() if "stream" not in name]
+PLANNED = [name for name in QUERIES if "stream" not in name]
 
 
 @pytest.mark.parametrize("name", PLANNED)
