@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import quality, sharding, urls
+from public_tokenizers import path as public_file
+
+from cantera.llm import langid, licenses, packing, quality, sharding, urls
 from cantera.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,3 +140,21 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.is_held_out()), public_file("piece_bpe_32k.model"))
+    told = langid.identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", langid.is_held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
