@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as public_file
 
-from cantera.llm import langid, licenses, packing, quality, sharding, urls
+from cantera.llm import langid, licenses, packing, quality, sharding, simhash, urls
 from cantera.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,11 @@ FROM verdicts
 """
 
 
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op2_quality_rules", QUALITY_SQL)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
