@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as public_file
 
-from cantera.llm import langid, licenses, packing, quality, sharding, simhash, urls
-from cantera.session import shared_folder
+from cantera.llm import crosspolytope, extraction, langid, licenses, packing, quality, sharding, simhash, urls
+from cantera.session import new_path, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,16 +102,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_sharding")
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    written = sharding.write_shards(docs, new_path(spark, "shards"), 40)
     text = F.coalesce("text", F.lit(""))
-    return sharding.shard_documents(docs, 40).select(
+    # The written texts become digests before bucket offsets are joined, so that they stay where they are.
+    digests = written.select(
         "doc_id",
         (F.octet_length(text) + sharding.OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
-        "slot",
         "grown_shard",
+        "bucket",
+        "place",
     )
+    return sharding.slots(digests).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 # Fixed values of the task: (host, path, verdict).
@@ -163,3 +167,14 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_license_scan")
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op8_neighbours")
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return crosspolytope.nearest(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
