@@ -19,13 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantera.llm.runs import Runs, blocks, byte_class
+from cantera.llm.runs import Remembered, Runs, blocks, byte_class
 
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-# Distinct runs a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
 
 ASCII_SPACE = byte_class((9, 13), (32, 32))
 
@@ -46,51 +44,18 @@ def before_space(data: np.ndarray) -> np.ndarray:
     return begins & ~doubtful
 
 
-class Encoder:
-    """Ids of runs by a tokenizer file; runs seen before are looked up."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        flat = np.fromiter((x for one in ids for x in one), np.uint32)
-        ends = self.used + np.cumsum([len(one) for one in ids])
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        n = len(self.known)
-        while n + len(words) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.starts[n + 1 : n + 1 + len(words)] = ends
-        self.known.update((w, n + i) for i, w in enumerate(words))
-        self.used += len(flat)
-
-    def __call__(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all runs in order, number of ids of each run)."""
-        words = runs.words.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self._forget()
-                new = words
-            for i in range(0, len(new), 50_000):
-                self._learn(new[i : i + 50_000])
-        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))[runs.codes]
-        counts = self.starts[at + 1] - self.starts[at]
-        begin = np.cumsum(counts) - counts
-        return self.pool[np.arange(counts.sum()) + np.repeat(self.starts[at] - begin, counts)], counts
+def encoder(path: str) -> Remembered:
+    """Ids of runs by a tokenizer file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+
+    def encode(words: list[bytes]) -> list[list[int]]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return Remembered(encode)
 
 
 def pieces(docs: DataFrame, tokenizer: str, key: str, text: str, length: int, end_id: int, ids: bool) -> DataFrame:
@@ -104,7 +69,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str, text: str, length: int, en
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, number = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        encode, number = encoder(tokenizer), TaskContext.get().partitionId() << 40
         for block in blocks(batches, "text"):
             runs = Runs(block.column("text"), before_space)
             flat, counts = encode(runs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as public_file
 
-from cantera.llm import crosspolytope, extraction, langid, licenses, packing, quality, sharding, simhash, urls
+from cantera.llm import crosspolytope, extraction, langid, licenses, packing, pieces, quality, sharding, simhash, urls
 from cantera.session import new_path, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,3 +178,17 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_main_text")
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op9_pieces")
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_file("piece_bpe_32k.model")
+    coded = pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    # The text that came back and the one that went in are both whole.
+    return pieces.decode_pieces(coded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 # Bytes of text that are worked on at a time; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
+# Distinct runs a task remembers; beyond that it starts anew.
+REMEMBERED = 400_000
 
 
 def buffers(texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
@@ -68,6 +70,49 @@ class Runs:
         self.text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
 
+class Remembered:
+    """Ids of runs; every distinct run is encoded once, and remembered up to a number of them."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = REMEMBERED):
+        self.encode, self.most = encode, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        ids = self.encode(words)
+        flat = np.fromiter((x for one in ids for x in one), np.uint32)
+        ends = self.used + np.cumsum([len(one) for one in ids])
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        n = len(self.known)
+        while n + len(words) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.starts[n + 1 : n + 1 + len(words)] = ends
+        self.known.update((w, n + i) for i, w in enumerate(words))
+        self.used += len(flat)
+
+    def __call__(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs in order, number of ids of each run)."""
+        words = runs.words.to_pylist()
+        new = [w for w in words if w not in self.known]
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self._forget()
+                new = words
+            for i in range(0, len(new), 50_000):
+                self._learn(new[i : i + 50_000])
+        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))[runs.codes]
+        counts = self.starts[at + 1] - self.starts[at]
+        begin = np.cumsum(counts) - counts
+        return self.pool[np.arange(counts.sum()) + np.repeat(self.starts[at] - begin, counts)], counts
+
+
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     """True for the bytes in the ranges, both ends included."""
     table = np.zeros(256, bool)
