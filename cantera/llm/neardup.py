@@ -1,0 +1,184 @@
+"""Near-duplicate documents by wide SimHash signatures, confirmed on their word shingles.
+
+At a similarity of 0.8 two 64-bit prints differ in about ten bits, too many for segments that
+must be equal. So the votes behind a print give more bits, by fixed random sums of them, and
+chains of those bits are the keys of many tables. Pairs that meet in a table must keep the
+pigeonring budgets of their prints and then share enough shingles, counted exactly.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cantera.llm.components import connected
+from cantera.llm.runs import blocks
+from cantera.llm.simhash import BITS, TEXT_AT_ONCE, Shingles, chain_budgets, chain_masks, packed, signed
+
+WORDS = 5
+SIMILARITY = 0.8
+# Share of the pairs at exactly the similarity asked for that the tables should bring together.
+RECALL = 0.97
+# Neighbours that a row of a crowded bucket is compared with, besides the bucket's first.
+NEIGHBOURS = 4
+SEGMENTS = 4
+
+
+def agreement(similarity: float) -> float:
+    """Chance that one bit agrees, for sets of equal size with this Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def table_plan(rows: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a key, tables): keys so long that a bucket seldom holds strangers, tables for the recall."""
+    bits = max(12, math.ceil(math.log2(rows + 1)) + 2)
+    met = agreement(similarity) ** bits
+    return bits, math.ceil(math.log(1 - recall) / math.log1p(-met))
+
+
+def farthest(similarity: float) -> int:
+    """Differing bits of two prints that hardly any pair of the similarity goes beyond (four deviations)."""
+    p = 1 - agreement(similarity)
+    return min(BITS, math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p))))
+
+
+def votes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(`key`, `content`, `print`, `votes`): the hash of a text, its print and what each bit of it got."""
+    schema = T.StructType(
+        [
+            T.StructField("key", docs.schema[key].dataType),
+            T.StructField("content", T.LongType()),
+            T.StructField("print", T.LongType()),
+            T.StructField("votes", T.ArrayType(T.FloatType())),
+        ]
+    )
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", TEXT_AT_ONCE):
+            shingles = Shingles(block.column("text"), words)
+            balance = 2 * shingles.bit_counts() - np.diff(shingles.first)[:, None]
+            scale = np.maximum(1, np.abs(balance).max(axis=1, initial=1))[:, None]
+            flat = pa.array((balance / scale).astype(np.float32).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(balance) + 1) * BITS, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays(
+                [block.column("key"), block.column("content"), pa.array(packed(balance > 0)), lists], names=schema.names
+            )
+
+    own = docs.select(F.col(f"`{key}`").alias("key"), content_of(text).alias("content"), F.col(f"`{text}`").cast("string").alias("text"))
+    return own.mapInArrow(make, schema)
+
+
+def content_of(text: str) -> Column:
+    """One number for each text; null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
+def keyed(contents: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """(`content`, `print`, `slot`, `key`): one row per table."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.random.default_rng(seed).choice(np.float32([-1, 1]), (BITS, bits * tables))
+        weight = (1 << np.arange(bits, dtype=np.int64))[:, None]
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                block = batch.slice(first, 2000)
+                matrix = block.column("votes").flatten().to_numpy().reshape(-1, BITS)
+                over = (matrix @ sums > 0).reshape(len(matrix), tables, bits)
+                keys = (over.astype(np.float64) @ weight).astype(np.int64) if bits < 50 else over.astype(np.int64) @ weight
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([block.column("content"), block.column("print"), lists], names=["content", "print", "keys"])
+
+    rows = contents.select("content", "print", "votes").mapInArrow(make, "content long, print long, keys array<long>")
+    return rows.select("content", "print", F.posexplode("keys").alias("slot", "key"))
+
+
+def candidates(rows: DataFrame, distance: int, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """(`a`, `b`), a < b: pairs of a bucket that keep the pigeonring budgets of `distance` bits.
+
+    In a bucket of up to `neighbours` + 2 rows all pairs meet. In a larger one, a row meets the
+    ones before it in an order of its prints that every table turns differently, and the
+    first; so the work grows with the rows of a bucket, and a crowded group is linked through
+    many tables.
+    """
+    turned = " | ".join(["shiftleft(print, slot % 64)", "shiftrightunsigned(print, 64 - slot % 64)"])
+    over = f"(PARTITION BY slot, key ORDER BY {turned}, content)"
+    other = "named_struct('content', content, 'print', print)"
+    before = [F.expr(f"lag({other}, {i}) OVER {over}").alias(f"before_{i}") for i in range(1, neighbours + 1)]
+    met = rows.select("content", "print", *before, F.expr(f"first({other}) OVER {over}").alias("leader")).where("before_1 IS NOT NULL")
+    every = F.array_distinct(F.array(*[F.col(f"before_{i}") for i in range(1, neighbours + 1)], F.col("leader")))
+    pairs = met.select("content", "print", F.explode(every).alias("other")).where("other IS NOT NULL AND other.content <> content")
+    difference = F.col("print").bitwiseXOR(F.col("other.print"))
+    viable = F.lit(False)
+    for start in range(SEGMENTS):
+        chain = F.lit(True)
+        for mask, budget in zip(chain_masks(start, SEGMENTS), chain_budgets(distance, SEGMENTS)):
+            chain = chain & (F.bit_count(difference.bitwiseAND(F.lit(signed(mask)))) <= budget)
+        viable = viable | chain
+    return (
+        pairs.where(viable)
+        .select(F.least("content", "other.content").alias("a"), F.greatest("content", "other.content").alias("b"))
+        .distinct()
+    )
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
+    """(`content`, `shingles`): the distinct shingle hashes of the wanted texts, each once."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", TEXT_AT_ONCE):
+            shingles = Shingles(block.column("text"), words)
+            edges = zip(shingles.first.tolist(), shingles.first[1:].tolist())
+            sets = [np.unique(shingles.hashes[a:b]).view(np.int64) for a, b in edges]
+            yield pa.RecordBatch.from_arrays([block.column("content"), pa.array(sets, pa.list_(pa.int64()))], names=["content", "shingles"])
+
+    texts = docs.select(content_of(text).alias("content"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    chosen = texts.join(wanted, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    return chosen.mapInArrow(make, "content long, shingles array<long>")
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """(contents, groups): every distinct text with its smallest key, and the group of those that have one.
+
+    `contents` is (`content`, `low`), `groups` (`node`, `component`) by content. Two texts are
+    linked if their sets of `words`-word shingles have a Jaccard similarity of `similarity` or
+    more; texts without a word are linked with each other only. Equal texts are one.
+    """
+    light = votes(docs, key, text, words)
+    contents = light.groupBy("content").agg(F.min("key").alias("low"), F.first("print").alias("print"), F.first("votes").alias("votes")).checkpoint()
+    bits, tables = table_plan(contents.count(), similarity)
+    pairs = candidates(keyed(contents, bits, tables, seed), farthest(similarity)).checkpoint()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    sets = shingle_sets(docs, wanted, text, words).checkpoint()
+    left = sets.select(F.col("content").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    # Two wordless texts share no shingle and are alike.
+    alike = (shared >= similarity * (F.size("x") + F.size("y") - shared))
+    links = pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
+    return contents.select("content", "low"), connected(links)
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each group of near-duplicates, and every row that has none.
+
+    The row with the smallest key stays (nulls first), of equal rows one. All columns stay as they are.
+    """
+    contents, groups = near_duplicates(docs, key, text, **options)
+    ranked = contents.join(groups, F.col("content") == F.col("node"), "left").select(
+        "content", F.col("low"), F.coalesce("component", "content").alias("component")
+    )
+    best = ranked.groupBy("component").agg(F.min(F.struct("low", "content")).alias("best"))
+    kept = best.select(F.col("best.low").alias("kept_key"), F.col("best.content").alias("kept_content"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*own).alias("row"), F.col(f"`{key}`").alias("row_key"), content_of(text).alias("row_content"))
+    found = marked.join(kept, (F.col("row_content") == F.col("kept_content")) & F.col("row_key").eqNullSafe(F.col("kept_key")))
+    # Equal rows meet here; they are already together for the join.
+    return found.groupBy("row_content", "row_key").agg(F.first("row").alias("row")).select("row.*")

@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(make, schema)
 
 
-def _signed(value: int) -> int:
+def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -138,7 +138,7 @@ def within_chain(difference: Column, start: int, distance: int, segments: int) -
     """No chain from `start` has more differing bits than its budget; the last one is the full check."""
     holds = F.lit(True)
     for mask, budget in zip(chain_masks(start, segments), chain_budgets(distance, segments)):
-        holds = holds & (F.bit_count(difference.bitwiseAND(F.lit(_signed(mask)))) <= budget)
+        holds = holds & (F.bit_count(difference.bitwiseAND(F.lit(signed(mask)))) <= budget)
     return holds
 
 
@@ -155,7 +155,7 @@ def close_pairs(prints: DataFrame, distance: int = 2, segments: int = SEGMENTS,
     plans = bucket_plans(distance, segments)
     keyed = prints.select(
         "print",
-        F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(_signed(mask))) for _, mask in plans])).alias("plan", "key"),
+        F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(signed(mask))) for _, mask in plans])).alias("plan", "key"),
     )
     bucket = "(PARTITION BY plan, key ORDER BY print"
     placed = keyed.withColumn("n", F.expr("count(1) OVER (PARTITION BY plan, key)")).where("n > 1")
@@ -173,7 +173,7 @@ def close_pairs(prints: DataFrame, distance: int = 2, segments: int = SEGMENTS,
         .select("a", "b")
     )
     free = [
-        F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)) for b in range(BITS) if not mask >> b & 1]) for _, mask in plans
+        F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << b)) for b in range(BITS) if not mask >> b & 1]) for _, mask in plans
     ]
     neighbour = (
         placed.where(F.col("n") > pairwise)
