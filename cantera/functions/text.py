@@ -22,7 +22,7 @@ SPACE_CHARACTERS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 ANNOTATION = r"[\(\[][^\n\)\]]*[\)\]]"
-LYRICS_FIELD = r'"lyrics"[\t-\r ]*:[\t-\r ]*"([^"\\]*(?:\\[^\n][^"\\]*)*)"'
+LYRICS_FIELD = r'"lyrics"[\t-\r ]*:[\t-\r ]*("[^"\\]*(?:\\[^\n][^"\\]*)*")'
 
 # Short stop-word lists, one per language that can be voted for.
 STOP_WORDS = {
@@ -99,9 +99,11 @@ def drop_empty_lines(text: Column) -> Column:
 
 
 def lyrics_from_body(body: Column) -> Column:
-    """The `lyrics` string of a JSON body, `\\n` unescaped; null when there is none."""
-    found = F.regexp_extract(body, LYRICS_FIELD, 1)
-    return F.when(found != "", F.replace(found, F.lit("\\n"), F.lit("\n")))
+    """The `lyrics` string of a JSON body, decoded; null when there is none or it is empty."""
+    token = F.regexp_extract(body, LYRICS_FIELD, 1)
+    # Line breaks within the token are not JSON, but occur.
+    options = {"allowUnquotedControlChars": "true"}
+    return F.nullif(F.get(F.from_json(F.concat(F.lit("["), token, F.lit("]")), "ARRAY<STRING>", options), F.lit(0)), F.lit(""))
 
 
 def normalise_slash(name: Column) -> Column:

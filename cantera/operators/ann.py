@@ -48,6 +48,13 @@ def assign_cells(points: DataFrame, vector: str, centres: np.ndarray) -> DataFra
     return found.withColumn("cell", F.get("_cells", F.lit(0))).drop("_cells")
 
 
+def write_cells(points: DataFrame, vector: str, centres: np.ndarray, path: str) -> DataFrame:
+    """Write the points in one folder per cell and give the written table; a search reads the cells it names."""
+    celled = assign_cells(points, vector, centres)
+    celled.write.partitionBy("cell").parquet(path)
+    return points.sparkSession.read.schema(celled.schema).parquet(path)
+
+
 def ann_knn(
     queries: DataFrame,
     points: DataFrame,

@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 # Queries that may be broadcast, and the bytes their vectors may take.
 MAX_QUERIES = 4096
 MAX_QUERY_BYTES = 128 << 20
+# Results per query that these bounds are meant for; more of them lower the number of queries.
+TOP = 5
 # Points multiplied at once, and numbers held at once while candidates are scored exactly.
 CHUNK = 2048
 SCORING = 1 << 22
@@ -129,11 +131,32 @@ class Best:
             if len(at) > self.k:
                 kth = np.partition(rough, len(at) - self.k, axis=1)[:, len(at) - self.k]
                 floor = np.maximum(floor, kth - margin)
-            q, p = np.nonzero(rough >= (floor - margin)[:, None])
+            near = rough >= (floor - margin)[:, None]
+            if near.sum() > 4 * near.shape[0] * self.k and self._whole(vectors):
+                # Many candidates tie, most at zero. Sums of products of whole numbers are
+                # exact in any order, so one product of doubles scores and ranks them all.
+                found.append(self._product(rows, at, ids, vectors, norms))
+                continue
+            q, p = np.nonzero(near)
             found.append(self._exact(rows[q], at[p], ids, vectors, norms))
         if found:
             self._merge(*(np.concatenate(parts) for parts in zip(*found)))
 
+    def _whole(self, vectors: np.ndarray) -> bool:
+        bound = 2.0**26 / vectors.shape[1] ** 0.5
+        return all(np.abs(m).max(initial=0) < bound and (m == np.rint(m)).all() for m in (vectors, self.queries.vectors))
+
+    def _product(self, rows, at, ids, vectors, norms):
+        """The k best points of `at` for each of the queries `rows`, all scores exact; ties to smaller ids."""
+        score = (self.queries.vectors[rows] @ vectors[at].T) / (self.queries.norms[rows][:, None] * norms[at])
+        order = np.argsort(ids[at], kind="stable")
+        score = score[:, order]
+        best = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+        q = np.repeat(np.arange(len(rows)), best.shape[1])
+        kept = score[q, best.ravel()] >= self.floor[rows[q]]
+        q, p = q[kept], best.ravel()[kept]
+        return rows[q], score[q, p], ids[at][order][p]
+
     def _needed(self, ids: np.ndarray, vectors: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
         """Leave out copies that cannot rank: of equal vectors only the k smallest ids can."""
         salt = np.random.default_rng(7).standard_normal(vectors.shape[1])
@@ -218,9 +241,11 @@ def search_lists(
     parts: list[DataFrame] = []
     for item in lists:
         queries = item.queries.select(qid, item.query_vector, *filters).filter(F.col(item.query_vector).isNotNull())
-        head = queries.limit(max_queries + 1).toArrow()
-        if head.num_rows <= max_queries and head.column(item.query_vector).nbytes <= MAX_QUERY_BYTES:
-            small.append((item.name, item.vector, Queries.of(head, qid, item.query_vector, filters)))
+        # Number and size are looked at before any vector is fetched.
+        elements = F.sum(F.size(item.query_vector).cast("long"))
+        size = queries.limit(max_queries + 1).agg(F.count(F.lit(1)).alias("n"), elements.alias("elements")).first()
+        if size.n <= max_queries and (size.elements or 0) * 8 <= MAX_QUERY_BYTES:
+            small.append((item.name, item.vector, Queries.of(queries.toArrow(), qid, item.query_vector, filters)))
         else:
             parts.append(_replicated(item, queries, points, k, filters, qid, id, max_queries))
     key_type = lists[0].queries.schema[qid].dataType
@@ -282,7 +307,9 @@ def _replicated(item: SearchList, queries, points, k, filters, qid, id, max_quer
     streamed past them. Hashing unique ids keeps blocks and cells even whatever the data.
     """
     spark = points.sparkSession
-    blocks = max(1, -(-2 * queries.count() // max_queries))
+    load = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(item.query_vector).cast("long")).alias("elements")).first()
+    # Half of either bound, since hashing fills blocks unevenly.
+    blocks = max(1, -(-2 * load.n // max_queries), -(-2 * 8 * (load.elements or 0) // MAX_QUERY_BYTES))
     # Enough groups for every task; more cells would only copy the queries more often.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = max(1, -(-2 * tasks // blocks))

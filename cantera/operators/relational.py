@@ -99,31 +99,35 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
 
 
 def enrich(
-    target: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], mode: str = "overwrite"
+    target: DataFrame,
+    updates: DataFrame,
+    key: str,
+    order: Sequence[Column],
+    overwrite: Sequence[str] = (),
+    fill: Sequence[str] = (),
 ) -> DataFrame:
-    """Set `columns` of the rows of `target` that have an update, which must be unique by key.
+    """Set columns of the rows of `target` that have an update; the first update of a key by `order` counts.
 
-    `overwrite` writes what the update holds, nulls too; `coalesce` only writes when it holds
-    a value.
+    `overwrite` columns get what the update holds, nulls too; `fill` columns only a value.
+    `target` keeps its rows, whatever the updates hold.
     """
-    if mode not in ("overwrite", "coalesce"):
-        raise ValueError(f"unknown mode {mode}")
-    new = updates.select(key, F.lit(True).alias("_matched"), *[F.col(c).alias(f"_new_{c}") for c in columns])
+    columns = [*overwrite, *fill]
+    first = first_per_key(updates.filter(F.col(key).isNotNull()), [key], order)
+    new = first.select(key, F.lit(True).alias("_matched"), *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = target.join(new, key, "left")
-    if mode == "overwrite":
-        values = {c: F.when(F.col("_matched"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
-    else:
-        values = {c: F.coalesce(f"_new_{c}", c) for c in columns}
+    values = {c: F.when(F.col("_matched"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in overwrite}
+    values |= {c: F.coalesce(f"_new_{c}", c) for c in fill}
     return joined.withColumns(values).select(*target.columns)
 
 
-def upsert(current: DataFrame, new: DataFrame, key: str, order: Sequence[Column] | None = None) -> DataFrame:
-    """`current` with the rows of `new` inserted or replaced.
+def upsert(current: DataFrame, new: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """`current`, unique by key, with the rows of `new` inserted or replaced.
 
-    With `order`, the first row of each key in `new` counts; without, `new` is unique by key.
+    The first row of each key in `new` by `order` counts. Both sides are read once: their
+    rows are ranked together, those of `new` before the stored one. Null keys are one key.
     """
-    incoming = first_per_key(new, [key], order) if order else new
-    return absent(current, incoming, [key], unique=True).unionByName(incoming)
+    marked = new.withColumn("_stored", F.lit(False)).unionByName(current.withColumn("_stored", F.lit(True)))
+    return first_per_key(marked, [key], [F.asc("_stored"), *order]).drop("_stored")
 
 
 def cascade_delete(
@@ -136,9 +140,10 @@ def cascade_delete(
     survivors, gone, gone_key = [], deleted, deleted.columns[0]
     for rows, key, parent in levels:
         dead = reshuffled(keys_of(gone, [gone_key], ["_dead"]), ["_dead"])
-        survivors.append(rows.join(dead, rows[parent] == dead["_dead"], "left_anti"))
-        gone = rows.join(dead, rows[parent] == dead["_dead"], "left_semi")
-        gone_key = key
+        # One pass per level: unmarked rows survive, the marked ones are the next level's dead.
+        marked = rows.join(dead, rows[parent] == dead["_dead"], "left")
+        survivors.append(marked.filter("_dead IS NULL").drop("_dead"))
+        gone, gone_key = marked.filter("_dead IS NOT NULL").drop("_dead"), key
     return survivors
 
 
@@ -199,6 +204,12 @@ def pending(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
+def pending_stages(df: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
+    """(stage, key): a row for each of `columns` that a row still lacks, in one pass."""
+    stages = [F.when(F.col(c).isNull(), F.lit(c)) for c in columns]
+    return df.select(F.explode(F.array_compact(F.array(*stages))).alias("stage"), key)
+
+
 def present(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).isNotNull())
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cantera.functions import checks, text
 from cantera.operators import embedding, lyrics, quality, relational
 from cantera.sources import points as P
 from cantera.sources import responses
@@ -29,6 +30,45 @@ def new_songs(songs: DataFrame, found: DataFrame, response: str) -> DataFrame:
     return fresh.select(F.xxhash64("id_artista", "cancion").alias("id"), "id_artista", "artista", "cancion")
 
 
+def process_missing(songs: DataFrame, held: DataFrame, bodies: DataFrame, body: str) -> DataFrame:
+    """(`id`, `letra`, `saved`, `reason`): what became of every song that had no lyric.
+
+    `bodies` holds collected responses by song `id`, any number for each. The rows that were
+    saved are the lyrics to append, one per song; a response that holds no lyric or cannot be
+    read leaves the song queued, with the reason.
+    """
+    tried = bodies.select("id", text.lyrics_from_body(F.col(body)).alias("letra"))
+    best = relational.first_per_key(tried, ["id"], [F.asc_nulls_last("letra")]).withColumn("tried", F.lit(True))
+    queue = relational.missing_lyrics(songs, held).select("id")
+    reason = F.when(F.col("tried").isNull(), "not tried").when(F.col("letra").isNull(), "no lyric")
+    return queue.join(best, "id", "left").select("id", "letra", F.col("letra").isNotNull().alias("saved"), reason.alias("reason"))
+
+
+def fill_mbid(songs: DataFrame, found: DataFrame, response: str) -> DataFrame:
+    """`songs` with `mbid` filled where it was null and a response has one, and a `reason` where it stays null.
+
+    `found` holds responses by song `id`, any number for each; the first recording of a
+    response counts, and the smallest identifier of a song. Identifiers that are there stay.
+    """
+    pending = relational.pending(songs, "mbid").select("id").distinct()
+    hits = responses.first_hit(found.join(pending, "id", "left_semi"), response, "recordings", {"id": "STRING"}, ("id", response))
+    hits = hits.toDF("id", "_response", "_hit")
+    read = F.try_parse_json("_response").isNotNull()
+    valid = F.when(checks.is_mbid(F.col("_hit")), F.col("_hit"))
+    state = F.when(valid.isNotNull(), F.lit(None)).when(~read, "broken response").otherwise("no recording")
+    updates = hits.select("id", valid.alias("mbid"), state.alias("reason"))
+    blank = songs.withColumn("reason", F.when(F.col("mbid").isNull(), F.lit("no response")))
+    filled = relational.enrich(blank, updates, "id", [F.asc_nulls_last("mbid"), F.asc("reason")], ["reason"], ["mbid"])
+    return filled.withColumn("reason", F.when(F.col("mbid").isNull(), F.col("reason")))
+
+
+def vectorise_missing(songs: DataFrame, **options) -> DataFrame:
+    """`songs` with `letra_vec` written to the rows that lack it and have a lyric; the others stay."""
+    queue = songs.filter("letra_vec IS NULL AND letra IS NOT NULL").select("id", "letra")
+    fresh = vectorise(queue, **options).select("id", "letra_vec")
+    return relational.enrich(songs, fresh, "id", [F.asc("id")], fill=["letra_vec"])
+
+
 def gates(artists: DataFrame, songs: DataFrame) -> DataFrame:
     """Whether enough was collected for the next stage."""
     return quality.stage_gate(

@@ -27,9 +27,7 @@ UNION ALL SELECT 'bpm', id FROM ({S.CATALOGUE_SQL}) WHERE bpm IS NULL
 """,
 )
 def pending_by_null(spark, folder):
-    songs = S.catalogue(spark, folder)
-    stage = lambda name: R.pending(songs, name).select(F.lit(name).alias("stage"), "id")
-    return stage("track_vector").unionByName(stage("bpm"))
+    return R.pending_stages(S.catalogue(spark, folder), ["track_vector", "bpm"])
 
 
 @query(
@@ -95,6 +93,31 @@ def missing_lyrics_page(spark, folder):
     return page.select("id_artista", "id", "cancion")
 
 
+@query(
+    "missing_lyrics_after",
+    f"SELECT * FROM ({MISSING_SQL}) WHERE id > (SELECT median(o_orderkey) FROM orders) ORDER BY id LIMIT 100",
+)
+def missing_lyrics_after(spark, folder):
+    """The page after a song, by key."""
+    songs = S.songs(spark, folder)
+    middle = songs.agg(F.expr("median(id)").alias("m")).first().m
+    page = R.missing_lyrics(songs, S.lyrics(spark, folder), limit=100, after_id=int(middle))
+    return page.select("id_artista", "id", "cancion")
+
+
+@query(
+    "columns_of",
+    """
+SELECT ordinal_position::BIGINT AS position, lower(column_name) AS name,
+       CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' END AS type
+FROM (SELECT * FROM information_schema.columns WHERE table_name = 'documents')
+""",
+)
+def columns_of(spark, folder):
+    listed = R.columns_of(read(spark, folder, "documents"))
+    return spark.createDataFrame(listed, "position BIGINT, name STRING, type STRING")
+
+
 @query("song_artist", "SELECT o_orderkey AS id, o_orderpriority AS cancion, c_name AS nombre FROM orders JOIN customer ON c_custkey = o_custkey")
 def song_artist(spark, folder):
     return R.song_artist(S.songs(spark, folder), S.artists(spark, folder)).select("id", "cancion", "nombre")
@@ -132,7 +155,10 @@ def enrich_metadata(spark, folder):
         F.when(F.col("toxic") == 0, F.col("quality").cast("double")).alias("bpm"),
         F.when(F.col("toxic") == 0, F.concat(F.lit("mbid-"), F.col("doc_id").cast("string"))).alias("mbid"),
     )
-    return R.enrich(R.enrich(songs, found, "id", ["bpm"]), found, "id", ["mbid"], "coalesce")
+    # Every update comes twice, the older one with other values.
+    older = found.withColumns({"bpm": F.lit(-1.0), "mbid": F.lit("older"), "version": F.lit(1)})
+    updates = found.withColumn("version", F.lit(2)).unionByName(older)
+    return R.enrich(songs, updates, "id", [F.desc("version")], ["bpm"], ["mbid"])
 
 
 @query(

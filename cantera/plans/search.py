@@ -9,6 +9,7 @@ from cantera.functions import text as X
 from cantera.operators import embedding, knn
 from cantera.operators.relational import reshuffled
 from cantera.session import shared_folder
+from cantera.sources.responses import parse_requests
 
 # Fields that may be constrained, and the fields of a result.
 FILTERS = ("genre", "key", "bpm")
@@ -110,8 +111,9 @@ def fused_search(
     from the sound list after its top, and may still come from the phrase list.
     """
     valid = valid_requests(requests)
-    # The number of requests decides whether what grows with them may be broadcast.
-    small = valid.select("qid").limit(max_requests + 1).count() <= max_requests
+    # Requests times results decide whether what grows with them may be broadcast or named.
+    most = max_requests // max(1, top_k * widen // (knn.TOP * widen))
+    small = valid.select("qid").limit(most + 1).count() <= most
     refs, sounds = sound_queries(valid, points, small)
     hits = knn.search_lists(
         [
@@ -127,6 +129,21 @@ def fused_search(
     return with_payload(ranked, points, small)
 
 
+def search_responses(
+    requests: DataFrame, points: DataFrame, request: str = "request", top_k: int = 5, **options
+) -> DataFrame:
+    """From request texts to answers: one row per request and rank, and one for every other request.
+
+    (`qid`, `query_input`, `error`, `id`, `lists` and the eleven result fields). A request that
+    cannot be read or has no phrase keeps its error, one without a hit has neither error nor
+    rank; none is left out.
+    """
+    parsed = parse_requests(requests, request, ("qid",))
+    found = fused_search(parsed.filter("error IS NULL").drop("error"), points, top_k, **options)
+    asked = parsed.select("qid", F.col("query").alias("query_input"), "error")
+    return asked.join(found, "qid", "left").select("qid", "query_input", "error", "id", "lists", *RESULT)
+
+
 def without_reference(hits: DataFrame, refs: DataFrame, small: bool = False) -> DataFrame:
     """Drop the reference song from the sound list."""
     own = refs.select("qid", F.col("ref_id").alias("id"), F.lit("track").alias("list"))

@@ -40,12 +40,15 @@ def stream_publish(spark, folder):
             F.col("text").alias("letra"),
             F.col("lang").alias("initialkey"),
             F.lit(None).cast("double").alias("bpm"),
+            F.lit(2).alias("version"),
             *[value.alias(name) for name, value in nothing.items()],
         )
-        return vectorise(songs)
+        # Every song also comes in an older version, under another name.
+        older = songs.withColumns({"version": F.lit(1), "artista": F.lit("older")})
+        return vectorise(songs.unionByName(older))
 
     target, checkpoint = new_path(spark, "points"), new_path(spark, "publish")
-    publish.publish_available(spark, f"{folder}/documents.parquet*", DOCUMENTS, target, checkpoint, prepare)
+    publish.publish_available(spark, f"{folder}/documents.parquet*", DOCUMENTS, target, checkpoint, prepare, version="version")
     squares = F.aggregate("lyrics_vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     return publish.published(spark, target).select(
         "id",
@@ -60,5 +63,9 @@ def stream_publish(spark, folder):
 def progress_stream(spark, folder):
     target, checkpoint = new_path(spark, "progress"), new_path(spark, "progress-checkpoint")
     events = spark.readStream.schema(EVENTS).parquet(f"{folder}/events.parquet*")
-    progress.progress_stream(progress_updates(events), ["updated_at", "event_id"], target, checkpoint).awaitTermination()
-    return progress.streamed_progress(spark, target).drop("updated_at")
+    order = ["updated_at", "event_id"]
+    # Two streams with checkpoints of their own share the target.
+    for number, part in enumerate(("event_type = 'click'", "event_type <> 'click'")):
+        updates = progress_updates(events.filter(part))
+        progress.progress_stream(updates, order, target, f"{checkpoint}-{number}").awaitTermination()
+    return progress.streamed_progress(spark, target, updates, order).drop("updated_at")

@@ -9,6 +9,7 @@ from cantera.operators import lyrics as L
 from cantera.plans import catalogue
 from cantera.plans import standins as S
 from cantera.plans.registry import query
+from cantera.plans.relational_queries import MISSING_SQL
 from cantera.session import new_path
 from cantera.sources import html as H
 from cantera.sources import responses, sinks
@@ -65,13 +66,11 @@ def lyrics_from_html(spark, folder):
     return H.lyrics_from_html(pages, "html", "article").select("page_id", "status", "letra")
 
 
-# Only line breaks are unescaped; other characters stay as JSON writes them.
-@query(
-    "lyrics_from_body",
-    r"""SELECT doc_id, replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(9), '\t') AS letra FROM documents""",
-)
+# Quotes, tabs and a backslash before an n are added, for every escape to be decoded.
+@query("lyrics_from_body", r"""SELECT doc_id, text || '\n "x"' || chr(9) || '\' AS letra FROM documents""")
 def lyrics_from_body(spark, folder):
-    body = F.concat(F.lit("<html><pre>"), F.to_json(F.struct(F.col("text").alias("lyrics"))), F.lit("</pre></html>"))
+    lyrics = F.concat("text", F.lit('\\n "x"\t\\')).alias("lyrics")
+    body = F.concat(F.lit("<html><pre>"), F.to_json(F.struct(lyrics)), F.lit("</pre></html>"))
     return texts(spark, folder).select("doc_id", X.lyrics_from_body(body).alias("letra"))
 
 
@@ -194,24 +193,28 @@ def dead_letter(spark, folder):
         F.col("event_id").alias("id"), "value", F.try_variant_get(F.try_parse_json(raw), "$.k", "bigint").alias("k")
     )
     checks = {"broken document": F.col("k").isNull(), "value too small": F.col("value") < 5}
-    accepted, rejected = sinks.split_rejected(parsed, checks)
-    rows = accepted.select("id", "k", F.lit(None).cast("string").alias("reason"))
-    return rows.unionByName(rejected.select("id", "k", "reason"))
+    return sinks.tag_rejected(parsed, checks).select("id", "k", "reason")
 
 
 @query(
     "parse_requests",
     f"""
-SELECT qid, CASE WHEN artist_ref IS NOT NULL THEN query END AS query, nullif(genre, '') AS genre, key, nullif(bpm, 0) AS bpm, artist_ref, title_ref,
+SELECT qid, CASE WHEN artist_ref IS NOT NULL THEN query END AS query, nullif(genre, '') AS genre, key,
+       nullif(CASE WHEN bpm > 0 AND qid % 2 = 1 THEN bpm + 0.5 ELSE bpm END::DOUBLE, 0) AS bpm, artist_ref, title_ref,
        CASE WHEN artist_ref IS NULL THEN 'Missing ''query'' field' END AS error
 FROM ({S.REQUESTS_SQL})
 """,
 )
 def parse_requests(spark, folder):
     """Requests as JSON texts; the ones without a reference song lack the phrase too."""
-    fields = ("genre", "key", "bpm", "artist_ref", "title_ref")
+    fields = ("genre", "key", "artist_ref", "title_ref")
     phrase = F.when(F.col("artist_ref").isNotNull(), F.col("query")).alias("query")
-    texts_ = S.requests(spark, folder).select("qid", F.to_json(F.struct(phrase, *fields)).alias("request"))
+    # Whole and decimal tempos.
+    half = F.when((F.col("bpm") > 0) & (F.col("qid") % 2 == 1), F.col("bpm") + 0.5).alias("half")
+    tempo = F.coalesce(half.cast("string"), F.col("bpm").cast("string"))
+    body = F.to_json(F.struct(phrase, *fields))
+    request = F.concat(F.lit('{"bpm":'), tempo, F.when(body != "{}", ",").otherwise(""), F.substring(body, 2, 1 << 30))
+    texts_ = S.requests(spark, folder).select("qid", request.alias("request"))
     return responses.parse_requests(texts_, "request", ("qid",))
 
 
@@ -248,3 +251,58 @@ def collect_songs(spark, folder):
     stored = stored.select(F.col("conv_id").alias("id_artista"), F.explode(F.split("text", "\n")).alias("cancion"))
     found = search_responses(spark, folder).withColumnsRenamed({"conv_id": "id_artista", "turn": "artista"})
     return catalogue.new_songs(stored, found, "body").select("id_artista", "cancion")
+
+
+@query(
+    "process_missing",
+    f"""
+SELECT q.id, CASE WHEN d.doc_id % 5 <> 0 THEN d.text END AS letra, coalesce(d.doc_id % 5 <> 0, FALSE) AS saved,
+       CASE WHEN d.doc_id IS NULL THEN 'not tried' WHEN d.doc_id % 5 = 0 THEN 'no lyric' END AS reason
+FROM ({MISSING_SQL}) q LEFT JOIN documents d ON d.doc_id = q.id
+""",
+)
+def process_missing(spark, folder):
+    """Songs without a lyric meet collected bodies; each comes twice, and every fifth is cut off."""
+    body = F.to_json(F.struct(F.col("text").alias("lyrics")))
+    cut = F.when(F.col("doc_id") % 5 == 0, F.substring(body, 1, 12)).otherwise(body)
+    bodies = texts(spark, folder).select(F.col("doc_id").alias("id"), F.explode(F.array(cut, F.substring(cut, 1, 11))).alias("body"))
+    return catalogue.process_missing(S.songs(spark, folder), S.lyrics(spark, folder), bodies, "body")
+
+
+UUID_SQL = "substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)"
+
+
+@query(
+    "fill_mbid",
+    f"""
+SELECT doc_id AS id, CASE WHEN lang <> 'en' THEN source WHEN doc_id % 4 = 0 THEN {UUID_SQL} END AS mbid,
+       CASE WHEN lang = 'en' THEN CASE doc_id % 4 WHEN 1 THEN 'no recording' WHEN 2 THEN 'broken response' WHEN 3 THEN 'no response' END END AS reason
+FROM (SELECT *, md5(doc_id::VARCHAR) AS m FROM documents)
+""",
+)
+def fill_mbid(spark, folder):
+    """English songs lack an identifier; of four responses one has it, one is empty, one cut off, one missing."""
+    documents = read(spark, folder, "documents", F.col("doc_id").alias("id"), "lang", "source")
+    songs = documents.select("id", F.when(F.col("lang") != "en", F.col("source")).alias("mbid"))
+    m = F.md5(F.col("id").cast("string"))
+    uuid = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    kind = F.col("id") % 4
+    body = F.concat(F.lit('{"recordings":['), F.when(kind == 1, "").otherwise(F.concat(F.lit('{"id":"'), uuid, F.lit('"}'))), F.lit("]}"))
+    found = documents.filter(kind != 3).select("id", F.when(kind == 2, F.substring(body, 1, 20)).otherwise(body).alias("body"))
+    return catalogue.fill_mbid(songs, found, "body")
+
+
+@query(
+    "vectorise_missing",
+    """
+SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 1024 END::BIGINT AS width, doc_id % 3 = 0 AS kept FROM documents
+""",
+)
+def vectorise_missing(spark, folder):
+    """Every third song has a vector already, which stays."""
+    stored = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(7.0).cast("float")))
+    songs = texts(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("letra"), stored.alias("letra_vec"))
+    done = catalogue.vectorise_missing(songs)
+    return done.select(
+        "id", F.size("letra_vec").cast("long").alias("width"), F.coalesce(F.get("letra_vec", F.lit(0)) == 7.0, F.lit(False)).alias("kept")
+    )

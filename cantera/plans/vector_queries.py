@@ -124,10 +124,12 @@ def vectors_roundtrip(spark, folder):
     """
 SELECT 'track_vector' AS vector, CASE WHEN min(len(embedding)) = max(len(embedding)) THEN min(len(embedding)) END AS width,
        min(len(embedding)) AS narrowest, max(len(embedding)) AS widest, count(embedding) AS points FROM embeddings
+UNION ALL SELECT 'lyrics_vector', 1024, 1024, 1024, count(*) FROM documents
 """,
 )
 def vector_dims(spark, folder):
-    dims = embedding.vector_dims(vectors(spark, folder), "track_vector")
+    tracks = embedding.vector_dims(vectors(spark, folder), "track_vector")
+    dims = tracks.unionByName(embedding.vector_dims(embedded(spark, folder), "lyrics_vector"))
     return dims.withColumns({c: F.col(c).cast("long") for c in ("width", "narrowest", "widest")})
 
 
@@ -135,21 +137,45 @@ def vector_dims(spark, folder):
     "points_upsert",
     f"""
 WITH s AS ({S.CATALOGUE_SQL})
-SELECT id, artista AS artist, cancion AS title, bpm, initialkey AS key, 'new' AS state FROM s WHERE track_vector IS NOT NULL AND bpm IS NOT NULL
+SELECT id, artista AS artist, cancion AS title, bpm, initialkey AS key, 'new' AS state,
+       round(-list_sum(track_vector::DOUBLE[]), 6) AS track_sum, len(string_split(letra, ' '))::DOUBLE AS lyrics_sum
+FROM s WHERE track_vector IS NOT NULL AND bpm IS NOT NULL
 UNION ALL
-SELECT vec_id, NULL, NULL, NULL, NULL, 'old' FROM embeddings
+SELECT vec_id, NULL, NULL, NULL, NULL, 'old', round(list_sum(embedding::DOUBLE[]), 6), 0 FROM embeddings
 WHERE vec_id NOT IN (SELECT id FROM s WHERE track_vector IS NOT NULL AND bpm IS NOT NULL)
 """,
 )
 def points_upsert(spark, folder):
     """Bare vectors are stored; songs with a known tempo come in with their payload."""
     songs = S.catalogue(spark, folder).filter("track_vector IS NOT NULL AND bpm IS NOT NULL")
-    fresh = songs.select("id", P.payload().alias("payload")).withColumn("state", F.lit("new"))
+    # A new track vector is the negated one, a lyric vector a one for each word.
+    fresh = songs.select(
+        "id",
+        F.transform("track_vector", lambda x: -x).alias("track_vector"),
+        F.transform(F.split("letra", " "), lambda w: F.lit(1.0).cast("float")).alias("lyrics_vector"),
+        P.payload().alias("payload"),
+        F.lit("new").alias("state"),
+    )
+    older = fresh.withColumns({"lyrics_vector": F.array(F.lit(7.0).cast("float")), "state": F.lit("older")})
     stored = vectors(spark, folder).select(
-        "id", F.lit(None).cast(fresh.schema["payload"].dataType).alias("payload"), F.lit("old").alias("state")
+        "id",
+        "track_vector",
+        F.array(F.lit(0.0).cast("float")).alias("lyrics_vector"),
+        F.lit(None).cast(fresh.schema["payload"].dataType).alias("payload"),
+        F.lit("old").alias("state"),
+    )
+    merged = R.upsert(stored, fresh.unionByName(older), "id", [F.asc("state")])
+    total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+    return merged.select(
+        "id",
+        "payload.artist",
+        "payload.title",
+        "payload.bpm",
+        "payload.key",
+        "state",
+        total("track_vector").alias("track_sum"),
+        total("lyrics_vector").alias("lyrics_sum"),
     )
-    merged = R.upsert(stored, fresh, "id")
-    return merged.select("id", "payload.artist", "payload.title", "payload.bpm", "payload.key", "state")
 
 
 @query(
@@ -262,10 +288,10 @@ def reference_song(spark, folder):
     return search.reference_songs(search.valid_requests(S.requests(spark, folder)), points(spark, folder))
 
 
-@query(
-    "fused_search",
-    f"""
-WITH {LYRIC_SCORES_SQL}, r AS MATERIALIZED ({S.REQUESTS_SQL}), p AS MATERIALIZED ({POINTS_SQL}), ref AS MATERIALIZED ({REFERENCE_SQL}),
+def fused_sql(requests: str) -> str:
+    """The fused search of a relation of requests."""
+    return f"""
+WITH {LYRIC_SCORES_SQL}, r AS MATERIALIZED ({requests}), p AS MATERIALIZED ({POINTS_SQL}), ref AS MATERIALIZED ({REFERENCE_SQL}),
 lyric_list AS (
   SELECT qid, id, score FROM (
     SELECT s.*, row_number() OVER (PARTITION BY s.qid ORDER BY score DESC, s.id) AS position
@@ -284,17 +310,74 @@ fused AS (
 SELECT f.qid, f.id, f.lists, f.rank, p.artista AS artist, p.cancion AS title, p.album, p.letra, NULL::VARCHAR AS mbid,
        p.bpm, p.initialkey AS key, p.genre, NULL::VARCHAR AS link, round(f.score, 4) AS score
 FROM fused f JOIN p ON p.id = f.id WHERE f.rank <= 5
-""",
-)
+"""
+
+
+@query("fused_search", fused_sql(S.REQUESTS_SQL))
 def fused_search(spark, folder):
     found = search.fused_search(S.requests(spark, folder), points(spark, folder))
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("ann_knn")
-def ann_knn(spark, folder):
+# Of ten requests one is cut off, one has no phrase, one asks for a genre that no song has,
+# and one for a tempo with a decimal point.
+ANSWERABLE_SQL = f"""
+SELECT qid, query, CASE WHEN qid % 10 = 2 THEN 'nowhere' ELSE genre END AS genre, key,
+       CASE WHEN qid % 10 = 3 THEN 90.0 ELSE bpm END::DOUBLE AS bpm, artist_ref, title_ref
+FROM ({S.REQUESTS_SQL}) WHERE qid % 10 NOT IN (0, 1)"""
+
+
+@query(
+    "search_responses",
+    f"""
+SELECT q.qid, CASE WHEN q.qid % 10 NOT IN (0, 1) THEN q.query END AS query_input,
+       CASE q.qid % 10 WHEN 0 THEN 'Invalid request' WHEN 1 THEN 'Missing ''query'' field' END AS error,
+       id, lists, rank, artist, title, album, letra, mbid, bpm, key, genre, link, score
+FROM (SELECT qid, query FROM ({S.REQUESTS_SQL})) q LEFT JOIN ({fused_sql(ANSWERABLE_SQL)}) USING (qid)
+""",
+)
+def search_responses(spark, folder):
+    kind = F.col("qid") % 10
+    fields = (
+        F.when(kind != 1, F.col("query")).alias("query"),
+        F.when(kind == 2, "nowhere").otherwise(F.col("genre")).alias("genre"),
+        "key",
+        F.when(kind == 3, F.lit(90.0)).otherwise(F.col("bpm").cast("double")).alias("bpm"),
+        "artist_ref",
+        "title_ref",
+    )
+    body = F.to_json(F.struct(*fields))
+    texts = S.requests(spark, folder).select("qid", F.when(kind == 0, F.substring(body, 1, 12)).otherwise(body).alias("request"))
+    found = search.search_responses(texts, points(spark, folder))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+def stored_cells(spark, folder):
+    """Centres and the point table partitioned by cell, fitted and written once for a search to read."""
+    path = new_path(spark, "cells")
     songs = vectors(spark, folder)
     centres = ann.fit_cells(songs, "track_vector", 20)
-    celled = ann.assign_cells(songs, "track_vector", centres)
-    hits = ann.ann_knn(sounds(spark, folder), celled, "track_vector", 15, centres, probes=5)
-    return rounded(hits)
+    return centres, ann.write_cells(songs, "track_vector", centres, path)
+
+
+@query("ann_all_cells", f"SELECT qid, id, round(score, 4) AS score, position FROM ({TRACK_TOP_SQL})")
+def ann_all_cells(spark, folder):
+    """With every cell probed, the cells must give exactly what exact search gives."""
+    centres, celled = stored_cells(spark, folder)
+    return rounded(ann.ann_knn(sounds(spark, folder), celled, "track_vector", 15, centres, probes=len(centres)))
+
+
+@query("ann_recall", "SELECT TRUE AS enough")
+def ann_recall(spark, folder):
+    """Whether 12 of 20 cells find seven tenths of the exact neighbours."""
+    centres, celled = stored_cells(spark, folder)
+    asked = sounds(spark, folder)
+    found = ann.ann_knn(asked, celled, "track_vector", 15, centres, probes=12)
+    exact = knn.knn(asked, vectors(spark, folder), "track_vector", 15)
+    return ann.recall(found, exact).select((F.col("recall") >= 0.7).alias("enough"))
+
+
+@query("ann_knn")
+def ann_knn(spark, folder):
+    centres, celled = stored_cells(spark, folder)
+    return rounded(ann.ann_knn(sounds(spark, folder), celled, "track_vector", 15, centres, probes=5))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cantera.operators.embedding import pool_nested
 from cantera.sources.sinks import tag_rejected
 
-# Payload field and the catalogue column it comes from.
+# Payload field and the catalogue column it comes from.
 PAYLOAD = {
     "artist": "artista",
     "title": "cancion",
@@ -26,8 +26,8 @@ def payload() -> Column:
     return F.struct(*[F.col(column).alias(field) for field, column in PAYLOAD.items()])
 
 
-def to_points(songs: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
-    """(id, track_vector, lyrics_vector, payload, reason) of catalogue rows.
+def to_points(songs: DataFrame, widths: dict[str, int] | None = None, version: str | None = None) -> DataFrame:
+    """(id, track_vector, lyrics_vector, payload, version, reason) of catalogue rows.
 
     `reason` is null for rows that can be published; a song whose patches cannot be averaged,
     or that has a vector missing or of another width than `widths`, says why instead.
@@ -41,7 +41,11 @@ def to_points(songs: DataFrame, widths: dict[str, int] | None = None) -> DataFra
     for name, width in (widths or {}).items():
         checks[f"{name} is not {width} wide"] = F.size(columns[name]) != width
     return tag_rejected(pooled, checks).select(
-        "id", *[column.alias(name) for name, column in columns.items()], payload().alias("payload"), "reason"
+        "id",
+        *[column.alias(name) for name, column in columns.items()],
+        payload().alias("payload"),
+        (F.col(version) if version else F.lit(0)).cast("long").alias("version"),
+        "reason",
     )
 
 

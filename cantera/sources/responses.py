@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cantera.tables import SCHEMAS
+from cantera.tables import SCHEMAS, spread
 
 TAGS = "features.metadata.tags"
 
@@ -66,8 +66,11 @@ def flatten_features(documents: DataFrame, document: str) -> DataFrame:
     """
     tags = "STRUCT<bpm: STRING, initialkey: STRING, genre: STRING>"
     schema = f"STRUCT<postgre_id: BIGINT, features: STRUCT<metadata: STRUCT<tags: {tags}>>>"
-    parsed = documents.select(F.from_json(document, F.lit(schema)).alias("d")).filter("d.postgre_id is not null")
-    read = parsed.select("d.postgre_id", *[F.col(f"d.{TAGS}.{t}").alias(t) for t in ("bpm", "initialkey", "genre")])
+    # Through a one-element list, so that the filter is not moved below the parse, which would repeat it.
+    parsed = spread(documents.select(document)).select(F.explode(F.array(F.from_json(document, F.lit(schema)))).alias("d"))
+    read = parsed.filter("d.postgre_id is not null").select(
+        "d.postgre_id", *[F.col(f"d.{TAGS}.{t}").alias(t) for t in ("bpm", "initialkey", "genre")]
+    )
     return read.select(
         "postgre_id",
         first_or_self(F.col("bpm")).try_cast("double").alias("bpm"),
@@ -83,8 +86,12 @@ def first_or_self(tag: Column) -> Column:
 
 
 def parse_requests(df: DataFrame, request: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Search requests with an `error` column; an unset or empty filter is no constraint."""
-    schema = SCHEMAS["requests"].replace(" ", ": ").replace(",: ", ", ")
+    """Search requests with an `error` column; an unset or empty filter is no constraint.
+
+    Only JSON that cannot be read is invalid. Fields are read as text, so that a tempo may be
+    any number; one that is no number sets no constraint.
+    """
+    schema = ", ".join(f"{column.split()[0]}: STRING" for column in SCHEMAS["requests"].split(", "))
     corrupt = {"columnNameOfCorruptRecord": "_broken"}
     fields = F.from_json(request, F.lit(f"STRUCT<{schema}, _broken: STRING>"), corrupt)
     parsed = df.select(*keep, F.col(request).alias("_raw"), fields.alias("_r"))
@@ -97,7 +104,7 @@ def parse_requests(df: DataFrame, request: str, keep: Sequence[str] = ()) -> Dat
         blank("query"),
         blank("genre"),
         blank("key"),
-        F.nullif(F.col("_r.bpm"), F.lit(0)).alias("bpm"),
+        F.nullif(F.col("_r.bpm").try_cast("double"), F.lit(0.0)).alias("bpm"),
         blank("artist_ref"),
         blank("title_ref"),
         error.alias("error"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -66,10 +68,15 @@ def read_progress(progress: DataFrame, stages: DataFrame) -> DataFrame:
 def progress_stream(
     updates: DataFrame, order: Sequence[str], target: str, checkpoint: str
 ) -> StreamingQuery:
-    """Reduce each micro-batch of a stream of updates to one state per stage, under its own folder."""
+    """Reduce each micro-batch of a stream of updates to one state per stage, under its own folder.
+
+    A folder belongs to one checkpoint and batch: streams that share a target add up, and a
+    repeated batch replaces only itself.
+    """
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def reduce(batch: DataFrame, number: int) -> None:
-        _newest(_states(batch, order)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        _newest(_states(batch, order)).write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
 
     return (
         updates.writeStream.foreachBatch(reduce)
@@ -79,6 +86,16 @@ def progress_stream(
     )
 
 
-def streamed_progress(spark: SparkSession, target: str) -> DataFrame:
-    """The progress that all reduced batches add up to."""
-    return _progress(spark.read.parquet(target).drop("batch"))
+def streamed_progress(spark: SparkSession, target: str, updates: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The progress that all reduced batches add up to; empty if nothing was written yet.
+
+    `updates` gives the schema only; it may be the stream itself.
+    """
+    schema = _newest(_states(spark.createDataFrame([], updates.schema), order)).schema
+    try:
+        states = spark.read.schema(schema).parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        states = spark.createDataFrame([], schema)
+    return _progress(states)

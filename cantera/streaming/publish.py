@@ -23,7 +23,7 @@ from cantera.sources.points import to_points
 from cantera.tables import SCHEMAS
 
 LOG_SCHEMA = (
-    f"{SCHEMAS['points']}, reason STRING, published_at TIMESTAMP, rejected BOOLEAN, run STRING, batch BIGINT"
+    f"{SCHEMAS['points']}, version BIGINT, reason STRING, published_at TIMESTAMP, rejected BOOLEAN, run STRING, batch BIGINT"
 )
 
 
@@ -36,17 +36,25 @@ def publish_stream(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     max_files: int = 1000,
     widths: dict[str, int] | None = None,
+    version: str | None = None,
 ) -> StreamingQuery:
     """Publish the Parquet files at `source` that were not published yet, then stop.
 
-    `prepare` turns source rows into catalogue rows with both vectors. `widths` are those of
-    the point table; vectors of another width are rejected.
+    `prepare` turns source rows into catalogue rows with both vectors. Vectors of another
+    width than the point table's are rejected: `widths`, or else those of what is published,
+    or else the widths that most songs of the first batch have. The row with the largest
+    `version`, a whole number of the source, is a song's newest; without one, later runs
+    replace earlier ones, and within a batch the row that sorts last by its title and lyric.
     """
+    settled = dict(widths or {})
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def publish(batch: DataFrame, number: int) -> None:
-        points = to_points(prepare(batch) if prepare else batch, widths)
+        songs = prepare(batch) if prepare else batch
+        if not settled:
+            settled.update(widths_of(published(spark, target)) or widths_of(to_points(songs)))
+        points = to_points(songs, settled, version)
         stamped = points.withColumns(
             {"published_at": F.current_timestamp(), "rejected": F.col("reason").isNotNull()}
         )
@@ -62,6 +70,14 @@ def publish_stream(
     )
 
 
+def widths_of(points: DataFrame) -> dict[str, int]:
+    """The width of most vectors of each kind; empty if there is no usable point."""
+    names = ("track_vector", "lyrics_vector")
+    usable = points.filter("reason IS NULL") if "reason" in points.columns else points
+    found = usable.agg(*[F.expr(f"mode(size({n})) FILTER (WHERE size({n}) > 0)").alias(n) for n in names]).first()
+    return {n: found[n] for n in names if found[n] is not None}
+
+
 def publish_available(*args, **options) -> None:
     """`publish_stream`, waited for."""
     publish_stream(*args, **options).awaitTermination()
@@ -80,8 +96,10 @@ def _log(spark: SparkSession, target: str) -> DataFrame:
 def published(spark: SparkSession, target: str, base: str | None = None) -> DataFrame:
     """The newest point of every song in the log `target`, and of `base` where the log has none."""
     accepted = _log(spark, target).filter(~F.col("rejected"))
-    newest = first_per_key(accepted, ["id"], [F.desc("published_at"), F.desc("batch")])
-    newest = newest.drop("reason", "rejected", "run", "batch", "published_at")
+    newest = first_per_key(
+        accepted, ["id"], [F.desc("version"), F.desc("published_at"), F.desc("batch"), F.desc("payload")]
+    )
+    newest = newest.drop("version", "reason", "rejected", "run", "batch", "published_at")
     if base is None:
         return newest
     kept = absent(spark.read.schema(SCHEMAS["points"]).parquet(base), accepted, ["id"], unique=True)

@@ -34,7 +34,7 @@ SCHEMAS = {
         "link STRING, bpm DOUBLE, key STRING, genre STRING>"
     ),
     "requests": (
-        "query STRING, genre STRING, key STRING, bpm INT, artist_ref STRING, title_ref STRING"
+        "query STRING, genre STRING, key STRING, bpm DOUBLE, artist_ref STRING, title_ref STRING"
     ),
 }
 

@@ -103,12 +103,14 @@ def test_orphans(spark, tables):
 def test_enrich_modes(spark):
     target = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, None, 3.0)], "id INT, mbid STRING, bpm DOUBLE")
     updates = spark.createDataFrame([(1, None, None), (3, "c", 9.0), (7, "z", 7.0)], "id INT, mbid STRING, bpm DOUBLE")
-    over = sorted(map(tuple, R.enrich(target, updates, "id", ["mbid", "bpm"]).collect()))
+    order = [F.desc("bpm")]
+    over = sorted(map(tuple, R.enrich(target, updates, "id", order, ["mbid", "bpm"]).collect()))
     assert over == [(1, None, None), (2, "b", 2.0), (3, "c", 9.0)]
-    keep = sorted(map(tuple, R.enrich(target, updates, "id", ["mbid", "bpm"], "coalesce").collect()))
+    keep = sorted(map(tuple, R.enrich(target, updates, "id", order, fill=["mbid", "bpm"]).collect()))
     assert keep == [(1, "a", 1.0), (2, "b", 2.0), (3, "c", 9.0)]
-    with pytest.raises(ValueError):
-        R.enrich(target, updates, "id", ["bpm"], "other")
+    twice = updates.unionByName(updates.selectExpr("id", "'older' AS mbid", "-1D AS bpm"))
+    both = sorted(map(tuple, R.enrich(target, twice, "id", order, ["bpm"], ["mbid"]).collect()))
+    assert both == [(1, "older", -1.0), (2, "b", 2.0), (3, "c", 9.0)]
 
 
 def test_upsert_twice_is_upsert_once(spark):

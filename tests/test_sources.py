@@ -101,6 +101,26 @@ def test_requests(spark):
     assert got[4] == ("x", None, "C", 120, None)
 
 
+def test_any_number_is_a_tempo(spark):
+    bodies = ['{"query":"x","bpm":120}', '{"query":"x","bpm":120.0}', '{"query":"x","bpm":120.5}', '{"query":"x","bpm":"fast"}', '{"query":"x","bpm":', '{"bpm":1}']
+    df = spark.createDataFrame(list(enumerate(bodies)), "qid INT, body STRING")
+    got = {r.qid: (r.bpm, r.error) for r in responses.parse_requests(df, "body", ("qid",)).collect()}
+    assert got == {
+        0: (120.0, None),
+        1: (120.0, None),
+        2: (120.5, None),
+        3: (None, None),
+        4: (None, "Invalid request"),
+        5: (1.0, "Missing 'query' field"),
+    }
+
+
+def test_features_are_parsed_once(spark):
+    df = spark.range(1).selectExpr("cast(id as string) AS d")
+    plan = responses.flatten_features(df, "d")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("postgre_id,LongType") + plan.count("from_json(StructField(postgre_id") <= 1
+
+
 def test_landing_once(spark):
     path = new_path(spark, "landed")
     schema = SCHEMAS["features"]

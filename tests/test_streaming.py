@@ -45,6 +45,21 @@ def test_publish_again_changes_nothing_and_a_changed_song_replaces(spark, places
     assert run(spark, places) == {1: ("one", [2.0]), 2: ("two, new", [7.0]), 3: ("three", [8.0])}
 
 
+def test_the_largest_version_counts_and_widths_are_kept(spark, places):
+    source, target, _ = places
+    first = songs(spark, song(1, "new", [[1.0]]), song(2, "two", [[5.0]]), song(2, "two b", [[6.0]])).withColumn("v", F.lit(2))
+    old = songs(spark, song(1, "old", [[3.0]])).withColumn("v", F.lit(1))
+    first.unionByName(old).coalesce(1).write.parquet(source)
+    publish.publish_available(spark, source, f"{SONG}, v INT", target, places[2], version="v")
+    got = {r.id: r.payload.title for r in publish.published(spark, target).collect()}
+    assert got == {1: "new", 2: "two b"}
+    # A later run with an older version replaces nothing; another width is rejected.
+    songs(spark, song(1, "older", [[4.0]]), song(3, "wide", [[1.0, 2.0]])).withColumn("v", F.lit(0)).write.mode("append").parquet(source)
+    publish.publish_available(spark, source, f"{SONG}, v INT", target, places[2], version="v")
+    assert {r.id: r.payload.title for r in publish.published(spark, target).collect()} == got
+    assert {r.id for r in publish.rejected(spark, target).collect()} == {3}
+
+
 def test_files_are_taken_in_batches(spark, places):
     source, target, _ = places
     songs(spark, *[song(i, f"s{i}", [[1.0]]) for i in range(8)]).repartition(4).write.parquet(source)
@@ -129,4 +144,14 @@ def test_progress_stream_adds_up_over_batches(spark):
         updates(spark).filter(F.col("n") == n).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(UPDATES).parquet(source)
         progress.progress_stream(stream, ["n"], target, checkpoint).awaitTermination()
-    assert as_dict(progress.streamed_progress(spark, target)) == WANT
+    assert as_dict(progress.streamed_progress(spark, target, stream, ["n"])) == WANT
+
+
+def test_two_progress_streams_share_a_target(spark):
+    source, target = new_path(spark, "updates"), new_path(spark, "progress")
+    assert as_dict(progress.streamed_progress(spark, target, updates(spark), ["n"])) == {}
+    updates(spark).write.parquet(source)
+    for stage in ("artistas", "letras"):
+        stream = spark.readStream.schema(UPDATES).parquet(source).filter(F.col("task_type") == stage)
+        progress.progress_stream(stream, ["n"], target, new_path(spark, "checkpoint")).awaitTermination()
+    assert as_dict(progress.streamed_progress(spark, target, stream, ["n"])) == WANT
