@@ -2,8 +2,8 @@
 
 Points never shuffle while the queries fit a checked bound: the query matrix is broadcast,
 each task multiplies it with its Arrow batches, keeps the best k per query, and only those
-few rows are ranked across tasks. More queries than that are split into blocks which meet
-the points by hash (`_replicated`), so neither side has to fit anywhere as a whole.
+few rows are ranked across tasks. More queries than that are split into blocks, each of
+which scans the points once (`_in_blocks`), so neither side has to fit anywhere as a whole.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cantera.session import new_path
+
 # Queries that may be broadcast, and the bytes their vectors may take.
 MAX_QUERIES = 4096
 MAX_QUERY_BYTES = 128 << 20
@@ -247,7 +249,7 @@ def search_lists(
         if size.n <= max_queries and (size.elements or 0) * 8 <= MAX_QUERY_BYTES:
             small.append((item.name, item.vector, Queries.of(queries.toArrow(), qid, item.query_vector, filters)))
         else:
-            parts.append(_replicated(item, queries, points, k, filters, qid, id, max_queries))
+            parts.append(_in_blocks(item, queries, points, k, filters, qid, id, max_queries))
     key_type = lists[0].queries.schema[qid].dataType
     if small:
         parts.insert(0, _broadcasted(spark, small, points, k, filters, qid, id, key_type))
@@ -300,66 +302,24 @@ def _broadcasted(spark, small, points, k, filters, qid, id, key_type) -> DataFra
     return narrow.mapInArrow(scan, _hit_schema(qid, id, key_type))
 
 
-def _replicated(item: SearchList, queries, points, k, filters, qid, id, max_queries) -> DataFrame:
-    """Blocks of queries against cells of points, every pair of them in one group.
+def _in_blocks(item: SearchList, queries, points, k, filters, qid, id, max_queries) -> DataFrame:
+    """More queries than may be broadcast: one scan of the points for each block of them.
 
-    Each group is sorted with its queries, a bounded number, in front; its points are then
-    streamed past them. Hashing unique ids keeps blocks and cells even whatever the data.
+    Points stay where they are. A block is fetched, broadcast, searched and forgotten before
+    the next one; its best k rows per query go to the shared folder. Blocks are bounded by
+    number and by bytes.
     """
     spark = points.sparkSession
+    path = new_path(spark, "neighbours")
     load = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(item.query_vector).cast("long")).alias("elements")).first()
     # Half of either bound, since hashing fills blocks unevenly.
     blocks = max(1, -(-2 * load.n // max_queries), -(-2 * 8 * (load.elements or 0) // MAX_QUERY_BYTES))
-    # Enough groups for every task; more cells would only copy the queries more often.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = max(1, -(-2 * tasks // blocks))
+    settled = queries.withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(blocks))).checkpoint()
     key_type = queries.schema[qid].dataType
-    name = item.name
-    elements = {queries.schema[item.query_vector].dataType.elementType, points.schema[item.vector].dataType.elementType}
-    wide = "array<float>" if elements == {T.FloatType()} else "array<double>"
-    asked = queries.select(
-        F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
-        F.lit(0).alias("side"),
-        F.col(qid),
-        F.lit(None).cast("long").alias(id),
-        F.col(item.query_vector).cast(wide).alias("vector"),
-        *[F.col(name).cast(points.schema[name].dataType) for name in filters],
-    )
-    scanned = points.filter(F.col(item.vector).isNotNull()).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        F.pmod(F.xxhash64(id), F.lit(cells)).cast("int").alias("cell"),
-        F.lit(1).alias("side"),
-        F.lit(None).cast(key_type).alias(qid),
-        F.col(id).cast("long").alias(id),
-        F.col(item.vector).cast(wide).alias("vector"),
-        *filters,
-    )
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, waiting, best = None, [], None
-        for batch in batches:
-            marks = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            edges = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
-            for start, end in zip(np.r_[0, edges], np.r_[edges, len(marks)]):
-                run = batch.slice(start, end - start)
-                if tuple(marks[start][:2]) != group:
-                    if best is not None:
-                        yield _hits(name, best, qid, id)
-                    group, waiting, best = tuple(marks[start][:2]), [], None
-                if marks[start][2] == 0:
-                    waiting.append(run)
-                    continue
-                if best is None:
-                    if not waiting:
-                        continue
-                    best = Best(Queries.of(pa.Table.from_batches(waiting), qid, "vector", filters), k)
-                ids = run.column(id).to_numpy(zero_copy_only=False)
-                best.see(ids, _matrix(run.column("vector")), [run.column(column) for column in filters])
-        if best is not None:
-            yield _hits(name, best, qid, id)
-
-    both = asked.unionByName(scanned)
-    # A given number of partitions is not coalesced by size: the work is in the products.
-    grouped = both.repartition(tasks, "block", "cell").sortWithinPartitions("block", "cell", "side")
-    return grouped.mapInArrow(meet, _hit_schema(qid, id, key_type))
+    best = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(id))
+    for block in range(blocks):
+        part = Queries.of(settled.filter(F.col("_block") == block).drop("_block").toArrow(), qid, item.query_vector, filters)
+        found = _broadcasted(spark, [(item.name, item.vector, part)], points, k, filters, qid, id, key_type)
+        ranked = found.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k).drop("_place")
+        ranked.write.mode("append").parquet(path)
+    return spark.read.schema(_hit_schema(qid, id, key_type)).parquet(path)
