@@ -32,6 +32,8 @@ SPREADS = 6.0
 SKETCH_K = 4096
 # A group with fewer measured rows takes the fences of its language, then those of all rows.
 MIN_ROWS = 100
+# Fences of up to this many groups, a few MB, are broadcast; more are joined by shuffling.
+BROADCAST_GROUPS = 50_000
 
 
 def words_of(text: Column) -> Column:
@@ -39,17 +41,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, SPACE), ""), F.array().cast("array<string>"))
 
 
-def _fresh(columns: Sequence[str], *names: str) -> list[str]:
-    """Names like those given that no column has yet (compared as Spark does, without case)."""
-    taken, fresh = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        fresh.append(name)
-    return fresh
-
-
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with `COUNTS` of every whole text (long; columns of these names are replaced).
 
@@ -58,17 +49,32 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
     twice or more in its text; windows are compared by 64-bit hashes of their words.
     """
     columns = [c for c in docs.columns if c.lower() not in COUNTS]
-    words, windows, ordered, at = _fresh(docs.columns, "_words", "_windows", "_ordered", "_at")
+    words, windows, ordered, at = "words", "windows", "ordered", "at"
     n = F.size(words)
     # The last two words start no window.
     hashed = F.transform(
         F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
     )
     none = F.array().cast("array<bigint>")
-    source = F.coalesce(F.col(text), F.lit(""))
+    source = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(source, "\n"), lambda line: line.rlike(WORD_CHAR))
+    # Three words from each repeated window, less what the next one covers again.
+    covered = F.aggregate(
+        F.zip_with(
+            at,
+            F.slice(at, F.lit(2), F.greatest(F.size(at), F.lit(0))),
+            lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))),
+        ),
+        F.lit(0),
+        lambda total, x: total + x,
+    )
     return (
-        docs.withColumn(words, words_of(F.col(text)))
+        # The row travels as one value, so that no name of its own can clash.
+        docs.select(
+            F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns]).alias("row"),
+            F.col(f"`{text}`").cast("string").alias("text"),
+            words_of(F.col(f"`{text}`").cast("string")).alias(words),
+        )
         .withColumn(windows, F.when(n >= 3, hashed).otherwise(none))
         # Most texts repeat no window; only the others are sorted.
         .withColumn(
@@ -90,28 +96,23 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
                 )
             ),
         )
+        # One value through a generator: conditions on the counts are not moved below it, where
+        # the steps above would be worked out anew for every element.
         .select(
-            *[F.col(f"`{c}`") for c in columns],
-            n.cast("long").alias("n_words"),
-            F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
-            (F.char_length(source) - F.char_length(F.regexp_replace(source, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-            # Three words from each repeated window, less what the next one covers again.
-            F.coalesce(
-                F.aggregate(
-                    F.zip_with(
-                        at,
-                        F.slice(at, F.lit(2), F.greatest(F.size(at), F.lit(0))),
-                        lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))),
-                    ),
-                    F.lit(0),
-                    lambda total, x: total + x,
-                ),
-                F.lit(0),
-            )
-            .cast("long")
-            .alias("n_repeat_words"),
+            "row",
+            F.explode(
+                F.array(
+                    F.struct(
+                        n.cast("long").alias("n_words"),
+                        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+                        (F.char_length(source) - F.char_length(F.regexp_replace(source, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+                        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+                        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+                    )
+                )
+            ).alias("counts"),
         )
+        .select(*[F.col(f"row.`{c}`") for c in columns], "counts.*")
     )
 
 
@@ -181,16 +182,23 @@ def fences(counts: DataFrame, by: Sequence[str] = ("lang", "source"), min_rows:
 
 def judged(counts: DataFrame, limits: DataFrame, by: Sequence[str] = ("lang", "source")) -> DataFrame:
     """`counts` with `base_failed` and `kept`: no base failure and no measure beyond its fence."""
-    marked = counts.select("*", *[F.col(f"`{c}`").alias(f"by_{i}__own") for i, c in enumerate(by)])
+    plain = [c for c in counts.columns if c.lower() not in ("base_failed", "kept")]
+    marked = counts.select(
+        F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"),
+        *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(by)],
+        F.struct(*[m.alias(name) for name, m in measures().items()]).alias("measured"),
+        base_failed().alias("base_failed"),
+    )
     condition = F.lit(True)
     for i in range(len(by)):
-        condition = condition & F.col(f"by_{i}__own").eqNullSafe(F.col(f"by_{i}"))
+        condition = condition & F.col(f"own_{i}").eqNullSafe(F.col(f"by_{i}"))
     beyond = F.lit(False)
-    for name, measure in measures().items():
-        beyond = beyond | F.coalesce(measure > F.col(f"fence_{name}"), F.lit(False))
-    plain = [F.col(f"`{c}`") for c in counts.columns if c.lower() not in ("base_failed", "kept")]
-    return marked.join(limits, condition, "left").select(
-        *plain, base_failed().alias("base_failed"), (~base_failed() & ~beyond).alias("kept")
+    for name in UPPER:
+        beyond = beyond | F.coalesce(F.col(f"measured.{name}") > F.col(f"fence_{name}"), F.lit(False))
+    # The number of groups is counted; only few enough of them are sent to every task.
+    few = limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return marked.join(F.broadcast(limits) if few else limits, condition, "left").select(
+        *[F.col(f"row.`{c}`") for c in plain], "base_failed", (~F.col("base_failed") & ~beyond).alias("kept")
     )
 
 

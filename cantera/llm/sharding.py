@@ -85,9 +85,9 @@ def slots(written: DataFrame) -> DataFrame:
         F.col("bucket").alias("b"),
         F.expr("sum(n) OVER (PARTITION BY shard ORDER BY bucket) - n").cast("long").alias("before"),
     ).checkpoint()
-    columns = [c for c in written.columns if c != "slot"]
-    joined = written.join(before, (F.col("shard") == F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.select(*[F.col(f"`{c}`") for c in columns], (F.col("before") + F.col("place")).alias("slot"))
+    columns = [c for c in written.columns if c.lower() != "slot"]
+    same = (written["shard"] == before["s"]) & (written["bucket"] == before["b"])
+    return written.join(before, same).select(*[written[f"`{c}`"] for c in columns], (before["before"] + written["place"]).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, **options) -> DataFrame:

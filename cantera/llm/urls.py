@@ -98,12 +98,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .agg(F.max_by(F.struct("rule", "verdict"), better).alias("best"))
         .withColumnRenamed("url", "judged_url")
     )
-    host, path = url_parts(F.col(f"`{url}`"))
-    own = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    return pages.join(best, F.col(f"`{url}`") == F.col("judged_url"), "left").select(
+    own = [pages[f"`{c}`"] for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    host, path = url_parts(pages[f"`{url}`"])
+    return pages.join(best, pages[f"`{url}`"] == best["judged_url"], "left").select(
         *own,
         host.alias("host"),
         path.alias("path"),
-        F.col("best.rule").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        best["best"]["rule"].alias("rule"),
+        F.coalesce(best["best"]["verdict"], F.lit(default)).alias("verdict"),
     )
