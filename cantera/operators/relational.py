@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cantera.operators import paging
+
 
 def keys_of(df: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """The distinct key values of `df`, renamed to `names`."""
@@ -172,8 +174,8 @@ def missing_lyrics(
         if offset:
             raise ValueError("an offset needs a limit; see paging.resume_by_position")
         return missing
-    page = missing.orderBy("id")
-    return (page.offset(offset) if offset else page).limit(limit)
+    # An OFFSET would bring all rows before the page to one task; the key at its end is a filter.
+    return paging.resume_by_position(missing, "id", offset).orderBy("id").limit(limit)
 
 
 def song_artist(songs: DataFrame, artists: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Fetching the few songs of a result names their ids to the scan, one by one.
     "spark.sql.parquet.pushdown.inFilterThreshold": "32768",
 }
@@ -41,7 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        # One machine only: `local-cluster` has executors of its own, like any cluster.
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cantera-")
     if context.getCheckpointDir() is None:
@@ -51,7 +54,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has been written to yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _work.add(path)
+    return path
+
+
+_work: set[str] = set()
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete what was written under `new_path`; for when no result that reads it is needed any more."""
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in sorted(_work):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(configuration).delete(place, True)
+    _work.clear()
 
 
 _shipped: set[str] = set()
