@@ -34,6 +34,8 @@ UNDETERMINED = "und"
 LETTER_BYTE = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 MARK = "▁"
 WORDS_AT_ONCE = 20_000
+# A block needs some thirty times its text in numbers.
+BLOCK = 6 << 20
 
 
 def words(texts: pa.Array) -> Runs:
@@ -183,7 +185,7 @@ def learn(
     drawn = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_000)) < F.coalesce(share[F.col(lang)], F.lit(0.0)) * 1_000_000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             runs = words(block.column("text"))
             number = pc.index_in(block.column("lang"), pa.array(languages)).to_numpy(zero_copy_only=False).astype(np.int64)
             width = max(1, len(runs.words))
@@ -250,7 +252,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         model = shared.value
         for batch in batches:
             renamed = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
-            for block in blocks([renamed], f"c{place}"):
+            for block in blocks([renamed], f"c{place}", BLOCK):
                 runs = words(block.column(place))
                 each = np.zeros((len(runs.words), len(model.languages)))
                 for rows, letters in model.trie.matrices(runs.words) if model.trie else []:
