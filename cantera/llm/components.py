@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cantera.operators.relational import reshuffled
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
@@ -32,11 +34,12 @@ def connected(links: DataFrame) -> DataFrame:
         # Large star: greater neighbours of a node move to the smallest one around it.
         both = edges.select(_each(("u", "v"), ("v", "u")))
         lowest = both.groupBy(F.col("u").alias("hub")).agg(F.min("v").alias("low"))
-        large = both.where("v > u").join(lowest, F.col("u") == F.col("hub"))
+        # `reshuffled`, for a hub with very many links to be split at run time.
+        large = both.where("v > u").join(reshuffled(lowest, ["hub"]), F.col("u") == F.col("hub"))
         large = large.select(F.col("v").alias("u"), F.least("low", "hub").alias("v")).distinct().checkpoint()
         # Small star: a node and its smaller neighbours move to the smallest of them.
         lowest = large.groupBy(F.col("u").alias("hub")).agg(F.min("v").alias("low"))
-        small = large.join(lowest, F.col("u") == F.col("hub")).select(_each(("u", "low"), ("v", "low")))
+        small = large.join(reshuffled(lowest, ["hub"]), F.col("u") == F.col("hub")).select(_each(("u", "low"), ("v", "low")))
         edges = small.where("u <> v").distinct().checkpoint()
         now = _state(edges)
         if now == state:

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from cantera.llm.components import connected
 from cantera.llm.runs import Runs, blocks, byte_class, changes
+from cantera.operators.relational import reshuffled
 
 BITS = 64
 SEGMENTS = 5
@@ -199,10 +200,11 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     grouped = connected(close_pairs(classes.select("print"), distance))
     members = classes.join(grouped, F.col("print") == F.col("node")).select("print", "component", "low")
     least = members.groupBy("component").agg(F.min("low").alias("least"))
-    named = members.join(least, "component").select(F.col("print").alias("named"), "least")
+    named = members.join(reshuffled(least, ["component"]), "component").select(F.col("print").alias("named"), "least")
     final = classes.join(named, F.col("print") == F.col("named"), "left").select(
         F.col("print").alias("class"), F.when(F.col("named").isNotNull(), F.col("least")).otherwise(F.col("low")).alias("component_id")
     )
-    return prints.join(final, F.col("print") == F.col("class")).select(
+    # A print with very many rows is split at run time, for which both sides have to be shuffled.
+    return prints.join(reshuffled(final, ["class"]), F.col("print") == F.col("class")).select(
         F.col("key").alias(key), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
