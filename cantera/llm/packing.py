@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from cantera.llm.runs import Remembered, Runs, blocks, byte_class
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 4096
+BLOCK = 8 << 20
 
 ASCII_SPACE = byte_class((9, 13), (32, 32))
 
@@ -44,8 +46,9 @@ def before_space(data: np.ndarray) -> np.ndarray:
     return begins & ~doubtful
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Remembered:
-    """Ids of runs by a tokenizer file."""
+    """Ids of runs by a tokenizer file; a worker keeps them from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -70,7 +73,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str, text: str, length: int, en
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, number = encoder(tokenizer), TaskContext.get().partitionId() << 40
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", BLOCK):
             runs = Runs(block.column("text"), before_space)
             flat, counts = encode(runs)
             ends = np.concatenate([[0], np.cumsum(counts)])[runs.first]

@@ -11,6 +11,7 @@ in just these pieces, so exactly one path is left and it is the one the library
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from cantera.llm.runs import Remembered, Runs, blocks
 
 MARK = "▁"
 BLOCK = 8 << 20
+# Pairs of pieces a worker remembers; beyond that it starts anew.
+FITS = 500_000
 
 
 class Vocabulary:
@@ -84,7 +87,7 @@ class Vocabulary:
         """Whether merging the two texts together ends in just these two pieces."""
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) >= FITS:
                 self._fits.clear()
             known = self._fits[left, right] = self.merged(left + right) == [left, right]
         return known
@@ -139,6 +142,13 @@ class SharedPrefixViterbi:
         return [found[t] for t in texts]
 
 
+@lru_cache(maxsize=1)
+def encoder(model: str) -> tuple[np.ndarray, Remembered]:
+    """(cuts, ids of runs) of a model; a worker keeps them from task to task."""
+    vocabulary = Vocabulary(model)
+    return vocabulary.cuts(), Remembered(SharedPrefixViterbi(vocabulary).encode)
+
+
 def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """`docs` with `ids` (array of int): the ids of every whole text, as the library gives them.
 
@@ -150,9 +160,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
-        table = vocabulary.cuts()
-        ids_of = Remembered(SharedPrefixViterbi(vocabulary).encode)
+        table, ids_of = encoder(model)
 
         def cut(data: np.ndarray) -> np.ndarray:
             begins = np.zeros(len(data), bool)
