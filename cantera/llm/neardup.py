@@ -28,6 +28,8 @@ RECALL = 0.97
 # Neighbours that a row of a crowded bucket is compared with, besides the bucket's first.
 NEIGHBOURS = 4
 SEGMENTS = 4
+# Numbers of texts, 8 bytes each, that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def agreement(similarity: float) -> float:
@@ -36,16 +38,16 @@ def agreement(similarity: float) -> float:
 
 
 def table_plan(rows: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a key, tables): keys so long that a bucket seldom holds strangers, tables for the recall."""
-    bits = max(12, math.ceil(math.log2(rows + 1)) + 2)
+    """(bits of a key, tables): keys so long that a bucket holds about one stranger, tables for the recall."""
+    bits = max(12, math.ceil(math.log2(rows + 1)))
     met = agreement(similarity) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log1p(-met))
 
 
 def farthest(similarity: float) -> int:
-    """Differing bits of two prints that hardly any pair of the similarity goes beyond (four deviations)."""
+    """Differing bits of two prints that hardly any pair of the similarity goes beyond (three deviations)."""
     p = 1 - agreement(similarity)
-    return min(BITS, math.ceil(BITS * p + 4 * math.sqrt(BITS * p * (1 - p))))
+    return min(BITS, math.ceil(BITS * p + 3 * math.sqrt(BITS * p * (1 - p))))
 
 
 def votes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -55,7 +57,7 @@ def votes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             T.StructField("key", docs.schema[key].dataType),
             T.StructField("content", T.LongType()),
             T.StructField("print", T.LongType()),
-            T.StructField("votes", T.ArrayType(T.FloatType())),
+            T.StructField("votes", T.ArrayType(T.ByteType())),
         ]
     )
 
@@ -64,7 +66,7 @@ def votes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             shingles = Shingles(block.column("text"), words)
             balance = 2 * shingles.bit_counts() - np.diff(shingles.first)[:, None]
             scale = np.maximum(1, np.abs(balance).max(axis=1, initial=1))[:, None]
-            flat = pa.array((balance / scale).astype(np.float32).ravel())
+            flat = pa.array(np.rint(127 * balance / scale).astype(np.int8).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(balance) + 1) * BITS, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
                 [block.column("key"), block.column("content"), pa.array(packed(balance > 0)), lists], names=schema.names
@@ -80,7 +82,7 @@ def content_of(text: str) -> Column:
 
 
 def keyed(contents: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """(`content`, `print`, `slot`, `key`): one row per table."""
+    """(`content`, `print`, `bucket`): one row per table, the bucket a number of table and key."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.random.default_rng(seed).choice(np.float32([-1, 1]), (BITS, bits * tables))
@@ -88,26 +90,25 @@ def keyed(contents: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 2000):
                 block = batch.slice(first, 2000)
-                matrix = block.column("votes").flatten().to_numpy().reshape(-1, BITS)
+                matrix = block.column("votes").flatten().to_numpy().reshape(-1, BITS).astype(np.float32)
                 over = (matrix @ sums > 0).reshape(len(matrix), tables, bits)
                 keys = (over.astype(np.float64) @ weight).astype(np.int64) if bits < 50 else over.astype(np.int64) @ weight
+                keys = keys[:, :, 0] + (np.arange(tables, dtype=np.int64) << bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([block.column("content"), block.column("print"), lists], names=["content", "print", "keys"])
 
     rows = contents.select("content", "print", "votes").mapInArrow(make, "content long, print long, keys array<long>")
-    return rows.select("content", "print", F.posexplode("keys").alias("slot", "key"))
+    return rows.select("content", "print", F.explode("keys").alias("bucket"))
 
 
 def candidates(rows: DataFrame, distance: int, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(`a`, `b`), a < b: pairs of a bucket that keep the pigeonring budgets of `distance` bits.
 
     In a bucket of up to `neighbours` + 2 rows all pairs meet. In a larger one, a row meets the
-    ones before it in an order of its prints that every table turns differently, and the
-    first; so the work grows with the rows of a bucket, and a crowded group is linked through
-    many tables.
+    ones before it in an order that every bucket draws anew, and the first; so the work grows
+    with the rows of a bucket, and a crowded group is linked through many tables.
     """
-    turned = " | ".join(["shiftleft(print, slot % 64)", "shiftrightunsigned(print, 64 - slot % 64)"])
-    over = f"(PARTITION BY slot, key ORDER BY {turned}, content)"
+    over = "(PARTITION BY bucket ORDER BY xxhash64(bucket, content), content)"
     other = "named_struct('content', content, 'print', print)"
     before = [F.expr(f"lag({other}, {i}) OVER {over}").alias(f"before_{i}") for i in range(1, neighbours + 1)]
     met = rows.select("content", "print", *before, F.expr(f"first({other}) OVER {over}").alias("leader")).where("before_1 IS NOT NULL")
@@ -127,6 +128,20 @@ def candidates(rows: DataFrame, distance: int, neighbours: int = NEIGHBOURS) ->
     )
 
 
+def alike_votes(pairs: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose votes point the same way, less than three deviations below the similarity.
+
+    64 votes tell the angle of two texts far better than 64 bits; what is left is counted exactly.
+    """
+    cosine = 2 * similarity / (1 + similarity)
+    least = cosine - 3 * (1 - cosine**2) / math.sqrt(BITS)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("int") * q.cast("int")), F.lit(0), lambda s, v: s + v)
+    own = contents.select("content", "votes")
+    left, right = own.toDF("a", "x"), own.toDF("b", "y")
+    near = dot("x", "y") >= least * F.sqrt(dot("x", "x").cast("double") * dot("y", "y").cast("double"))
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
     """(`content`, `shingles`): the distinct shingle hashes of the wanted texts, each once."""
 
@@ -138,7 +153,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> D
             yield pa.RecordBatch.from_arrays([block.column("content"), pa.array(sets, pa.list_(pa.int64()))], names=["content", "shingles"])
 
     texts = docs.select(content_of(text).alias("content"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    chosen = texts.join(wanted, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    # Counted first: a few numbers go to every task and other texts stay where they are;
+    # beyond that, texts are shuffled to their numbers.
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    chosen = texts.join(F.broadcast(wanted) if few else wanted, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
     return chosen.mapInArrow(make, "content long, shingles array<long>")
 
 
@@ -154,8 +172,9 @@ def near_duplicates(
     light = votes(docs, key, text, words)
     contents = light.groupBy("content").agg(F.min("key").alias("low"), F.first("print").alias("print"), F.first("votes").alias("votes")).checkpoint()
     bits, tables = table_plan(contents.count(), similarity)
-    pairs = candidates(keyed(contents, bits, tables, seed), farthest(similarity)).checkpoint()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    pairs = candidates(keyed(contents, bits, tables, seed), farthest(similarity))
+    pairs = alike_votes(pairs, contents, similarity).checkpoint()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().checkpoint()
     sets = shingle_sets(docs, wanted, text, words).checkpoint()
     left = sets.select(F.col("content").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("content").alias("b"), F.col("shingles").alias("y"))
