@@ -11,7 +11,6 @@ in just these pieces, so exactly one path is left and it is the one the library
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,9 +141,8 @@ class SharedPrefixViterbi:
         return [found[t] for t in texts]
 
 
-@lru_cache(maxsize=1)
 def encoder(model: str) -> tuple[np.ndarray, Remembered]:
-    """(cuts, ids of runs) of a model; a worker keeps them from task to task."""
+    """(cuts, ids of runs) of a model."""
     vocabulary = Vocabulary(model)
     return vocabulary.cuts(), Remembered(SharedPrefixViterbi(vocabulary).encode)
 
