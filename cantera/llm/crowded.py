@@ -1,0 +1,168 @@
+"""Pairs of crowded buckets that samples of neighbours may have missed, all of them, in blocks.
+
+A bucket with many texts is dealt into parts by hash, and every two parts meet in a group of
+their own, so the work of a group is bounded. In it all pairs are compared by print and votes,
+in matrices, and what may be alike is counted exactly there, so pairs are never rows. Pairs of
+one component are left out: another link within it changes nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Texts of a part, and distinct shingles of them.
+TEXTS_AT_ONCE, SHINGLES_AT_ONCE = 1024, 1 << 20
+# Shingles whose texts meet in one matrix product.
+COLUMNS_AT_ONCE = 4096
+GROUP = ["bucket", "i", "j"]
+
+
+def dealt(rows: DataFrame, weight: str, most: int) -> DataFrame:
+    """`rows` (with `bucket`, `content`, `component`) of buckets with several components, as `part` in each group (`i`, `j`)."""
+    shape = (
+        rows.groupBy(F.col("bucket").alias("of"))
+        .agg(F.ceil(F.sum(weight) / most).cast("int").alias("parts"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high")
+        .select("of", "parts")
+    )
+    placed = rows.join(shape, F.col("bucket") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("content"), "parts").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return placed.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("of", "parts", "other", weight)
+
+
+def by_group(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `work` makes of each group's rows; many small groups share a batch."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([batch.column(c).to_numpy() for c in GROUP])
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in GROUP):
+                yield work(pa.Table.from_batches(held))
+                held = []
+            for first, last in zip(edges, edges[1:]):
+                held.append(batch.slice(first, last - first))
+                if last < batch.num_rows:
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(make, schema)
+
+
+def lists_of(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a column of lists."""
+    lists = table.column(column).combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def likely(table: pa.Table, distance: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (p, q) of a group's pairs within `distance` bits of print, `cosine` of votes, and not of one component."""
+    part = table.column("part").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+    prints, component = table.column("print").to_numpy(), table.column("component").to_numpy()
+    matrix = lists_of(table, "votes")[0].reshape(len(part), -1).astype(np.float32)
+    norm = np.sqrt((matrix.astype(float) ** 2).sum(axis=1))
+    near = np.bitwise_count((prints[left][:, None] ^ prints[right][None, :]).view(np.uint64)) <= distance
+    near &= component[left][:, None] != component[right][None, :]
+    # Products of whole numbers this small are exact in float32.
+    near &= matrix[left] @ matrix[right].T >= cosine * norm[left][:, None] * norm[right][None, :]
+    if i == j:
+        near = np.triu(near, 1)
+    p, q = np.nonzero(near)
+    return left[p], right[q]
+
+
+def shared(values: np.ndarray, first: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How many values the lists of rows p and q share; a list holds a value once."""
+    sizes = np.diff(first)
+    if not len(p):
+        return np.zeros(0, np.int64)
+    used = np.unique(np.concatenate([p, q]))
+    spot = np.full(len(sizes), -1)
+    spot[used] = np.arange(len(used))
+    owner = np.repeat(spot, sizes)
+    values, owner = values[owner >= 0], owner[owner >= 0]
+    distinct, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    # A value of one list is shared with none; a value of all is counted without a product.
+    common = times == len(used)
+    number = np.cumsum((times > 1) & ~common) - 1
+    kept = ((times > 1) & ~common)[column]
+    column, owner = number[column[kept]], owner[kept]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    counts = np.full(len(p), int(common.sum()), np.int64)
+    rows, others = spot[p], spot[q]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS_AT_ONCE):
+        a, b = np.searchsorted(column, [low, low + COLUMNS_AT_ONCE])
+        inside = np.unique(owner[a:b])
+        place = np.full(len(used), -1)
+        place[inside] = np.arange(len(inside))
+        matrix = np.zeros((len(inside), min(COLUMNS_AT_ONCE, width - low)), np.float32)
+        matrix[place[owner[a:b]], column[a:b] - low] = 1
+        both = (place[rows] >= 0) & (place[others] >= 0)
+        counts[both] += (matrix @ matrix.T)[place[rows[both]], place[others[both]]].astype(np.int64)
+    return counts
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the links that join what the ones before have not joined."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    chosen = []
+    for x, y in np.unique(np.column_stack([a, b]), axis=0).tolist():
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            chosen.append((min(x, y), max(x, y)))
+    return chosen
+
+
+def hopeful(rows: DataFrame, distance: int, cosine: float) -> DataFrame:
+    """(`bucket`, `content`) of the texts that are in a likely pair there. `rows` has their component, print and votes."""
+
+    def find(table: pa.Table) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(likely(table, distance, cosine)))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(table.column(c).to_numpy()[found]) for c in ("bucket", "content")], names=["bucket", "content"]
+        )
+
+    light = dealt(rows.withColumn("weight", F.lit(1)), "weight", TEXTS_AT_ONCE)
+    return by_group(light, find, "bucket long, content long").distinct()
+
+
+def merges(rows: DataFrame, distance: int, cosine: float, similarity: float) -> DataFrame:
+    """(`a`, `b`): components that a pair of the similarity links. `rows` has component, print, votes and shingles."""
+
+    def find(table: pa.Table) -> pa.RecordBatch:
+        p, q = likely(table, distance, cosine)
+        values, first = lists_of(table, "shingles")
+        sizes = np.diff(first)
+        both = shared(values, first, p, q)
+        alike = both >= similarity * (sizes[p] + sizes[q] - both)
+        component = table.column("component").to_numpy()
+        links = np.array(spanning(component[p[alike]], component[q[alike]]), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+    least = SHINGLES_AT_ONCE // TEXTS_AT_ONCE
+    heavy = dealt(rows.withColumn("weight", F.greatest(F.size("shingles"), F.lit(least))), "weight", SHINGLES_AT_ONCE)
+    return by_group(heavy, find, "a long, b long").distinct()

@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cantera.llm.components import connected
+from cantera.llm.crowded import hopeful, merges
 from cantera.llm.runs import blocks
 from cantera.llm.simhash import BITS, TEXT_AT_ONCE, Shingles, chain_budgets, chain_masks, packed, signed
+from cantera.session import new_path
 
 WORDS = 5
 SIMILARITY = 0.8
 # Share of the pairs at exactly the similarity asked for that the tables should bring together.
 RECALL = 0.97
-# Neighbours that a row of a crowded bucket is compared with, besides the bucket's first.
+# Neighbours that a row of a crowded bucket is compared with first, besides the bucket's first.
 NEIGHBOURS = 4
 SEGMENTS = 4
 # Numbers of texts, 8 bytes each, that may be broadcast.
@@ -102,18 +104,21 @@ def keyed(contents: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
 
 
 def candidates(rows: DataFrame, distance: int, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """(`a`, `b`), a < b: pairs of a bucket that keep the pigeonring budgets of `distance` bits.
+    """(`a`, `b`, `bucket`): pairs of a bucket that keep the pigeonring budgets of `distance` bits, a < b and `bucket` null.
 
     In a bucket of up to `neighbours` + 2 rows all pairs meet. In a larger one, a row meets the
-    ones before it in an order that every bucket draws anew, and the first; so the work grows
-    with the rows of a bucket, and a crowded group is linked through many tables.
+    ones before it in an order that every bucket draws anew, and the first, which links most of
+    a crowded group; for the rest its rows are given too, as `a` = `b` with their bucket.
     """
     over = "(PARTITION BY bucket ORDER BY xxhash64(bucket, content), content)"
     other = "named_struct('content', content, 'print', print)"
     before = [F.expr(f"lag({other}, {i}) OVER {over}").alias(f"before_{i}") for i in range(1, neighbours + 1)]
-    met = rows.select("content", "print", *before, F.expr(f"first({other}) OVER {over}").alias("leader")).where("before_1 IS NOT NULL")
-    every = F.array_distinct(F.array(*[F.col(f"before_{i}") for i in range(1, neighbours + 1)], F.col("leader")))
-    pairs = met.select("content", "print", F.explode(every).alias("other")).where("other IS NOT NULL AND other.content <> content")
+    crowd = F.expr(f"count(1) OVER (PARTITION BY bucket) > {neighbours + 2}").alias("crowd")
+    met = rows.select("content", "print", "bucket", *before, F.expr(f"first({other}) OVER {over}").alias("leader"), crowd)
+    met = met.where("before_1 IS NOT NULL OR crowd")
+    own = F.when(F.col("crowd"), F.struct("content", "print"))
+    every = F.array_distinct(F.array(*[F.col(f"before_{i}") for i in range(1, neighbours + 1)], F.col("leader"), own))
+    pairs = met.select("content", "print", "bucket", "crowd", F.explode(every).alias("other")).where("other IS NOT NULL")
     difference = F.col("print").bitwiseXOR(F.col("other.print"))
     viable = F.lit(False)
     for start in range(SEGMENTS):
@@ -121,20 +126,26 @@ def candidates(rows: DataFrame, distance: int, neighbours: int = NEIGHBOURS) ->
         for mask, budget in zip(chain_masks(start, SEGMENTS), chain_budgets(distance, SEGMENTS)):
             chain = chain & (F.bit_count(difference.bitwiseAND(F.lit(signed(mask)))) <= budget)
         viable = viable | chain
-    return (
-        pairs.where(viable)
-        .select(F.least("content", "other.content").alias("a"), F.greatest("content", "other.content").alias("b"))
-        .distinct()
+    itself = F.col("other.content") == F.col("content")
+    return pairs.where(F.when(itself, F.col("crowd")).otherwise(viable)).select(
+        F.least("content", "other.content").alias("a"),
+        F.greatest("content", "other.content").alias("b"),
+        F.when(itself, F.col("bucket")).alias("bucket"),
     )
 
 
+def least_cosine(similarity: float) -> float:
+    """Cosine of two texts' votes, three deviations below that of the similarity."""
+    cosine = 2 * similarity / (1 + similarity)
+    return cosine - 3 * (1 - cosine**2) / math.sqrt(BITS)
+
+
 def alike_votes(pairs: DataFrame, contents: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose votes point the same way, less than three deviations below the similarity.
 
     64 votes tell the angle of two texts far better than 64 bits; what is left is counted exactly.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    least = cosine - 3 * (1 - cosine**2) / math.sqrt(BITS)
+    least = least_cosine(similarity)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("int") * q.cast("int")), F.lit(0), lambda s, v: s + v)
     own = contents.select("content", "votes")
     left, right = own.toDF("a", "x"), own.toDF("b", "y")
@@ -160,6 +171,23 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> D
     return chosen.mapInArrow(make, "content long, shingles array<long>")
 
 
+def missed(
+    docs: DataFrame, contents: DataFrame, groups: DataFrame, crowds: DataFrame, text: str, words: int, similarity: float
+) -> DataFrame:
+    """`groups` with the links that the rows of crowded buckets (`bucket`, `content`) still lack."""
+    named = groups.withColumnRenamed("node", "content")
+    rows = crowds.join(named, "content", "left").withColumn("component", F.coalesce("component", "content")).checkpoint()
+    several = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    rows = rows.join(several, "bucket", "left_semi").join(contents.select("content", "print", "votes"), "content").checkpoint()
+    distance, cosine = farthest(similarity), least_cosine(similarity)
+    asked = hopeful(rows, distance, cosine).checkpoint()
+    sets = shingle_sets(docs, asked.select("content").distinct(), text, words).checkpoint()
+    links = merges(rows.join(asked, ["bucket", "content"]).join(sets, "content"), distance, cosine, similarity)
+    tops = connected(links).select(F.col("node").alias("below"), F.col("component").alias("top")).checkpoint()
+    moved = groups.join(tops, F.col("component") == F.col("below"), "left").select("node", F.coalesce("top", "component").alias("component"))
+    return moved.unionByName(tops.select(F.col("below").alias("node"), F.col("top").alias("component"))).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
@@ -167,12 +195,17 @@ def near_duplicates(
 
     `contents` is (`content`, `low`), `groups` (`node`, `component`) by content. Two texts are
     linked if their sets of `words`-word shingles have a Jaccard similarity of `similarity` or
-    more; texts without a word are linked with each other only. Equal texts are one.
+    more; texts without a word are linked with each other only. Equal texts are one. All texts
+    of a bucket are compared, those of a crowded one in blocks once samples have linked most.
     """
     light = votes(docs, key, text, words)
     contents = light.groupBy("content").agg(F.min("key").alias("low"), F.first("print").alias("print"), F.first("votes").alias("votes")).checkpoint()
     bits, tables = table_plan(contents.count(), similarity)
-    pairs = candidates(keyed(contents, bits, tables, seed), farthest(similarity))
+    met = candidates(keyed(contents, bits, tables, seed), farthest(similarity))
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "met")
+    met.write.parquet(path)
+    met = spark.read.schema(met.schema).parquet(path)
+    pairs = met.where("bucket IS NULL").select("a", "b").distinct()
     pairs = alike_votes(pairs, contents, similarity).checkpoint()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().checkpoint()
     sets = shingle_sets(docs, wanted, text, words).checkpoint()
@@ -182,7 +215,9 @@ def near_duplicates(
     # Two wordless texts share no shingle and are alike.
     alike = (shared >= similarity * (F.size("x") + F.size("y") - shared))
     links = pairs.join(left, "a").join(right, "b").where(alike).select("a", "b")
-    return contents.select("content", "low"), connected(links)
+    groups = connected(links).checkpoint()
+    crowds = met.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("content"))
+    return contents.select("content", "low"), missed(docs, contents, groups, crowds, text, words, similarity)
 
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:

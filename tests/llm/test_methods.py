@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import check
 import corpus_pipeline
-from cantera.llm import components, crosspolytope, extraction, langid, licenses, markup, neardup, packing, pieces, quality, queries, sharding, simhash, urls
+from cantera.llm import components, crosspolytope, crowded, extraction, langid, licenses, markup, neardup, packing, pieces, quality, queries, sharding, simhash, urls
 from cantera.session import shared_folder
 from conftest import SMALL
 
@@ -251,6 +251,41 @@ def test_near_copies_go_and_others_stay(spark):
     assert sum(i % 4 == 1 for i in ids) <= 1 and not any(i % 4 == 2 for i in ids)
 
 
+def test_pairs_of_a_crowded_bucket_are_all_compared(spark):
+    """A shared passage keeps all texts just below the similarity; each twentieth has one near copy among them."""
+    shared_folder(spark)
+    passage = [f"common{i}" for i in range(255)]
+    rows = []
+    for i in range(1000):
+        own = [f"own{i}x{k}" for k in range(45)]
+        if i % 20 == 1:
+            own[22:] = [f"own{i - 1}x{k}" for k in range(22, 45)]
+        rows.append((i, " ".join(passage + own)))
+    kept = neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = set(range(1000)) - {r.doc_id for r in kept.collect()}
+    assert all(i % 20 == 1 for i in gone) and len(gone) >= 48
+
+
+def test_counts_of_shared_values():
+    pick = np.random.default_rng(3)
+    lists = [pick.choice(20_000, size, replace=False) for size in (0, 1, 300, 9000, 15_000, 12_000)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    p, q = np.triu_indices(len(lists), 1)
+    counts = crowded.shared(np.concatenate(lists), first, p, q)
+    assert counts.tolist() == [len(np.intersect1d(lists[a], lists[b])) for a, b in zip(p, q)]
+
+
+def test_parts_of_a_crowded_bucket_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(crowded, "TEXTS_AT_ONCE", 4)
+    monkeypatch.setattr(crowded, "SHINGLES_AT_ONCE", 16)
+    shared_folder(spark)
+    rows = [(b, 100 * b + i, 100 * b + i, 0, [1] * 64, [i // 2, 100]) for b in range(3) for i in range(40)]
+    frame = spark.createDataFrame(rows, "bucket long, content long, component long, print long, votes array<tinyint>, shingles array<long>")
+    assert crowded.hopeful(frame.drop("shingles"), 0, 0.9).count() == 120
+    found = crowded.merges(frame, 0, 0.9, 0.8).collect()
+    assert sorted(tuple(r) for r in found) == [(100 * b + i, 100 * b + i + 1) for b in range(3) for i in range(0, 40, 2)]
+
+
 def test_neighbours(spark):
     shared_folder(spark)
     frame = spark.read.parquet(f"{SMALL}/embeddings.parquet")
