@@ -53,7 +53,10 @@ def farthest(similarity: float) -> int:
 
 
 def votes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(`key`, `content`, `print`, `votes`): the hash of a text, its print and what each bit of it got."""
+    """(`key`, `content`, `print`, `votes`): the hash of a text, its print and what each bit of it got.
+
+    Shingles vote once, however often a text repeats them, as in the similarity that is asked for.
+    """
     schema = T.StructType(
         [
             T.StructField("key", docs.schema[key].dataType),
@@ -66,6 +69,7 @@ def votes(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", TEXT_AT_ONCE):
             shingles = Shingles(block.column("text"), words)
+            shingles.distinct()
             balance = 2 * shingles.bit_counts() - np.diff(shingles.first)[:, None]
             scale = np.maximum(1, np.abs(balance).max(axis=1, initial=1))[:, None]
             flat = pa.array(np.rint(127 * balance / scale).astype(np.int8).ravel())
@@ -159,9 +163,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, words: int) -> D
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", TEXT_AT_ONCE):
             shingles = Shingles(block.column("text"), words)
-            edges = zip(shingles.first.tolist(), shingles.first[1:].tolist())
-            sets = [np.unique(shingles.hashes[a:b]).view(np.int64) for a, b in edges]
-            yield pa.RecordBatch.from_arrays([block.column("content"), pa.array(sets, pa.list_(pa.int64()))], names=["content", "shingles"])
+            shingles.distinct()
+            lists = pa.ListArray.from_arrays(pa.array(shingles.first, pa.int32()), pa.array(shingles.hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([block.column("content"), lists], names=["content", "shingles"])
 
     texts = docs.select(content_of(text).alias("content"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     # Counted first: a few numbers go to every task and other texts stay where they are;

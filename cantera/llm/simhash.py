@@ -62,6 +62,12 @@ class Shingles:
         pairs = zip(starts[begin].tolist(), ends[final].tolist())
         self.hashes = np.fromiter((xxh64_intdigest(text[a:b], seed) for a, b in pairs), np.uint64, len(begin))
 
+    def distinct(self) -> None:
+        """From here on, every hash of a text counts once; a text's hashes are then in order."""
+        parts = [np.unique(self.hashes[a:b]) for a, b in zip(self.first.tolist(), self.first[1:].tolist())]
+        self.first = np.concatenate([[0], np.cumsum([len(part) for part in parts], dtype=np.int64)])
+        self.hashes = np.concatenate([*parts, np.zeros(0, np.uint64)])
+
     def bit_counts(self) -> np.ndarray:
         """How many hashes of each text have each bit: texts × 64."""
         counts = np.zeros((len(self.first) - 1, BITS), np.int64)

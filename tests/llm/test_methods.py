@@ -266,6 +266,17 @@ def test_pairs_of_a_crowded_bucket_are_all_compared(spark):
     assert all(i % 20 == 1 for i in gone) and len(gone) >= 48
 
 
+def test_near_copies_may_repeat_a_line(spark):
+    """A line of ten words once or thirty times: nearly the same set of shingles."""
+    shared_folder(spark)
+    rows = []
+    for t in range(20):
+        words, line = [f"t{t}w{i}" for i in range(700)], [f"t{t}line{i}" for i in range(10)]
+        rows += [(2 * t, " ".join(words + line)), (2 * t + 1, " ".join(words + 30 * line))]
+    kept = neardup.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 40, 2))
+
+
 def test_counts_of_shared_values():
     pick = np.random.default_rng(3)
     lists = [pick.choice(20_000, size, replace=False) for size in (0, 1, 300, 9000, 15_000, 12_000)]
