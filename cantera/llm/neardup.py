@@ -27,7 +27,7 @@ WORDS = 5
 SIMILARITY = 0.8
 # Share of the pairs at exactly the similarity asked for that the tables should bring together.
 RECALL = 0.97
-# Neighbours that a row of a crowded bucket is compared with first, besides the bucket's first.
+# A bucket of up to two rows more than this is compared at once, pair by pair.
 NEIGHBOURS = 4
 SEGMENTS = 4
 # Numbers of texts, 8 bytes each, that may be broadcast.
@@ -111,7 +111,7 @@ def candidates(rows: DataFrame, distance: int, neighbours: int = NEIGHBOURS) ->
     """(`a`, `b`, `bucket`): pairs of a bucket that keep the pigeonring budgets of `distance` bits, a < b and `bucket` null.
 
     In a bucket of up to `neighbours` + 2 rows all pairs meet. In a larger one, a row meets the
-    ones before it in an order that every bucket draws anew, and the first, which links most of
+    one before it in an order that every bucket draws anew, which over all tables links most of
     a crowded group; for the rest its rows are given too, as `a` = `b` with their bucket.
     """
     over = "(PARTITION BY bucket ORDER BY xxhash64(bucket, content), content)"
@@ -120,8 +120,8 @@ def candidates(rows: DataFrame, distance: int, neighbours: int = NEIGHBOURS) ->
     crowd = F.expr(f"count(1) OVER (PARTITION BY bucket) > {neighbours + 2}").alias("crowd")
     met = rows.select("content", "print", "bucket", *before, F.expr(f"first({other}) OVER {over}").alias("leader"), crowd)
     met = met.where("before_1 IS NOT NULL OR crowd")
-    own = F.when(F.col("crowd"), F.struct("content", "print"))
-    every = F.array_distinct(F.array(*[F.col(f"before_{i}") for i in range(1, neighbours + 1)], F.col("leader"), own))
+    few = F.array_distinct(F.array(*[F.col(f"before_{i}") for i in range(1, neighbours + 1)], F.col("leader")))
+    every = F.when(F.col("crowd"), F.array("before_1", F.struct("content", "print"))).otherwise(few)
     pairs = met.select("content", "print", "bucket", "crowd", F.explode(every).alias("other")).where("other IS NOT NULL")
     difference = F.col("print").bitwiseXOR(F.col("other.print"))
     viable = F.lit(False)
