@@ -352,11 +352,15 @@ def search_responses(spark, folder):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+# Cells out of the 20 that a search of them reads.
+CELLS, PROBES = 20, 14
+
+
 def stored_cells(spark, folder):
     """Centres and the point table partitioned by cell, fitted and written once for a search to read."""
     path = new_path(spark, "cells")
     songs = vectors(spark, folder)
-    centres = ann.fit_cells(songs, "track_vector", 20)
+    centres = ann.fit_cells(songs, "track_vector", CELLS)
     return centres, ann.write_cells(songs, "track_vector", centres, path)
 
 
@@ -369,15 +373,15 @@ def ann_all_cells(spark, folder):
 
 @query("ann_recall", "SELECT TRUE AS enough")
 def ann_recall(spark, folder):
-    """Whether 12 of 20 cells find seven tenths of the exact neighbours."""
+    """Whether the cells that `ann_knn` reads hold nine tenths of the exact neighbours."""
     centres, celled = stored_cells(spark, folder)
     asked = sounds(spark, folder)
-    found = ann.ann_knn(asked, celled, "track_vector", 15, centres, probes=12)
+    found = ann.ann_knn(asked, celled, "track_vector", 15, centres, probes=PROBES)
     exact = knn.knn(asked, vectors(spark, folder), "track_vector", 15)
-    return ann.recall(found, exact).select((F.col("recall") >= 0.7).alias("enough"))
+    return ann.recall(found, exact).select((F.col("recall") >= 0.9).alias("enough"))
 
 
 @query("ann_knn")
 def ann_knn(spark, folder):
     centres, celled = stored_cells(spark, folder)
-    return rounded(ann.ann_knn(sounds(spark, folder), celled, "track_vector", 15, centres, probes=5))
+    return rounded(ann.ann_knn(sounds(spark, folder), celled, "track_vector", 15, centres, probes=PROBES))

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cantera.operators import ann, embedding, knn
-from cantera.plans import search
+from cantera.plans import search, vector_queries
+from conftest import SMALL
 
 
 def brute_knn(queries, points, k, passes=lambda q, p: True):
@@ -289,3 +290,9 @@ def test_a_name_that_a_third_of_the_songs_bear(spark):
     for small in (True, False):
         got = sorted(map(tuple, search.reference_songs(requests, points, small).collect()))
         assert got == [(1, 0), (2, 7), (5, 0)]
+
+
+def test_the_registered_cells_find_nine_tenths(spark):
+    exact = {(r.qid, r.id) for r in vector_queries.ann_all_cells(spark, SMALL).collect()}
+    found = {(r.qid, r.id) for r in vector_queries.ann_knn(spark, SMALL).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
