@@ -369,6 +369,16 @@ def test_repeated_runs_of_a_host_go(spark):
     assert all(result[i] == f"own text number n{i} of page p{i}" for i in range(5)) and result[9].startswith("Start\nAbout")
 
 
+def test_repeated_runs_do_not_depend_on_the_size_of_a_host(spark):
+    shared_folder(spark)
+    menu = "all that you may want to know about the host itself"
+    blocks = lambda i: [f"own text number n{i} of page p{i}", "a b", *([menu] if i % 8 == 0 else []), f"rare line of the pages c{i // 3} d{i // 3} e{i // 3}", ""]
+    rows = [("h", i, None, blocks(i)) for i in range(30)] + [("h", 0, None, blocks(0))] * 500
+    read = spark.createDataFrame(rows, "host string, content long, text string, outside array<string>")
+    small, copied, large = ({r.of_content: r.covered for r in extraction.repeated(read, n).collect()} for n in (1 << 20, 6000, 100))
+    assert small == copied == large and sum(map(sum, small.values())) >= 30
+
+
 def test_suffix_array():
     stream = np.array([1, 2, 1, 2, 3, 1, 2, 3, 9, 1])
     order, ranks = extraction.suffix_array(stream)
