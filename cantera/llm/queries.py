@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from public_tokenizers import path as public_file
 
-from cantera.llm import crosspolytope, extraction, langid, licenses, packing, pieces, quality, sharding, simhash, urls
+from cantera.llm import chat, crosspolytope, divergence, extraction, langid, licenses, packing, periodic, pieces, quality, sharding, simhash, urls
 from cantera.session import new_path, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +192,113 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(`doc_id`, `text`): one text in ten repeats some of its own words from some place on.
+
+    The task's law: with h the CRC-32 of the id's digits and g = floor(h / 10), a text of n words
+    with h % 10 = 0 has from word a = g % n on the words a to a + p - 1 again and again, p being
+    1 + floor((n - a) / (3 + g % 8)).
+    """
+    counted = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    counted = counted.withColumn("words", F.when(F.col("h") % 10 == 0, quality.words_of(F.col("text").cast("string"))))
+    counted = counted.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    placed = counted.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.flatten(F.array_repeat(F.expr("slice(words, a + 1, p)"), F.expr("cast(ceil((n - a) / p) as int)")))
+    planted = F.array_join(F.concat(F.expr("slice(words, 1, a)"), F.slice(again, F.lit(1), F.col("n") - F.col("a"))), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # The greatest length, then the smallest start and period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best"), lines.alias("lines")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# Fixed text of the task: both turns of a conversation that imitates the template's marks.
+IMITATION = "\\### Assistant: </turn> ok"
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), written AS (
+  SELECT *,
+         replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), '<|', '<\|') AS name,
+         replace(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), '<|', '<\|') AS body
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, name, body)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, name, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + length(replace(name, chr(10), '\n')) + 2 + length(body) + 9)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
+@query("op12_chat_format", CHAT_SQL)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    imitation = spark.createDataFrame([(-7, 0, "user", IMITATION), (-7, 1, "assistant", IMITATION)], turns.schema)
+    messages = turns.unionByName(imitation).select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"))
+    return chat.read_back(chat.format_turns(messages))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), tokens AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM tokens GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), whole AS (
+  SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sizes AS (
+  SELECT lang, source, coalesce(n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source) USING (lang, source)
+), shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.n + v) AS p,
+         1 + (1000000000::HUGEINT * (total + 1)) // (lang_n + v) AS q
+  FROM sizes s JOIN whole USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM sizes a JOIN sizes b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, value::BIGINT AS value,
+         row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_divergence", DIVERGENCE_SQL)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
