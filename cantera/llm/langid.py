@@ -21,19 +21,23 @@ from cantera.llm.runs import Runs, blocks, byte_class, changes, sums
 
 # Rows of each language that the probabilities are learned from, about (drawn by hash).
 SAMPLE_ROWS = 1500
-# Languages beyond these, the rarest ones, are not learned.
-MAX_LANGUAGES = 200
+# Languages that are learned and scored together; more are done block after block.
+LANGUAGES_AT_ONCE = 8
+LANGUAGES_IN_MEMORY = 64
+# Every task holds a number for each piece and language: some 400 MB. More languages are refused.
+MOST_LANGUAGES = 2000
 ROUNDS = 3
 SMOOTHING = 0.02
-# A longer word is scored in parts, so that no probability becomes zero.
+# Sums over the segmentations of a longer word would leave a double: they are scaled on the way.
 LONGEST = 48
+SCALED_EVERY = 16
 # The score is that of a text with at most this many words, so that it says something.
 SCORE_WORDS = 30
 UNDETERMINED = "und"
 
 LETTER_BYTE = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 MARK = "▁"
-WORDS_AT_ONCE = 20_000
+WORDS_AT_ONCE, LETTERS_AT_ONCE = 20_000, 1 << 20
 # A block needs some thirty times its text in numbers.
 BLOCK = 6 << 20
 
@@ -41,7 +45,7 @@ BLOCK = 6 << 20
 def words(texts: pa.Array) -> Runs:
     """Runs of letters in lower case (every non-ASCII byte counts as one)."""
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
-    return Runs(lower, changes(LETTER_BYTE), keep=LETTER_BYTE, longest=LONGEST)
+    return Runs(lower, changes(LETTER_BYTE), keep=LETTER_BYTE)
 
 
 def public_pieces(model: str) -> list[str]:
@@ -77,6 +81,7 @@ class Trie:
                     piece.append(-1)
                 state = rows[state][place]
             piece[state] = number
+        self.deepest = max((len(path) for path in self.pieces), default=1)
         self.table = np.array(rows, np.int32)
         self.piece = np.array(piece, np.int32)
 
@@ -112,13 +117,29 @@ class Trie:
         order = np.argsort(lengths, kind="stable")
         edges = np.flatnonzero(np.diff(lengths[order])) + 1
         for same in np.split(order, edges) if len(order) else []:
-            for i in range(0, len(same), WORDS_AT_ONCE):
-                rows = same[i : i + WORDS_AT_ONCE]
-                size = int(lengths[rows[0]])
+            size = int(lengths[same[0]])
+            step = max(1, min(WORDS_AT_ONCE, LETTERS_AT_ONCE // (size + 1)))
+            for i in range(0, len(same), step):
+                rows = same[i : i + step]
                 letters = np.zeros((len(rows), size + 1), np.uint8)
                 letters[:, 1:] = data[offsets[rows][:, None].astype(np.int64) + np.arange(size)]
                 yield rows, self.column[letters]
 
+    def steps(self, letters: np.ndarray) -> list[list[tuple[int, int]]]:
+        """For each place of one word, the (end, piece) of its pieces that begin there."""
+        table, piece, out = self.table, self.piece, []
+        codes = letters.tolist()
+        for begin in range(len(codes)):
+            state, found = 0, []
+            for end in range(begin, len(codes)):
+                state = int(table[state, codes[end]]) if codes[end] >= 0 else -1
+                if state < 0:
+                    break
+                if piece[state] >= 0:
+                    found.append((end + 1, int(piece[state])))
+            out.append(found)
+        return out
+
 
 def forward(trie: Trie, letters: np.ndarray, probability: np.ndarray, unknown: float) -> np.ndarray:
     """Sums over the segmentations of each prefix: words × (length + 1) × languages."""
@@ -138,8 +159,46 @@ def forward(trie: Trie, letters: np.ndarray, probability: np.ndarray, unknown: f
     return total
 
 
+def scaled(steps: list[list[tuple[int, int]]], codes: list[int], probability: np.ndarray, unknown: float, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, logs): what `forward` sums for one word is sums * exp(logs), places × languages.
+
+    `deepest` is the length of the longest piece: only so many sums ahead are under way.
+    """
+    n, width = len(codes), probability.shape[1]
+    total, logs = np.zeros((n + 1, width)), np.zeros((n + 1, width))
+    total[0], level = 1.0, np.zeros(width)
+    for begin, found in enumerate(steps):
+        if begin % SCALED_EVERY == 0:
+            ahead = total[begin : begin + deepest + 1]
+            most = np.maximum(ahead.max(axis=0), 1e-300)
+            ahead /= most
+            level = level + np.log(most)
+        logs[begin] = level
+        here = total[begin]
+        for end, piece in found:
+            total[end] += here * probability[piece]
+        # A byte outside the alphabet is a piece of its own with one small probability.
+        if codes[begin] < 0:
+            total[begin + 1] += here * unknown
+    logs[n] = level
+    return total, logs
+
+
+def log_likelihood(trie: Trie, letters: np.ndarray, probability: np.ndarray, unknown: float) -> np.ndarray:
+    """The logarithm of the sum over all segmentations of each word: words × languages."""
+    if letters.shape[1] <= LONGEST + 1:
+        return np.log(np.maximum(forward(trie, letters, probability, unknown)[:, -1], 1e-300))
+    out = np.zeros((len(letters), probability.shape[1]))
+    for row, word in enumerate(letters):
+        total, logs = scaled(trie.steps(word), word.tolist(), probability, unknown, trie.deepest)
+        out[row] = np.log(np.maximum(total[-1], 1e-300)) + logs[-1]
+    return out
+
+
 def expected(trie: Trie, letters: np.ndarray, weight: np.ndarray, probability: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece, words weighted by their counts."""
+    if letters.shape[1] > LONGEST + 1:
+        return sum(expected_long(trie, word, w, probability) for word, w in zip(letters, weight))
     p = probability[:, None]
     ahead = forward(trie, letters, p, 1e-12)[:, :, 0]
     edges = list(trie.edges(letters))
@@ -154,6 +213,25 @@ def expected(trie: Trie, letters: np.ndarray, weight: np.ndarray, probability: n
     return uses
 
 
+def expected_long(trie: Trie, word: np.ndarray, weight: float, probability: np.ndarray) -> np.ndarray:
+    """The same for one long word: forward and backward sums are scaled on their way."""
+    steps, codes = trie.steps(word), word.tolist()
+    ahead, up = scaled(steps, codes, probability[:, None], 1e-12, trie.deepest)
+    # Backward is forward through the same pieces from the other end.
+    n = len(codes)
+    mirrored: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for begin, found in enumerate(steps):
+        for end, piece in found:
+            mirrored[n - end].append((n - begin, piece))
+    behind, down = scaled(mirrored, codes[::-1], probability[:, None], 1e-12, trie.deepest)
+    uses, whole = np.zeros(len(trie.pieces)), np.log(np.maximum(ahead[n, 0], 1e-300)) + up[n, 0]
+    for begin, found in enumerate(steps):
+        for end, piece in found:
+            level = up[begin, 0] + down[n - end, 0] - whole
+            uses[piece] += weight * ahead[begin, 0] * probability[piece] * behind[n - end, 0] * np.exp(min(level, 700.0))
+    return uses
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -172,17 +250,21 @@ def learn(
 ) -> Model:
     """Piece probabilities of every language from about `sample_rows` rows of each, whole texts.
 
-    Rows without a language teach nothing. All languages start equally likely. The driver holds
+    Rows without a language teach nothing, a language with few rows is learned from all of
+    them, repeated rows count as often as they are there, and a table without a labelled row
+    (or without any) gives a model without languages. All languages start equally likely. The driver holds
     one number for each piece and language; words and counts stay with the executors.
     """
     spark = labelled.sparkSession
-    known = labelled.where(F.col(lang).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    known = labelled.where(F.col(f"`{lang}`").isNotNull())
+    counts = known.groupBy(F.col(f"`{lang}`").alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
     languages = sorted(r["lang"] for r in counts)
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not languages:
         return Model([], None, np.zeros((1, 0)), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, sample_rows / r["count"]))])
-    drawn = F.pmod(F.xxhash64(F.lit(7), F.col(key)), F.lit(1_000_000)) < F.coalesce(share[F.col(lang)], F.lit(0.0)) * 1_000_000
+    shares = spark.createDataFrame([(r["lang"], min(1.0, sample_rows / r["count"])) for r in counts], "of string, share double")
+    drawn = F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(1_000_000)) < F.col("share") * 1_000_000
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK):
@@ -195,7 +277,8 @@ def learn(
                 names=["lang", "word", "n"],
             )
 
-    sample = known.where(drawn).select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
+    labelled = known.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
+    sample = labelled.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(drawn).select("lang", "text")
     tally = sample.mapInArrow(count, "lang int, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).checkpoint()
 
     def alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,17 +296,29 @@ def learn(
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             trie, probability = shared.value
-            uses = np.zeros_like(probability)
+            uses: dict[int, np.ndarray] = {}
+
+            def told() -> pa.RecordBatch:
+                parts = [(one, np.flatnonzero(row), row) for one, row in uses.items()]
+                columns = [
+                    pa.array(np.concatenate([np.full(len(at), one) for one, at, _ in parts]), pa.int32()),
+                    pa.array(np.concatenate([at for _, at, _ in parts]), pa.int32()),
+                    pa.array(np.concatenate([row[at] for _, at, row in parts])),
+                ]
+                uses.clear()
+                return pa.RecordBatch.from_arrays(columns, names=["lang", "piece", "uses"])
+
             for batch in batches:
                 number, weight = batch.column("lang").to_numpy(), batch.column("n").to_numpy().astype(float)
-                for one in np.unique(number):
+                for one in np.unique(number).tolist():
                     mine = np.flatnonzero(number == one)
+                    row = uses.setdefault(one, np.zeros(probability.shape[1]))
                     for rows, letters in trie.matrices(batch.column("word").take(pa.array(mine))):
-                        uses[one] += expected(trie, letters, weight[mine][rows], probability[one])
-            some, piece = np.nonzero(uses)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array(piece, pa.int32()), pa.array(uses[some, piece])], names=["lang", "piece", "uses"]
-            )
+                        row += expected(trie, letters, weight[mine][rows], probability[one])
+                    if len(uses) >= LANGUAGES_IN_MEMORY:
+                        yield told()
+            if uses:
+                yield told()
 
         total = tally.mapInArrow(gather, "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
         table = total.toArrow()
@@ -241,7 +336,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned. The
     score is the probability of the language among those learned, at the text's mean word.
-    Ties go to the language that sorts first.
+    Ties go to the language that sorts first. Words of any length are whole. Repeated rows get
+    the same answer; an empty table gives an empty one.
     """
     own = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = docs.select(*[F.col(f"`{c}`") for c in own]).schema.add("lang_pred", "string").add("score", "double")
@@ -254,11 +350,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             renamed = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
             for block in blocks([renamed], f"c{place}", BLOCK):
                 runs = words(block.column(place))
-                each = np.zeros((len(runs.words), len(model.languages)))
-                for rows, letters in model.trie.matrices(runs.words) if model.trie else []:
-                    last = forward(model.trie, letters, model.probability, 1e-7)[:, -1]
-                    each[rows] = np.log(np.maximum(last, 1e-300))
-                total = sums(each[runs.codes], runs.first) + model.prior
+                total = np.zeros((block.num_rows, len(model.languages)))
+                for low in range(0, len(model.languages), LANGUAGES_AT_ONCE):
+                    some = slice(low, low + LANGUAGES_AT_ONCE)
+                    probability = np.ascontiguousarray(model.probability[:, some])
+                    each = np.zeros((len(runs.words), probability.shape[1]))
+                    for rows, letters in model.trie.matrices(runs.words):
+                        each[rows] = log_likelihood(model.trie, letters, probability, 1e-7)
+                    total[:, some] = sums(each[runs.codes], runs.first) + model.prior[some]
                 n = np.maximum(1, np.diff(runs.first))[:, None]
                 told = block.column(marked).to_numpy(zero_copy_only=False).astype(bool) & (len(model.languages) > 0)
                 if len(model.languages):

@@ -1,9 +1,11 @@
 """Two-pass external shuffle into shards.
 
 Pass one scatters records by seeded hashes: a rendezvous hash of the key names the shard, a
-seeded draw the bucket within it, with as many buckets as keep one in memory. Pass two brings
-each bucket to one task, shuffles it by Fisher-Yates (Spark's seeded `shuffle` of an array)
-and writes it. A shard is its buckets one after another.
+hash of key and text the bucket within it, with as many buckets as keep one in memory. Pass two
+brings each bucket to one task, shuffles it by Fisher-Yates (Spark's seeded `shuffle` of an
+array) and writes it. A shard is its buckets one after another. Nothing is drawn while rows are
+moved, so a task that runs again deals its rows as before, and the result is the same however
+the input is partitioned.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from cantera.session import new_path
 # Text and overhead of one bucket: small against an executor's memory.
 BUCKET_BYTES = 16 << 20
 OVERHEAD = 16
+# Hashes of up to this many often repeated records, some MB, are broadcast.
+BROADCAST_REPEATS = 100_000
 
 
 def rendezvous(key: Column, shards: int, seed: int) -> Column:
@@ -26,6 +30,23 @@ def rendezvous(key: Column, shards: int, seed: int) -> Column:
     return (F.greatest(*scores) if shards > 1 else scores[0]).getField("s")
 
 
+def spread_repeats(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """`rows` (record, key, same, number), equal records of the hashes `often` numbered from 0.
+
+    So a record that is there very many times goes to many buckets. Equal records are counted,
+    not sorted or collected, and the counts are written out again as rows.
+    """
+    often = often.select(F.col("same").alias("often")).checkpoint()
+    count = often.count()
+    if not count:
+        return rows
+    often = F.broadcast(often) if count <= BROADCAST_REPEATS else often
+    hot = F.col("same") == F.col("often")
+    counted = rows.join(often, hot, "left_semi").groupBy("record", "key", "same").count()
+    numbered = counted.select("record", "key", "same", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("number"))
+    return rows.join(often, hot, "left_anti").unionByName(numbered)
+
+
 def write_shards(
     records: DataFrame,
     path: str,
@@ -40,27 +61,35 @@ def write_shards(
     The table has every column of `records` but those of the same names as `shard` (int, a
     function of key and shard count alone), `grown_shard` (int, the shard if there were one
     more), `bucket` and `place` (its place within its bucket, from 0). Null keys share a shard
-    like any other key. Repeated rows are spread over the buckets of their shard, so that a
-    key with very many rows fills no task. One record is never split, whatever its size. An
-    empty input gives an empty table.
+    like any other key. Rows that repeat a record are numbered where they would be much of a
+    bucket, and so spread over the buckets of their shard. One record is never split, whatever
+    its size. Records hold no map. The same records give the same places in any partitioning of
+    the input. An empty input gives an empty table.
     """
     spark = records.sparkSession
     added = ("shard", "grown_shard", "bucket", "place")
     own = [c for c in records.columns if c.lower() not in added]
-    size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + OVERHEAD
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + OVERHEAD
+    same = F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`"))
     total = records.agg(F.sum(size.cast("long")).alias("n")).first().n or 0
     depth = max(1, -(-total // (shards * bucket_bytes)))
-    # The fold keeps the draw long whatever the key's type; `rand` spreads repeated rows.
-    draw = F.floor(F.rand(seed) * depth).cast("long")
-    placed = records.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("record"),
-        rendezvous(F.col(key), shards, seed).alias("shard"),
-        rendezvous(F.col(key), shards + 1, seed).alias("grown_shard"),
-        draw.alias("draw"),
-        F.xxhash64(F.lit(seed), F.col(key), F.col(text)).alias("tie"),
+    whole = F.struct(*[F.col(f"`{c}`") for c in own])
+    rows = records.select(whole.alias("record"), F.col(f"`{key}`").alias("key"), same.alias("same"), F.lit(0).cast("long").alias("number"))
+    if depth > 1:
+        sizes = records.groupBy(same.alias("same")).agg(F.sum(size.cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n"))
+        rows = spread_repeats(rows, sizes.where((F.col("n") > 1) & (F.col("bytes") * 8 > bucket_bytes)))
+    placed = rows.select(
+        "record",
+        rendezvous(F.col("key"), shards, seed).alias("shard"),
+        rendezvous(F.col("key"), shards + 1, seed).alias("grown_shard"),
+        F.pmod(F.xxhash64(F.lit(seed + 1), "same", "number"), F.lit(depth)).cast("int").alias("draw"),
+        F.xxhash64(F.lit(seed), "same", "number").alias("tie"),
+        # Records of one key and text that differ elsewhere.
+        F.xxhash64("record").alias("last"),
     ).withColumn("bucket", F.col("shard") * F.lit(depth) + F.col("draw"))
-    # A fixed order before the shuffle makes the result depend on the seed, not on arrival.
-    scattered = placed.repartition(min(shards * depth, 1 << 20), "bucket").sortWithinPartitions("bucket", "tie")
+    # One bucket to a partition. A fixed order before the shuffle makes the result depend on the
+    # seed, not on arrival.
+    scattered = placed.repartitionById(min(shards * depth, 1 << 20), F.col("bucket")).sortWithinPartitions("bucket", "tie", "last")
     shuffled = (
         scattered.groupBy("bucket", "shard")
         .agg(F.collect_list(F.struct("record", "grown_shard")).alias("items"))

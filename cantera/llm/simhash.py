@@ -62,12 +62,6 @@ class Shingles:
         pairs = zip(starts[begin].tolist(), ends[final].tolist())
         self.hashes = np.fromiter((xxh64_intdigest(text[a:b], seed) for a, b in pairs), np.uint64, len(begin))
 
-    def distinct(self) -> None:
-        """From here on, every hash of a text counts once; a text's hashes are then in order."""
-        parts = [np.unique(self.hashes[a:b]) for a, b in zip(self.first.tolist(), self.first[1:].tolist())]
-        self.first = np.concatenate([[0], np.cumsum([len(part) for part in parts], dtype=np.int64)])
-        self.hashes = np.concatenate([*parts, np.zeros(0, np.uint64)])
-
     def bit_counts(self) -> np.ndarray:
         """How many hashes of each text have each bit: texts × 64."""
         counts = np.zeros((len(self.first) - 1, BITS), np.int64)
@@ -214,3 +208,32 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     return prints.join(reshuffled(final, ["class"]), F.col("print") == F.col("class")).select(
         F.col("key").alias(key), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 2, seed: int = 42
+) -> DataFrame:
+    """`docs` with one row of each group of `simhash_groups`: the one with the smallest key, null last.
+
+    Of rows with that key and different texts the one with the smaller text hash stays, and of
+    rows that repeat it one. All columns stay as they are, whatever their names. Null, empty and
+    wordless texts are a group. An empty table gives an empty one. What goes is joined to the
+    rows, so that a text is shuffled at most once.
+    """
+    own = docs.columns
+    identity = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("hash"))
+    grouped = simhash_groups(docs.select(identity.alias("row"), F.col(f"`{text}`").alias("text")), "row", "text", words, distance, seed).checkpoint()
+    least = F.col("row").eqNullSafe(F.col("component_id"))
+    names = ["key", "hash"]
+    gone = grouped.where(~least).select(*[F.col(f"row.{c}").alias(f"gone_{c}") for c in names]).distinct()
+    again = grouped.where(least).groupBy(*[F.col(f"row.{c}").alias(f"again_{c}") for c in names]).count().where("count > 1").drop("count").checkpoint()
+
+    def same(tag: str) -> Column:
+        return F.col("identity.key").eqNullSafe(F.col(f"{tag}_key")) & (F.col("identity.hash") == F.col(f"{tag}_hash"))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("whole"), identity.alias("identity")).join(gone, same("gone"), "left_anti")
+    if not again.isEmpty():
+        # Rows that repeat a kept one: one of each, chosen before anything is shuffled.
+        repeated = rows.join(again, same("again"), "left_semi").groupBy("identity").agg(F.first("whole").alias("whole"))
+        rows = rows.join(again, same("again"), "left_anti").select("whole").unionByName(repeated.select("whole"))
+    return rows.select(*[F.col(f"whole.`{c}`") for c in own])

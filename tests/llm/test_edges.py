@@ -5,7 +5,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cantera.llm import crosspolytope, extraction, langid, licenses, neardup, packing, pieces, quality, sharding, simhash, urls
+from cantera.llm import crosspolytope, extraction, langid, licenses, packing, pieces, quality, sharding, simhash, urls
 from cantera.session import shared_folder
 
 BPE, MODEL = path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
@@ -98,11 +98,11 @@ def test_simhash(odd):
 
 
 def test_near_duplicates(odd):
-    result = neardup.without_near_duplicates(odd)
+    result = simhash.without_near_duplicates(odd)
     assert result.columns == odd.columns
     # Null, empty and blank texts are one group, the three copies another.
     assert sorted(result.toPandas().doc_id.fillna(0)) == [0, 1, 3, 6, 7, 8, 9]
-    assert neardup.without_near_duplicates(odd.limit(0)).count() == 0
+    assert simhash.without_near_duplicates(odd.limit(0)).count() == 0
 
 
 def test_pieces(odd):
