@@ -11,7 +11,7 @@ from public_tokenizers import path as public_file
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cantera.llm import langid, neardup, packing, quality
+from cantera.llm import langid, packing, quality, simhash
 from cantera.session import new_path, shared_folder, ship
 
 # A text whose language is less likely than this is rejected.
@@ -38,10 +38,13 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates; columns stay."""
+    """Keeps the document with the smallest id of each group of near-duplicates; columns stay.
+
+    Prints of three-word shingles that differ in at most two bits are linked, as in `op1_simhash`.
+    """
     ship(spark)
     shared_folder(spark)
-    return neardup.without_near_duplicates(docs)
+    return simhash.without_near_duplicates(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
