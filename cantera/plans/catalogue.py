@@ -30,18 +30,24 @@ def new_songs(songs: DataFrame, found: DataFrame, response: str) -> DataFrame:
     return fresh.select(F.xxhash64("id_artista", "cancion").alias("id"), "id_artista", "artista", "cancion")
 
 
-def process_missing(songs: DataFrame, held: DataFrame, bodies: DataFrame, body: str) -> DataFrame:
-    """(`id`, `letra`, `saved`, `reason`): what became of every song that had no lyric.
-
-    `bodies` holds collected responses by song `id`, any number for each. The rows that were
-    saved are the lyrics to append, one per song; a response that holds no lyric or cannot be
-    read leaves the song queued, with the reason.
+def process_missing(songs: DataFrame, held: DataFrame, bodies: DataFrame, body: str, source: str = "source", priority: str = "priority") -> DataFrame:
+    """(`id`, `letra`, `source`, `saved`, `reason`): what became of every song that had no lyric.
+
+    `bodies` holds collected responses by song `id`, any number for each, with the name of
+    their `source` and its `priority`. The first source that has a lyric counts, whatever the
+    others hold: smallest priority, null last, then the name; of one source's several lyrics the
+    one that sorts first. The rows that were saved are the lyrics to append, one per song; a
+    song whose responses hold no lyric or cannot be read stays queued, with the reason.
     """
-    tried = bodies.select("id", text.lyrics_from_body(F.col(body)).alias("letra"))
-    best = relational.first_per_key(tried, ["id"], [F.asc_nulls_last("letra")]).withColumn("tried", F.lit(True))
+    tried = bodies.select("id", text.lyrics_from_body(F.col(body)).alias("letra"), F.col(source).alias("source"), F.col(priority).alias("priority"))
+    order = [F.col("letra").isNull(), F.asc_nulls_last("priority"), F.asc_nulls_last("source"), F.asc("letra")]
+    best = relational.first_per_key(tried, ["id"], order).drop("priority").withColumn("tried", F.lit(True))
     queue = relational.missing_lyrics(songs, held).select("id")
-    reason = F.when(F.col("tried").isNull(), "not tried").when(F.col("letra").isNull(), "no lyric")
-    return queue.join(best, "id", "left").select("id", "letra", F.col("letra").isNotNull().alias("saved"), reason.alias("reason"))
+    saved = F.col("letra").isNotNull()
+    reason = F.when(F.col("tried").isNull(), "not tried").when(~saved, "no lyric")
+    return queue.join(best, "id", "left").select(
+        "id", "letra", F.when(saved, F.col("source")).alias("source"), saved.alias("saved"), reason.alias("reason")
+    )
 
 
 def fill_mbid(songs: DataFrame, found: DataFrame, response: str) -> DataFrame:

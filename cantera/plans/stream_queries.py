@@ -59,6 +59,70 @@ def stream_publish(spark, folder):
     )
 
 
+LATE_SQL = f"""
+WITH w AS ({S.hashed_sql(f'({LYRIC_WORDS_SQL})', 'words')}),
+n AS (SELECT id, sum(weight * weight)::BIGINT AS lyrics_norm2 FROM w GROUP BY id)
+SELECT d.doc_id AS id, d.source AS artist, round(list_sum(e.embedding::DOUBLE[]), 5) AS track_sum, coalesce(n.lyrics_norm2, 0) AS lyrics_norm2
+FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN n ON n.id = d.doc_id
+"""
+
+
+@query("stream_late_publish", LATE_SQL)
+def stream_late_publish(spark, folder):
+    """Lyrics and sounds arrive by themselves, one half of the songs lyric first and the others sound first.
+
+    Three runs with one checkpoint: a song is published by the run in which its second vector comes.
+    """
+    source, target, checkpoint = new_path(spark, "arrivals"), new_path(spark, "points"), new_path(spark, "publish")
+    nothing = {c: F.lit(None).cast("string") for c in ("album", "mbid", "link", "genre", "initialkey")}
+    lyrics = read(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.col("source").alias("artista"),
+        F.concat(F.lit("song "), F.col("doc_id").cast("string")).alias("cancion"),
+        F.col("text").alias("letra"),
+        F.lit(None).cast("double").alias("bpm"),
+        *[value.alias(name) for name, value in nothing.items()],
+    )
+    tracks = read(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("track_vector"))
+    first = F.col("id") % 2 == 0
+    waves = ([(lyrics, "lyrics", first), (tracks, "tracks", ~first)], [(lyrics, "lyrics", ~first)], [(tracks, "tracks", first)])
+    for wave in waves:
+        for rows, name, part in wave:
+            rows.filter(part).write.mode("append").parquet(f"{source}/{name}")
+        arriving = {name: spark.readStream.schema(rows.schema).parquet(f"{source}/{name}") for rows, name in ((lyrics, "lyrics"), (tracks, "tracks"))}
+        publish.publish_pairs(vectorise(arriving["lyrics"]), arriving["tracks"], target, checkpoint).awaitTermination()
+    total = lambda v, f: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + f(x.cast("double")))
+    return publish.published(spark, target).select(
+        "id",
+        "payload.artist",
+        F.round(total("track_vector", lambda x: x), 5).alias("track_sum"),
+        total("lyrics_vector", lambda x: x * x).cast("long").alias("lyrics_norm2"),
+    )
+
+
+@query(
+    "stream_counts",
+    """
+SELECT CASE WHEN d.doc_id % 2 = 0 THEN 0 ELSE 1 END AS batch, count(*) AS processed,
+       count(e.vec_id) FILTER (WHERE d.lang <> 'fr') AS published, count(*) - count(e.vec_id) FILTER (WHERE d.lang <> 'fr') AS rejected
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY ALL
+""",
+)
+def stream_counts(spark, folder):
+    """What each batch published and rejected, counted while it was written: songs without sound and French ones, too narrow, are rejected."""
+    songs = S.catalogue(spark, folder)
+    vector = F.when(F.col("initialkey") == "fr", F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).cast("array<float>")
+    songs = songs.withColumn("letra_vec", vector)
+    source, target, checkpoint, counts = (new_path(spark, name) for name in ("songs", "points", "publish", "counts"))
+    for odd in (0, 1):
+        songs.filter(F.col("id") % 2 == odd).coalesce(1).write.mode("append").parquet(source)
+        publish.publish_available(
+            spark, source, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in songs.schema), target, checkpoint,
+            widths={"lyrics_vector": 2}, counts=counts,
+        )
+    return publish.published_counts(spark, counts).drop("run").withColumn("batch", F.col("batch").cast("int"))
+
+
 @query("progress_stream", PROGRESS_SQL)
 def progress_stream(spark, folder):
     target, checkpoint = new_path(spark, "progress"), new_path(spark, "progress-checkpoint")

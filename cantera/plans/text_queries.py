@@ -256,16 +256,30 @@ def collect_songs(spark, folder):
 @query(
     "process_missing",
     f"""
-SELECT q.id, CASE WHEN d.doc_id % 5 <> 0 THEN d.text END AS letra, coalesce(d.doc_id % 5 <> 0, FALSE) AS saved,
-       CASE WHEN d.doc_id IS NULL THEN 'not tried' WHEN d.doc_id % 5 = 0 THEN 'no lyric' END AS reason
-FROM ({MISSING_SQL}) q LEFT JOIN documents d ON d.doc_id = q.id
+WITH f AS (
+  SELECT doc_id, text, doc_id % 5 AS k FROM documents
+)
+SELECT q.id, CASE WHEN k IN (0, 1) THEN text WHEN k IN (2, 3) THEN 'A late one.' || chr(10) || text END AS letra,
+       CASE WHEN k IN (0, 1) THEN 'first' WHEN k IN (2, 3) THEN 'second' END AS source, coalesce(k < 4, FALSE) AS saved,
+       CASE WHEN k IS NULL THEN 'not tried' WHEN k = 4 THEN 'no lyric' END AS reason
+FROM ({MISSING_SQL}) q LEFT JOIN f ON f.doc_id = q.id
 """,
 )
 def process_missing(spark, folder):
-    """Songs without a lyric meet collected bodies; each comes twice, and every fifth is cut off."""
-    body = F.to_json(F.struct(F.col("text").alias("lyrics")))
-    cut = F.when(F.col("doc_id") % 5 == 0, F.substring(body, 1, 12)).otherwise(body)
-    bodies = texts(spark, folder).select(F.col("doc_id").alias("id"), F.explode(F.array(cut, F.substring(cut, 1, 11))).alias("body"))
+    """Songs without a lyric meet responses of two sources; the later one's lyrics would sort first.
+
+    The first source's body is whole, cut off, or has no lyric in it, the second one's whole, cut off or not there.
+    """
+    whole = lambda text: F.to_json(F.struct(text.alias("lyrics")))
+    k, text = F.col("doc_id") % 5, F.col("text")
+    cut = F.substring(whole(text), 1, 12)
+    first = F.when(k < 2, whole(text)).when(k == 2, cut).when(k == 3, F.lit("{}")).otherwise(cut)
+    second = F.when(k.isin(0, 2, 3), whole(F.concat(F.lit("A late one.\n"), text))).when(k == 4, cut)
+    both = F.array(
+        F.struct(second.alias("body"), F.lit("second").alias("source"), F.lit(2).alias("priority")),
+        F.struct(first.alias("body"), F.lit("first").alias("source"), F.lit(1).alias("priority")),
+    )
+    bodies = texts(spark, folder).select(F.col("doc_id").alias("id"), F.inline(both))
     return catalogue.process_missing(S.songs(spark, folder), S.lyrics(spark, folder), bodies, "body")
 
 

@@ -38,15 +38,20 @@ def to_points(songs: DataFrame, widths: dict[str, int] | None = None, version: s
         "track vector is empty or ragged": F.coalesce(F.size("_pooled") == 0, F.lit(True)),
         "lyrics vector is empty": F.coalesce(F.size("letra_vec") == 0, F.lit(True)),
     }
-    for name, width in (widths or {}).items():
-        checks[f"{name} is not {width} wide"] = F.size(columns[name]) != width
-    return tag_rejected(pooled, checks).select(
+    points = tag_rejected(pooled, checks).select(
         "id",
         *[column.alias(name) for name, column in columns.items()],
         payload().alias("payload"),
         (F.col(version) if version else F.lit(0)).cast("long").alias("version"),
         "reason",
     )
+    return of_widths(points, widths) if widths else points
+
+
+def of_widths(points: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """`points` with a `reason` where a vector has another width than `widths` says."""
+    wrong = [F.when(F.size(name) != width, F.lit(f"{name} is not {width} wide")) for name, width in widths.items()]
+    return points.withColumn("reason", F.coalesce("reason", *wrong))
 
 
 def declare(points: DataFrame, widths: dict[str, int]) -> DataFrame:

@@ -277,3 +277,26 @@ def test_song_artist_splits_a_hot_artist(spark, splitting, tmp_path):
     result = R.song_artist(songs, artists).agg(F.count("nombre").alias("n"), F.sum("id"))
     assert result.collect()[0].n == 300000
     assert "skew=true" in result._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_first_source_with_a_lyric_counts(spark):
+    """Whatever a later source holds, even if its lyric sorts first; the source is named."""
+    from cantera.plans.catalogue import process_missing
+
+    songs = spark.createDataFrame([(i,) for i in range(7)], "id LONG")
+    held = spark.createDataFrame([(6, "there")], "id_cancion LONG, letra STRING")
+    full, none, broken = '{"lyrics": "%s"}', '{"title": "x"}', '{"lyrics": "cut'
+    rows = [
+        (0, full % "z first", "lyrics.ovh", 1), (0, full % "a second", "genius", 2),
+        (1, none, "lyrics.ovh", 1), (1, full % "a second", "genius", 2),
+        (2, broken, "lyrics.ovh", 1), (2, none, "genius", 2),
+        (3, None, "lyrics.ovh", 1), (3, full % "unranked", "other", None),
+        (4, full % "two", "lyrics.ovh", 1), (4, full % "one", "lyrics.ovh", 1),
+        (6, full % "held already", "lyrics.ovh", 1),
+    ]
+    bodies = spark.createDataFrame(rows, "id LONG, body STRING, source STRING, priority INT")
+    got = {r.id: tuple(r)[1:] for r in process_missing(songs, held, bodies, "body").collect()}
+    assert got == {
+        0: ("z first", "lyrics.ovh", True, None), 1: ("a second", "genius", True, None), 2: (None, None, False, "no lyric"),
+        3: ("unranked", "other", True, None), 4: ("one", "lyrics.ovh", True, None), 5: (None, None, False, "not tried"),
+    }

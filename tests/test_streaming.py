@@ -103,6 +103,110 @@ def test_nothing_published_yet(spark):
     assert publish.published(spark, new_path(spark, "none")).count() == 0
 
 
+LYRIC = f"{SONG}, v INT, at TIMESTAMP"
+TRACK = "id LONG, track_vector ARRAY<FLOAT>, v INT, at TIMESTAMP"
+
+
+class Arrivals:
+    """Two folders that lyrics and tracks arrive in; every run takes what came since the last one."""
+
+    def __init__(self, spark, **options):
+        self.spark, self.options = spark, options
+        self.lyrics, self.tracks, self.target, self.checkpoint, self.counts = (new_path(spark, n) for n in ("lyrics", "tracks", "target", "checkpoint", "counts"))
+        self.come([], [])
+
+    def come(self, lyrics, tracks):
+        from datetime import datetime
+
+        day = lambda n: datetime(2025, 1, 1 + n)
+        rows = [{"id": i, "cancion": title, "letra_vec": vector, "v": v, "at": day(at)} for i, title, vector, v, at in lyrics]
+        names = [c.split()[0] for c in LYRIC.split(", ")]
+        self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], LYRIC).coalesce(1).write.mode("append").parquet(self.lyrics)
+        self.spark.createDataFrame([(i, x, v, day(at)) for i, x, v, at in tracks], TRACK).coalesce(1).write.mode("append").parquet(self.tracks)
+
+    def run(self):
+        read = lambda schema, path: self.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        publish.publish_pairs(
+            read(LYRIC, self.lyrics), read(TRACK, self.tracks), self.target, self.checkpoint,
+            version="v", track_version="v", counts=self.counts, arrived="at", **self.options,
+        ).awaitTermination()
+        return {r.id: (r.payload.title, r.track_vector, r.lyrics_vector) for r in publish.published(self.spark, self.target).collect()}
+
+
+def test_second_vectors_may_come_batches_and_runs_later(spark):
+    songs = Arrivals(spark, widths={"track_vector": 1, "lyrics_vector": 1})
+    songs.come([(1, "one", [1.0], 0, 0), (2, "two", None, 0, 0)], [(3, [3.0], 0, 0), (4, None, 0, 0)])
+    assert songs.run() == {}
+    songs.come([(5, "five", [5.0], 0, 1)], [])
+    songs.come([(6, "six", [6.0], 0, 1)], [])
+    assert songs.run() == {}
+    # Two runs and three batches later; a song that was never halved comes whole.
+    songs.come([(3, "three", [3.0], 0, 2), (7, "seven", [7.0], 0, 2)], [(1, [1.0], 0, 2), (7, [7.0], 0, 2)])
+    one = {1: ("one", [1.0], [1.0]), 3: ("three", [3.0], [3.0]), 7: ("seven", [7.0], [7.0])}
+    assert songs.run() == one
+    assert songs.run() == one
+    songs.come([(2, "two", [2.0], 0, 3), (4, "four", [4.0], 0, 3)], [(4, [4.0], 0, 3), (5, [5.0, 5.0], 0, 3)])
+    assert set(songs.run()) == {1, 3, 4, 7}
+    assert [r.id for r in publish.rejected(spark, songs.target).collect()] == [5]
+    held = [spark.read.schema(schema).parquet(path) for schema, path in ((LYRIC, songs.lyrics), (TRACK, songs.tracks))]
+    assert {(r.id, r.lacks) for r in publish.waiting(*held).collect()} == {(2, "track_vector"), (6, "track_vector")}
+    # The rejected half is replaced by one that fits.
+    songs.come([], [(5, [5.0], 1, 4)])
+    assert songs.run()[5] == ("five", [5.0], [5.0])
+    counts = publish.published_counts(spark, songs.counts).groupBy().sum("processed", "published", "rejected").first()
+    assert tuple(counts) == (6, 5, 1)
+
+
+def test_newest_halves_count_in_any_order(spark):
+    songs = Arrivals(spark)
+    songs.come([(1, "new", [2.0], 2, 0)], [(1, [20.0], 2, 0)])
+    assert songs.run() == {1: ("new", [20.0], [2.0])}
+    songs.come([(1, "old", [1.0], 1, 1)], [(1, [10.0], 1, 1)])
+    assert songs.run() == {1: ("new", [20.0], [2.0])}
+    songs.come([], [(1, [30.0], 3, 2)])
+    songs.come([(1, "newest", [3.0], 3, 2)], [])
+    assert songs.run() == {1: ("newest", [30.0], [3.0])}
+
+
+def test_state_is_cleared_of_halves_that_waited_too_long(spark):
+    songs = Arrivals(spark, wait="2 days")
+    songs.come([(1, "one", [1.0], 0, 0), (2, "two", [2.0], 0, 0)], [(9, [9.0], 0, 0)])
+    songs.come([], [(1, [1.0], 0, 1)])
+    assert set(songs.run()) == {1}
+    for day in (10, 11):
+        songs.come([(10 + day, "late", [1.0], 0, day)], [(10 + day, [1.0], 0, day)])
+        songs.run()
+    songs.come([], [(2, [2.0], 0, 10)])
+    assert set(songs.run()) == {1, 20, 21}
+
+
+def test_counts_are_one_row_per_batch_and_repeat_safely(spark, places):
+    source, target, checkpoint = places
+    counts = new_path(spark, "counts")
+    assert publish.published_counts(spark, counts).count() == 0
+    for n in range(2):
+        songs(spark, song(n, "good", [[1.0, 2.0]]), song(10 + n, "empty", []), song(20 + n, "ragged", [[1.0], [1.0, 2.0]])).coalesce(1).write.mode("append").parquet(source)
+        run(spark, places, counts=counts)
+        run(spark, places, counts=counts)
+    rows = publish.published_counts(spark, counts).drop("run").orderBy("batch").collect()
+    assert [tuple(r) for r in rows] == [(0, 3, 1, 2), (1, 3, 1, 2)]
+
+
+def test_vectors_of_the_first_batch_are_made_once(spark, places):
+    """The widths come from what was written, not from a second pass over the lyrics."""
+    source, target, checkpoint = places
+    songs(spark, *[song(i, f"s{i}", [[1.0]]) for i in range(20)]).coalesce(1).write.parquet(source)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def encode(title):
+        made.add(1)
+        return [1.0, 2.0]
+
+    assert len(run(spark, places, prepare=lambda batch: batch.withColumn("letra_vec", encode.asNondeterministic()("cancion")))) == 20
+    assert made.value == 20
+
+
 UPDATES = "task_type STRING, current_offset INT, total_items INT, last_processed_id INT, status STRING, error_message STRING, updated_at TIMESTAMP_NTZ, n INT"
 
 
