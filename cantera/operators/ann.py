@@ -24,6 +24,12 @@ def fit_cells(points: DataFrame, vector: str, cells: int, seed: int = 7, iterati
     return np.array(model.clusterCenters())
 
 
+def fixed_cells(points: DataFrame, vector: str, cells: int, id: str = "id") -> np.ndarray:
+    """Centres that are points themselves, those with the smallest ids: a rule that SQL can follow."""
+    few = points.filter(F.col(vector).isNotNull()).select(id, vector).orderBy(id).limit(cells).toArrow()
+    return K._matrix(few.column(vector))
+
+
 def nearest_cells(df: DataFrame, vector: str, centres: np.ndarray, probes: int, into: str = "cells") -> DataFrame:
     """Add the `probes` cells whose centres are nearest by cosine, nearest first."""
     unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
@@ -34,7 +40,9 @@ def nearest_cells(df: DataFrame, vector: str, centres: np.ndarray, probes: int,
         matrix = K._matrix(vectors)
         if not len(matrix):
             return pa.array([], pa.list_(pa.int32()))
-        order = np.argsort(-(matrix @ shared.value.T), axis=1, kind="stable")[:, :probes]
+        cosine = matrix @ shared.value.T / np.maximum(K._norms(matrix), 1e-300)[:, None]
+        # Centres whose cosines differ by rounding only are taken in their order.
+        order = np.argsort(-np.round(cosine, 9), axis=1, kind="stable")[:, :probes]
         width = order.shape[1]
         offsets = np.arange(0, order.size + 1, width, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.ravel().astype(np.int32)))

@@ -2,8 +2,8 @@
 
 Points never shuffle while the queries fit a checked bound: the query matrix is broadcast,
 each task multiplies it with its Arrow batches, keeps the best k per query, and only those
-few rows are ranked across tasks. More queries than that are split into blocks, each of
-which scans the points once (`_in_blocks`), so neither side has to fit anywhere as a whole.
+few rows are ranked across tasks. More queries than that meet the points in tiles
+(`_in_tiles`), so neither side has to fit anywhere as a whole.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantera.session import new_path
-
 # Queries that may be broadcast, and the bytes their vectors may take.
 MAX_QUERIES = 4096
 MAX_QUERY_BYTES = 128 << 20
@@ -28,6 +26,10 @@ TOP = 5
 # Points multiplied at once, and numbers held at once while candidates are scored exactly.
 CHUNK = 2048
 SCORING = 1 << 22
+# Beyond the bounds: cells that points lie in, points that a first bound comes from, bytes of a tile's points.
+CELLS = 64
+SAMPLE = 2048
+TILE_BYTES = 32 << 20
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -249,7 +251,7 @@ def search_lists(
         if size.n <= max_queries and (size.elements or 0) * 8 <= MAX_QUERY_BYTES:
             small.append((item.name, item.vector, Queries.of(queries.toArrow(), qid, item.query_vector, filters)))
         else:
-            parts.append(_in_blocks(item, queries, points, k, filters, qid, id, max_queries))
+            parts.append(_in_tiles(item, queries, points, k, filters, qid, id, max_queries))
     key_type = lists[0].queries.schema[qid].dataType
     if small:
         parts.insert(0, _broadcasted(spark, small, points, k, filters, qid, id, key_type))
@@ -302,24 +304,110 @@ def _broadcasted(spark, small, points, k, filters, qid, id, key_type) -> DataFra
     return narrow.mapInArrow(scan, _hit_schema(qid, id, key_type))
 
 
-def _in_blocks(item: SearchList, queries, points, k, filters, qid, id, max_queries) -> DataFrame:
-    """More queries than may be broadcast: one scan of the points for each block of them.
+def _in_tiles(item: SearchList, queries, points, k, filters, qid, id, max_queries) -> DataFrame:
+    """More queries than may be broadcast: queries and points meet in tiles, wherever Spark puts them.
 
-    Points stay where they are. A block is fetched, broadcast, searched and forgotten before
-    the next one; its best k rows per query go to the shared folder. Blocks are bounded by
-    number and by bytes.
+    Points lie in cells around a few centres. By the triangle inequality no point of a cell is
+    nearer to a query than their angles to the centre differ, and the k-th best of a small
+    sample of the points is a score that the k-th best of all must reach; a query goes only to
+    the cells that can. Cells with many points are split into parts, their queries into shares.
+    The points are read twice, to count the cells and to be searched, however many queries
+    there are, and no query comes to the driver.
     """
     spark = points.sparkSession
-    path = new_path(spark, "neighbours")
-    load = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(item.query_vector).cast("long")).alias("elements")).first()
-    # Half of either bound, since hashing fills blocks unevenly.
-    blocks = max(1, -(-2 * load.n // max_queries), -(-2 * 8 * (load.elements or 0) // MAX_QUERY_BYTES))
-    settled = queries.withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(blocks))).checkpoint()
     key_type = queries.schema[qid].dataType
-    best = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(id))
-    for block in range(blocks):
-        part = Queries.of(settled.filter(F.col("_block") == block).drop("_block").toArrow(), qid, item.query_vector, filters)
-        found = _broadcasted(spark, [(item.name, item.vector, part)], points, k, filters, qid, id, key_type)
-        ranked = found.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k).drop("_place")
-        ranked.write.mode("append").parquet(path)
-    return spark.read.schema(_hit_schema(qid, id, key_type)).parquet(path)
+    schema = _hit_schema(qid, id, key_type)
+    mine, there = queries.withColumnRenamed(item.query_vector, "_vector"), item.vector
+    narrow = points.select(F.col(id).cast("long").alias("_id"), F.col(there).alias("_vector"), *filters).filter("_vector IS NOT NULL")
+    sample = narrow.limit(SAMPLE).toArrow().combine_chunks()
+    few = _matrix(sample.column("_vector"))
+    alive = np.flatnonzero(_norms(few) > 0)
+    if not len(alive):
+        return spark.createDataFrame([], schema)
+    # Cells of a small table would be emptier than they are worth.
+    centres = _spread_out(few[alive] / _norms(few[alive])[:, None], CELLS if len(few) == SAMPLE else 1 + len(few) // 256)
+    shared = spark.sparkContext.broadcast((centres, sample))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, _ = shared.value
+        for batch in batches:
+            matrix = _matrix(batch.column("_vector"))
+            kept = np.flatnonzero(_norms(matrix) > 0) if len(matrix) else np.zeros(0, np.int64)
+            away = _angles(matrix[kept], centres) if len(kept) else np.zeros((0, 1))
+            cell = away.argmin(axis=1)
+            part = batch.take(pa.array(kept))
+            columns = [*part.columns, pa.array(cell, pa.int32()), pa.array(away[np.arange(len(kept)), cell])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "_cell", "_angle"])
+
+    celled = narrow.mapInArrow(place, _wider(narrow, _cell=T.IntegerType(), _angle=T.DoubleType()))
+    cells = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_angle").alias("low"), F.max("_angle").alias("high")).collect()
+    rings = spark.sparkContext.broadcast([(row["_cell"], row.low, row.high) for row in cells])
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, sample = shared.value
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            asked = Queries.of(table.append_column("_row", pa.array(np.arange(batch.num_rows))), "_row", "_vector", filters)
+            best = Best(asked, k)
+            best.see(sample.column("_id").to_numpy(), _matrix(sample.column("_vector")), [sample.column(name) for name in filters])
+            away = _angles(asked.vectors, centres) if len(asked.vectors) else np.zeros((0, len(centres)))
+            open_to = []
+            for cell, low, high in rings.value:
+                least = np.maximum(0, np.maximum(away[:, cell] - high, low - away[:, cell]) - 1e-6)
+                open_to.append(np.cos(least) >= best.floor - 1e-9)
+            numbers = np.array([cell for cell, _, _ in rings.value], np.int32)
+            allowed = np.array(open_to, bool).reshape(len(numbers), len(asked.vectors)).T
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum(allowed.sum(axis=1))].astype(np.int32)), pa.array(numbers[np.nonzero(allowed)[1]])
+            )
+            kept = batch.take(asked.keys)
+            yield pa.RecordBatch.from_arrays([*kept.columns, lists], names=[*kept.schema.names, "_cells"])
+
+    asked = mine.mapInArrow(admit, _wider(mine, _cells=T.ArrayType(T.IntegerType()))).checkpoint()
+    load = asked.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count(F.lit(1)).alias("queries")).collect()
+    rows = max(256, TILE_BYTES // (8 * centres.shape[1]))
+    wanted = {row["_cell"]: -(-row.queries // max_queries) for row in load}
+    shape = [(row["_cell"], -(-row.n // rows), wanted[row["_cell"]]) for row in cells if row["_cell"] in wanted]
+    if not shape:
+        return spark.createDataFrame([], schema)
+    tiles = F.broadcast(spark.createDataFrame(shape, "_cell int, _parts int, _shares int"))
+
+    def dealt(frame: DataFrame, key: str, own: str, own_of: str, other: str, other_of: str) -> DataFrame:
+        met = frame.join(tiles, "_cell")
+        met = met.withColumn(own, F.pmod(F.xxhash64(key), F.col(own_of)).cast("int"))
+        return met.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_of) - 1))).drop("_parts", "_shares")
+
+    left = dealt(asked.withColumn("_cell", F.explode("_cells")).drop("_cells"), qid, "_share", "_shares", "_part", "_parts")
+    right = dealt(celled.drop("_angle"), "_id", "_part", "_parts", "_share", "_shares")
+    name = item.name
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        best = Best(Queries.of(left, qid, "_vector", filters), k)
+        if left.num_rows and right.num_rows:
+            best.see(right.column("_id").to_numpy(), _matrix(right.column("_vector")), [right.column(c).combine_chunks() for c in filters])
+        return pa.Table.from_batches([_hits(name, best, qid, id)])
+
+    tile = ["_cell", "_part", "_share"]
+    return left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(rank, schema)
+
+
+def _wider(frame: DataFrame, **more: T.DataType) -> T.StructType:
+    return T.StructType([*frame.schema, *(T.StructField(name, kind) for name, kind in more.items())])
+
+
+def _angles(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Angles between the rows and the unit vectors `centres`."""
+    return np.arccos(np.clip(matrix @ centres.T / _norms(matrix)[:, None], -1, 1))
+
+
+def _spread_out(unit: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` of the unit vectors, each the one farthest from those before."""
+    chosen = [0]
+    near = unit @ unit[0]
+    while len(chosen) < min(most, len(unit)):
+        far = int(near.argmin())
+        if near[far] > 1 - 1e-9:
+            break
+        chosen.append(far)
+        near = np.maximum(near, unit @ unit[far])
+    return unit[chosen]

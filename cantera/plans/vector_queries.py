@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cantera.functions import vectors as V
-from cantera.operators import ann, embedding, knn
+from cantera.operators import ann, embedding, knn, pq
 from cantera.operators import lyrics as L
 from cantera.operators import relational as R
 from cantera.plans import search
@@ -121,10 +121,11 @@ def vectors_roundtrip(spark, folder):
 
 @query(
     "vector_dims",
-    """
+    f"""
 SELECT 'track_vector' AS vector, CASE WHEN min(len(embedding)) = max(len(embedding)) THEN min(len(embedding)) END AS width,
        min(len(embedding)) AS narrowest, max(len(embedding)) AS widest, count(embedding) AS points FROM embeddings
-UNION ALL SELECT 'lyrics_vector', 1024, 1024, 1024, count(*) FROM documents
+UNION ALL SELECT 'lyrics_vector', min(width), min(width), max(width), count(*) FROM documents, (
+  SELECT CASE WHEN max(bucket) < 1024 THEN 1024 END AS width FROM ({S.hashed_sql(f'({LYRIC_WORDS_SQL})', 'words')}))
 """,
 )
 def vector_dims(spark, folder):
@@ -352,15 +353,15 @@ def search_responses(spark, folder):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
-# Cells out of the 20 that a search of them reads.
-CELLS, PROBES = 20, 14
+# Cells, those of them that a search reads, and the points whose vectors it reads.
+CELLS, PROBES, SHORTLIST = 20, 16, 100
 
 
-def stored_cells(spark, folder):
+def stored_cells(spark, folder, fixed=False):
     """Centres and the point table partitioned by cell, fitted and written once for a search to read."""
     path = new_path(spark, "cells")
     songs = vectors(spark, folder)
-    centres = ann.fit_cells(songs, "track_vector", CELLS)
+    centres = (ann.fixed_cells if fixed else ann.fit_cells)(songs, "track_vector", CELLS)
     return centres, ann.write_cells(songs, "track_vector", centres, path)
 
 
@@ -371,17 +372,92 @@ def ann_all_cells(spark, folder):
     return rounded(ann.ann_knn(sounds(spark, folder), celled, "track_vector", 15, centres, probes=len(centres)))
 
 
-@query("ann_recall", "SELECT TRUE AS enough")
-def ann_recall(spark, folder):
-    """Whether the cells that `ann_knn` reads hold nine tenths of the exact neighbours."""
-    centres, celled = stored_cells(spark, folder)
-    asked = sounds(spark, folder)
-    found = ann.ann_knn(asked, celled, "track_vector", 15, centres, probes=PROBES)
-    exact = knn.knn(asked, vectors(spark, folder), "track_vector", 15)
-    return ann.recall(found, exact).select((F.col("recall") >= 0.9).alias("enough"))
+# Unit vectors, the first of them as centres, the cell of every point and the cells a query reads.
+CELLS_SQL = f"""
+u AS MATERIALIZED (
+  SELECT vec_id AS id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v,
+         embedding::DOUBLE[] AS e, row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings),
+near_cells AS MATERIALIZED (
+  SELECT u.id, c.n AS cell, row_number() OVER (PARTITION BY u.id ORDER BY round(list_dot_product(u.v, c.v), 9) DESC, c.n) AS nth
+  FROM u JOIN u c ON c.n < {CELLS}),
+reads AS MATERIALIZED (SELECT id AS qid, cell FROM near_cells WHERE nth <= {PROBES} AND id IN (SELECT item_id FROM benchmark)),
+home AS MATERIALIZED (SELECT u.*, cell FROM u JOIN near_cells USING (id) WHERE nth = 1)"""
 
 
-@query("ann_knn")
+@query(
+    "ann_knn",
+    f"""
+WITH {CELLS_SQL}
+SELECT qid, id, round(score, 4) AS score, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM (
+    SELECT reads.qid, home.id, {COSINE_SQL.format(a='q.e', b='home.e')} AS score
+    FROM reads JOIN home USING (cell) JOIN u q ON q.id = reads.qid))
+WHERE position <= 15
+""",
+)
 def ann_knn(spark, folder):
-    centres, celled = stored_cells(spark, folder)
+    """Neighbours out of the cells that a query reads; the centres are points, for SQL to follow."""
+    centres, celled = stored_cells(spark, folder, fixed=True)
     return rounded(ann.ann_knn(sounds(spark, folder), celled, "track_vector", 15, centres, probes=PROBES))
+
+
+# Residual codes of four coordinates a part, the products of queries with the words, and the short list.
+CODES_SQL = f"""{CELLS_SQL},
+residual AS MATERIALIZED (
+  SELECT home.id, home.cell, home.n, j, list_transform(range(4 * j + 1, 4 * j + 5), lambda i: home.v[i] - c.v[i]) AS part
+  FROM home JOIN u c ON c.n = home.cell CROSS JOIN (SELECT unnest(range(16)) AS j)),
+words AS MATERIALIZED (SELECT j, n AS w, part AS word FROM residual WHERE n < 256),
+codes AS MATERIALIZED (
+  SELECT id, cell, j, w AS code FROM (
+    SELECT id, cell, j, w, row_number() OVER (
+      PARTITION BY id, j ORDER BY round(2 * list_dot_product(part, word) - list_dot_product(word, word), 9) DESC, w) AS nth
+    FROM residual JOIN words USING (j))
+  WHERE nth = 1),
+tables AS MATERIALIZED (
+  SELECT u.id AS qid, j, w AS code, list_dot_product(u.v[4 * j + 1 : 4 * j + 4], word) AS product
+  FROM u JOIN benchmark ON item_id = u.id CROSS JOIN words),
+listed AS MATERIALIZED (
+  SELECT qid, id FROM (
+    SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY near DESC, id) AS nth FROM (
+      SELECT t.qid, codes.id, round(any_value(list_dot_product(q.v, c.v)) + sum(product), 9) AS near
+      FROM codes JOIN reads USING (cell) JOIN tables t ON t.qid = reads.qid AND t.j = codes.j AND t.code = codes.code
+      JOIN u q ON q.id = reads.qid JOIN u c ON c.n = codes.cell GROUP BY t.qid, codes.id))
+  WHERE nth <= {SHORTLIST}),
+hits AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM (
+      SELECT qid, listed.id, {COSINE_SQL.format(a='q.e', b='p.e')} AS score
+      FROM listed JOIN u q ON q.id = qid JOIN u p ON p.id = listed.id))
+  WHERE position <= 15)"""
+
+
+def stored_codes(spark, folder):
+    """The quantised index of the track vectors, its code words taken from the first points."""
+    songs = vectors(spark, folder)
+    return pq.build(songs, "track_vector", pq.fixed(songs, "track_vector", cells=CELLS), new_path(spark, "codes"))
+
+
+@query("ann_codes", f"WITH {CODES_SQL} SELECT qid, id, round(score, 4) AS score, position FROM hits")
+def ann_codes(spark, folder):
+    """Neighbours by residual codes: the best codes' vectors are read and scored exactly."""
+    return rounded(pq.search(sounds(spark, folder), stored_codes(spark, folder), 15, PROBES, SHORTLIST))
+
+
+@query(
+    "ann_recall",
+    f"""
+WITH {CODES_SQL},
+exact AS ({TRACK_TOP_SQL}),
+sizes AS (SELECT cell, count(*) AS n FROM home GROUP BY cell)
+SELECT qid, (SELECT count(*) FROM hits h JOIN exact x ON x.qid = h.qid AND x.id = h.id WHERE h.qid = q.qid) AS found,
+       (SELECT count(*) FROM exact x WHERE x.qid = q.qid) AS wanted,
+       (SELECT sum(n) FROM reads JOIN sizes USING (cell) WHERE reads.qid = q.qid)::BIGINT AS codes,
+       (SELECT count(*) FROM listed l WHERE l.qid = q.qid) AS vectors, (SELECT count(*) FROM u) AS points
+FROM (SELECT DISTINCT qid FROM reads) q
+""",
+)
+def ann_recall(spark, folder):
+    """How many exact neighbours `ann_codes` finds for each query, and how much of the index it reads for that."""
+    asked = sounds(spark, folder)
+    exact = knn.knn(asked, vectors(spark, folder), "track_vector", 15)
+    return pq.reading(asked, stored_codes(spark, folder), exact, 15, PROBES, SHORTLIST)

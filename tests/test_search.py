@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cantera.operators import ann, embedding, knn
+from cantera.operators import ann, embedding, knn, pq
 from cantera.plans import search, vector_queries
+from cantera.session import new_path
 from conftest import SMALL
 
 
@@ -296,3 +297,102 @@ def test_the_registered_cells_find_nine_tenths(spark):
     exact = {(r.qid, r.id) for r in vector_queries.ann_all_cells(spark, SMALL).collect()}
     found = {(r.qid, r.id) for r in vector_queries.ann_knn(spark, SMALL).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("filters", [(), ("genre",)])
+def test_tiles_equal_brute_force(spark, filters, monkeypatch):
+    """Cells, parts and shares of every size; a third of the points are copies of one vector."""
+    monkeypatch.setattr(knn, "SAMPLE", 40)
+    monkeypatch.setattr(knn, "TILE_BYTES", 1)
+    monkeypatch.setattr(knn, "CELLS", 5)
+    pick = random.Random(3)
+    genres = ["a", "b", None]
+    points = [(i, v, pick.choice(genres)) for i, v in whole_number_vectors(9, 900, 4)]
+    queries = [(f"q{i}", v, pick.choice(genres)) for i, v in whole_number_vectors(10, 30, 4)]
+    q = spark.createDataFrame(queries, "qid STRING, vector ARRAY<FLOAT>, genre STRING").repartition(3)
+    p = spark.createDataFrame(points, "id BIGINT, v ARRAY<FLOAT>, genre STRING").repartition(4)
+    passes = (lambda a, b: a[2] is None or a[2] == b[2]) if filters else (lambda a, b: True)
+    assert found(knn.knn(q, p, "v", 6, filters, max_queries=4)) == brute_knn(queries, points, 6, passes)
+
+
+def test_tiles_of_little(spark):
+    q, p = frames(spark, [(i, [1.0, float(i)]) for i in range(9)], [(1, [1.0, 2.0]), (2, [0.0, 0.0])])
+    assert {k: len(v) for k, v in found(knn.knn(q, p, "v", 3, max_queries=2)).items()} == dict.fromkeys(range(9), 1)
+    assert knn.knn(q, p.limit(0), "v", 3, max_queries=2).count() == 0
+    assert knn.knn(q, p.filter("id = 2"), "v", 3, max_queries=2).count() == 0
+
+
+def test_tiles_of_clusters_far_apart(spark):
+    """Most cells are beyond the bound of most queries; with one far vector no cell is."""
+    pick = np.random.default_rng(1)
+    single = lambda rows: rows.astype(np.float32).astype(float).tolist()
+    middles = np.eye(8)[pick.integers(0, 8, 2100)] * 10
+    points = list(enumerate(single(middles + pick.normal(0, 0.1, middles.shape))))
+    queries = list(enumerate(single(np.eye(8)[[0] * 20] * 10 + pick.normal(0, 0.1, (20, 8))))) + [(99, [-1.0] * 8)]
+    q, p = frames(spark, queries, points)
+    assert found(knn.knn(q, p, "v", 5, max_queries=7)) == brute_knn(queries, points, 5)
+
+
+def quantised(spark, points, **options):
+    book = pq.fit(points, "v", **options)
+    return pq.build(points, "v", book, new_path(spark, "codes"))
+
+
+def test_all_codes_and_a_long_list_are_exact(spark):
+    points = whole_number_vectors(4, 700) + [(9000, [0.0] * 6)]
+    queries = whole_number_vectors(5, 20) + [(77, [0.0] * 6)]
+    q, p = frames(spark, queries, points)
+    index = quantised(spark, p.unionByName(spark.createDataFrame([(9001, None)], p.schema)), parts=4)
+    assert index.sizes.sum() == sum(any(v) for _, v in points)
+    assert found(pq.search(q, index, 7, len(index.sizes), 2000)) == brute_knn(queries, points, 7)
+    figures = pq.reading(q, index, knn.knn(q, p, "v", 7), 7, len(index.sizes), 2000).collect()
+    assert all(r.found == r.wanted == 7 and r.codes == r.vectors == r.points == index.sizes.sum() for r in figures)
+
+
+def test_codes_are_the_nearest_words(spark):
+    pick = np.random.default_rng(8)
+    rows = pick.normal(size=(300, 10))
+    p = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rows)], "id BIGINT, v ARRAY<DOUBLE>")
+    index = quantised(spark, p, parts=4, cells=9)
+    book, unit = index.book, rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    for r in index.codes.collect():
+        residual = unit[r.id] - book.centres[r.cell]
+        assert r.cell == (unit[r.id] @ book.centres.T).argmax()
+        for j, code in enumerate(r.codes):
+            part = np.pad(residual, (0, 2))[3 * j : 3 * j + 3]
+            away = ((book.words[j] - part) ** 2).sum(axis=1)
+            assert away[code] <= away.min() + 1e-9
+
+
+def test_a_cell_with_most_points_is_met_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pq, "POINTS_AT_ONCE", 50)
+    monkeypatch.setattr(pq, "QUERIES_AT_ONCE", 3)
+    points, queries = whole_number_vectors(6, 600), whole_number_vectors(7, 15)
+    q, p = frames(spark, queries, points)
+    index = quantised(spark, p, parts=3, cells=2)
+    assert found(pq.search(q, index, 5, 2, 700)) == brute_knn(queries, points, 5)
+
+
+def test_learned_codes_find_nine_tenths_from_a_twentieth_of_the_vectors(spark):
+    folder = "/root/testdata/sf0.1"
+    songs = vector_queries.vectors(spark, folder)
+    asked = vector_queries.sounds(spark, folder)
+    index = pq.build(songs, "track_vector", pq.fit(songs, "track_vector"), new_path(spark, "codes"))
+    probes = round(0.7 * len(index.sizes))
+    rows = pq.reading(asked, index, knn.knn(asked, songs, "track_vector", 15), 15, probes, 60).toPandas()
+    assert rows.found.sum() >= 0.9 * rows.wanted.sum()
+    assert (rows.vectors <= 0.05 * rows.points).all() and rows.codes.sum() <= 0.75 * rows.points.sum()
+    # Sixteen bytes for each point instead of 64 numbers.
+    assert index.codes.selectExpr("max(length(codes))").first()[0] == 16
+
+
+def test_registered_codes_find_nine_tenths(spark):
+    rows = vector_queries.ann_recall(spark, "/root/testdata/sf0.1").toPandas()
+    assert rows.found.sum() >= 0.9 * rows.wanted.sum() and (rows.vectors <= 0.25 * rows.points).all()
+
+
+def test_an_index_of_nothing(spark):
+    q, p = frames(spark, [(1, [1.0, 2.0])], [(1, [1.0, 2.0])])
+    assert pq.fit(p.limit(0), "v") is None
+    index = quantised(spark, p, parts=2)
+    assert found(pq.search(q, index, 3, 1, 5)) == {1: [(1, 1.0)]} and pq.search(q.limit(0), index, 3, 1, 5).count() == 0
