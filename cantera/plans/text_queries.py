@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cantera.functions import text as X
+from cantera.operators import language
 from cantera.operators import lyrics as L
 from cantera.plans import catalogue
 from cantera.plans import standins as S
@@ -43,6 +44,76 @@ def detect_language(spark, folder):
     return L.detect_language(L.clean_lyrics(documents, "text"), "cleaned").select("doc_id", "lang", "language")
 
 
+# Four of five documents teach; all are told apart.
+TEACHES = "doc_id % 5 <> 0"
+LEARNED_SQL = f"""
+grams AS MATERIALIZED (
+  SELECT doc_id, lang, ((points[i] * 1000003 + points[i + 1]) * 1000003 + points[i + 2]) % 65521 AS bucket
+  FROM (SELECT *, unnest(range(1, len(points) - 1)) AS i FROM (
+    SELECT doc_id, lang, list_transform(string_split(' ' || lower(text) || ' ', ''), lambda c: unicode(c)::BIGINT) AS points FROM documents))),
+counts AS MATERIALIZED (SELECT lang, bucket, count(*) AS n FROM grams WHERE {TEACHES} GROUP BY ALL),
+sizes AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+told AS MATERIALIZED (
+  SELECT doc_id, max_by(lang, likely) AS learned FROM (
+    SELECT g.doc_id, s.lang, round(sum(g.times * ln((coalesce(c.n, 0) + 0.1) / (s.total + 6552.1))), 6) AS likely
+    FROM (SELECT doc_id, bucket, count(*) AS times FROM grams GROUP BY ALL) g CROSS JOIN sizes s
+    LEFT JOIN counts c ON c.lang = s.lang AND c.bucket = g.bucket GROUP BY g.doc_id, s.lang)
+  GROUP BY doc_id)"""
+
+
+def learned(spark, folder):
+    documents = spread(read(spark, folder, "documents", "doc_id", "lang", "text"))
+    model = language.load(language.count_trigrams(documents.filter(TEACHES), "text", "lang"))
+    return language.detect(documents, "text", model, "learned")
+
+
+@query(
+    "learned_language",
+    f"""
+WITH {LEARNED_SQL}
+SELECT doc_id, lang, learned, {S.LANGUAGE_SQL} AS voted, doc_id % 5 = 0 AS held_out FROM (
+  SELECT doc_id, lang, learned, {S.votes_sql('words')} FROM (
+    SELECT doc_id, lang, {S.tokens_sql(S.clean_sql('text'))} AS words FROM documents) JOIN told USING (doc_id))
+""",
+)
+def learned_language(spark, folder):
+    """The language by learned trigrams, beside the vote of the word lists."""
+    both = L.detect_language(L.clean_lyrics(learned(spark, folder), "text"), "cleaned", "voted")
+    return both.select("doc_id", "lang", "learned", "voted", (F.col("doc_id") % 5 == 0).alias("held_out"))
+
+
+STOP_WORDS_SQL = f"""
+words AS MATERIALIZED (SELECT doc_id, lang, {S.tokens_sql(S.clean_sql('text'))} AS words FROM documents),
+stops AS MATERIALIZED (
+  SELECT lang, word, texts, place FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY texts DESC, word) AS place FROM (
+      SELECT lang, word, count(*) AS texts FROM (SELECT lang, unnest(list_distinct(words)) AS word FROM words) GROUP BY ALL)
+    JOIN (SELECT lang, count(*) AS total FROM words GROUP BY lang) USING (lang) WHERE texts >= 0.2 * total)
+  WHERE place <= 100)"""
+
+
+@query("learned_stopwords", f"WITH {STOP_WORDS_SQL} SELECT lang, word, texts, place FROM stops")
+def learned_stopwords(spark, folder):
+    """Every language's own stop words, German ones among them."""
+    words = language.stop_words(read(spark, folder, "documents", "lang", "text"), "text", "lang")
+    return words.withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    "learned_filter",
+    f"""
+WITH {LEARNED_SQL}, {STOP_WORDS_SQL}
+SELECT doc_id, learned, array_to_string(list_filter(words, lambda w: NOT list_contains(stop, w)), ' ') AS words
+FROM words JOIN told USING (doc_id) JOIN (SELECT lang AS learned, list(word) AS stop FROM stops GROUP BY lang) USING (learned)
+""",
+)
+def learned_filter(spark, folder):
+    """Texts less the stop words of the language that was told."""
+    lists = language.listed(language.stop_words(read(spark, folder, "documents", "lang", "text"), "text", "lang"))
+    cleaned = L.clean_lyrics(learned(spark, folder), "text")
+    return language.without(cleaned, "cleaned", "learned", lists).select("doc_id", "learned", "words")
+
+
 @query("strip_annotations", r"SELECT doc_id, regexp_replace(text, '[\(\[][^\n]*?[\)\]]', '', 'g') AS stripped FROM documents")
 def strip_annotations(spark, folder):
     return texts(spark, folder).select("doc_id", X.strip_annotations(F.col("text")).alias("stripped"))
