@@ -328,21 +328,81 @@ def test_one_document_of_each_group_stays(spark):
     assert {(d, t) for d, t in got if d is not None and t} <= wanted
 
 
-def test_neighbours(spark):
+def recall_of(spark, ids, matrix, **options):
+    """(share of the true 20 nearest that are found, smallest share of a query); scores and ranks are checked on the way."""
     shared_folder(spark)
-    frame = spark.read.parquet(f"{SMALL}/embeddings.parquet")
-    rows = frame.toPandas().sort_values("vec_id")
-    matrix, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
-    result = crosspolytope.nearest(frame, F.col("vec_id") % 20 == 0).toPandas()
-    hit = total = 0
+    frame = spark.createDataFrame(list(zip(ids.tolist(), matrix.tolist())), "vec_id long, embedding array<double>")
+    result = crosspolytope.nearest(frame, F.col("vec_id") % 20 == 0, **options).toPandas().groupby("query_id")
+    shares = []
     for at in np.flatnonzero(ids % 20 == 0):
         score = matrix @ matrix[at]
-        score[at] = -np.inf
-        best = ids[np.lexsort((ids, -score))[:20]]
-        mine = result[result.query_id == ids[at]].sort_values("rank")
-        assert mine["rank"].tolist() == list(range(1, 21))
-        hit, total = hit + len(set(best) & set(mine.vec_id)), total + 20
-    assert hit >= 0.9 * total
+        others = np.flatnonzero(ids != ids[at])
+        best = ids[others[np.lexsort((ids[others], -score[others]))[:20]]]
+        mine = result.get_group(ids[at]).sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, len(best) + 1))
+        assert np.allclose(mine.score, [score[ids == i][0] for i in mine.vec_id], atol=1e-12) and (np.diff(mine.score) <= 0).all()
+        shares.append(len(set(best) & set(mine.vec_id)) / len(best))
+    return np.mean(shares), min(shares)
+
+
+def clustered(seed, n, width=64):
+    pick = np.random.default_rng(seed)
+    rows = pick.normal(size=(40, width))[pick.integers(0, 40, n)] + pick.normal(size=(n, width))
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("lengths", ["even", "one is ten times the others", "log-normal", "even or double"])
+def test_neighbours_whatever_the_lengths(spark, lengths):
+    """With tables, for 5,000 vectors; no query is left with few."""
+    rows, pick = clustered(1, 5000), np.random.default_rng(2)
+    if lengths.startswith("one"):
+        rows[777] *= 10
+    elif lengths == "log-normal":
+        rows *= pick.lognormal(size=(len(rows), 1))
+    elif lengths.startswith("even or"):
+        rows *= pick.choice([1.0, 2.0], (len(rows), 1))
+    mean, least = recall_of(spark, np.arange(len(rows)), rows)
+    assert mean >= 0.95 and least >= 0.6
+
+
+@pytest.mark.parametrize("n", [2, 21, 25, 60, 700])
+def test_few_vectors_are_all_met(spark, n):
+    assert recall_of(spark, np.arange(n), clustered(n, n)) == (1.0, 1.0)
+
+
+def test_queries_that_found_too_little_are_ranked_again(spark):
+    """Vectors in opposite corners: the cells of most queries hold nearly nothing."""
+    pick = np.random.default_rng(3)
+    rows = np.concatenate([np.eye(64)[:1] + pick.normal(0, 1e-3, (400, 64)), pick.normal(size=(60, 64))])
+    mean, _ = recall_of(spark, np.arange(len(rows)), rows, exact_classes=0, tables=1, probes=0.01)
+    result = crosspolytope.nearest(
+        spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>"),
+        F.col("vec_id") % 20 == 0, exact_classes=0, tables=1, probes=0.01,
+    )
+    assert result.groupBy("query_id").count().where("count < 20").count() == 0 and mean > 0.3
+
+
+def test_neighbours_of_repeated_ids_and_clashing_names(spark):
+    shared_folder(spark)
+    rows = [(i % 30, [float(i % 7), 1.0, float(i % 5), float(i % 11)]) for i in range(90)] + [(5, [0.0, 1.0, 5.0, 5.0])] * 40
+    names = ["id", "vector", "class", "size", "spot", "hash", "ids", "norm", "asks", "n", "found"]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("*", *[F.lit("7").alias(c) for c in names])
+    result = crosspolytope.nearest(frame, F.col("vec_id") % 5 == 0, 4)
+    assert result.columns == ["query_id", "rank", "vec_id", "score"]
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in result.collect())
+    want = []
+    for i, v in distinct:
+        if i % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in distinct if j != i)[:4]
+            want += [(i, place + 1, j, -s) for place, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_given_vectors(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+    mean, _ = recall_of(spark, frame.vec_id.to_numpy(), np.array(frame.embedding.tolist(), float), exact_classes=0)
+    assert mean >= 0.94
 
 
 def test_neighbours_with_copies_and_every_cell(spark):
