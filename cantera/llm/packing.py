@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantera.llm.runs import Remembered, Runs, blocks, byte_class
+from cantera.llm.runs import Remembered, Runs, blocks, byte_class, flattened
 
 LENGTH = 2048
 END_ID = 1
 GROUP_PIECES = 4096
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+# Runs that are encoded as one text.
+RUNS_IN_A_TEXT = 200
+WHITE = b"\t\n\x0b\x0c\r "
 
 ASCII_SPACE = byte_class((9, 13), (32, 32))
 
@@ -46,15 +49,42 @@ def before_space(data: np.ndarray) -> np.ndarray:
 
 
 def encoder(path: str) -> Remembered:
-    """Ids of runs by a tokenizer file."""
+    """Ids of runs by a tokenizer file.
+
+    Runs that begin with ASCII white space and end with another ASCII character are encoded
+    many in one text, since the pre-tokenizer cuts between them anyway; how many bytes an id
+    stands for tells which run it belongs to.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    # Every character of a byte-level token is a byte.
+    sizes = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+    for token, number in tokenizer.get_vocab(with_added_tokens=True).items():
+        sizes[number] = len(token)
+
+    def ids_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return flattened([e.ids for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)])
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        joins = np.fromiter((w[0] in WHITE and w[-1] < 0x80 and w[-1] not in WHITE for w in words), bool, len(words))
+        together, alone = np.flatnonzero(joins), np.flatnonzero(~joins)
+        texts = [b"".join([words[i] for i in part]) for part in np.array_split(together, -(-len(together) // RUNS_IN_A_TEXT)) if len(part)] if len(together) else []
+        flat, _ = ids_of(texts)
+        ends = np.searchsorted(np.cumsum(sizes[flat]), np.cumsum([len(words[i]) for i in together]), "right")
+        rest, own = ids_of([words[i] for i in alone])
+        counts = np.zeros(len(words), np.int64)
+        counts[together] = np.diff(ends, prepend=0)
+        counts[alone] = own
+        # Both kinds of runs in their places.
+        first = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.uint32)
+        for place, ids in ((together, flat), (alone, rest)):
+            many = counts[place]
+            begin = np.cumsum(many) - many
+            out[np.arange(len(ids)) + np.repeat(first[place] - begin, many)] = ids
+        return out, counts
 
     return Remembered(encode)
 

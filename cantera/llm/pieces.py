@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cantera.llm.runs import Remembered, Runs, blocks
+from cantera.llm.runs import Remembered, Runs, blocks, flattened
 
 MARK = "▁"
 BLOCK = 8 << 20
@@ -144,7 +144,8 @@ class SharedPrefixViterbi:
 def encoder(model: str) -> tuple[np.ndarray, Remembered]:
     """(cuts, ids of runs) of a model."""
     vocabulary = Vocabulary(model)
-    return vocabulary.cuts(), Remembered(SharedPrefixViterbi(vocabulary).encode)
+    viterbi = SharedPrefixViterbi(vocabulary)
+    return vocabulary.cuts(), Remembered(lambda words: flattened(viterbi.encode(words)), at_once=50_000)
 
 
 def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:

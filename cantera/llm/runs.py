@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,11 @@ import pyarrow.compute as pc
 
 # Bytes of text that are worked on at a time; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
-# Distinct runs a task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+# Memory for the distinct runs that a task remembers; beyond it the task starts anew.
+REMEMBERED_BYTES = 64 << 20
+# What a remembered run takes beside its bytes and ids, and the runs that are encoded at a time.
+ENTRY_BYTES = 190
+ENCODED_AT_ONCE = 20_000
 
 
 def buffers(texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, np.ndarray]:
@@ -70,23 +74,31 @@ class Runs:
         self.text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
 
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as (all ids in order, length of each list)."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+
 class Remembered:
-    """Ids of runs; every distinct run is encoded once, and remembered up to a number of them."""
+    """Ids of runs; every distinct run is encoded once, and remembered up to an amount of memory.
+
+    `encode` gives the ids of a list of runs in order, and how many each of them has.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = REMEMBERED):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = REMEMBERED_BYTES, at_once: int = ENCODED_AT_ONCE):
+        self.encode, self.most, self.at_once = encode, most, at_once
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        ids = self.encode(words)
-        flat = np.fromiter((x for one in ids for x in one), np.uint32)
-        ends = self.used + np.cumsum([len(one) for one in ids])
+        flat, counts = self.encode(words)
+        ends = self.used + np.cumsum(counts)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -96,17 +108,16 @@ class Remembered:
         self.starts[n + 1 : n + 1 + len(words)] = ends
         self.known.update((w, n + i) for i, w in enumerate(words))
         self.used += len(flat)
+        self.held += sum(map(len, words)) + ENTRY_BYTES * len(words) + flat.nbytes
 
     def __call__(self, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all runs in order, number of ids of each run)."""
         words = runs.words.to_pylist()
+        if self.held > self.most:
+            self._forget()
         new = [w for w in words if w not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.most:
-                self._forget()
-                new = words
-            for i in range(0, len(new), 50_000):
-                self._learn(new[i : i + 50_000])
+        for i in range(0, len(new), self.at_once):
+            self._learn(new[i : i + self.at_once])
         at = np.fromiter((self.known[w] for w in words), np.int64, len(words))[runs.codes]
         counts = self.starts[at + 1] - self.starts[at]
         begin = np.cumsum(counts) - counts
