@@ -85,6 +85,19 @@ def case_variants(df: DataFrame, name: str) -> DataFrame:
     return lowered.agg(F.count(F.lit(1)).alias("variants"), F.sum("n").alias("occurrences")).filter("variants > 1")
 
 
+def name_variants(df: DataFrame, name: str, collation: str = "UNICODE_CI") -> DataFrame:
+    """Names that a collation holds equal: (the smallest spelling, variants, occurrences).
+
+    Unlike lower case, ICU's rules know that both small sigmas are one letter and a ligature its
+    letters; "UNICODE_CI_AI" leaves accents out of account too, and takes ß for SS. Spellings
+    are counted first.
+    """
+    spellings = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("spelling")).agg(F.count(F.lit(1)).alias("n"))
+    alike = spellings.groupBy(F.collate("spelling", collation).alias("alike"))
+    counted = alike.agg(F.min("spelling").alias(name), F.count(F.lit(1)).alias("variants"), F.sum("n").alias("occurrences"))
+    return counted.filter("variants > 1").drop("alike")
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from cantera.operators import paging
 
+# Names that differ by case only are alike, accents make a difference.
+NAMES_ALIKE = "UNICODE_CI"
+
 
 def keys_of(df: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
     """The distinct key values of `df`, renamed to `names`."""
@@ -125,11 +128,13 @@ def enrich(
 def upsert(current: DataFrame, new: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """`current`, unique by key, with the rows of `new` inserted or replaced.
 
-    The first row of each key in `new` by `order` counts. Both sides are read once: their
-    rows are ranked together, those of `new` before the stored one. Null keys are one key.
+    The first row of each key in `new` by `order` counts. Stored rows are asked only whether
+    `new` has their key: where those keys are few, they stay in place, and where they are not,
+    they are shuffled once and not sorted with the new rows. Null keys are one key.
     """
-    marked = new.withColumn("_stored", F.lit(False)).unionByName(current.withColumn("_stored", F.lit(True)))
-    return first_per_key(marked, [key], [F.asc("_stored"), *order]).drop("_stored")
+    replaced = new.select(F.col(key).alias("_key")).distinct()
+    kept = current.join(replaced, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    return kept.unionByName(first_per_key(new, [key], order))
 
 
 def cascade_delete(
@@ -190,6 +195,27 @@ def song_chain(artists: DataFrame, songs: DataFrame, lyrics: DataFrame) -> DataF
     return song_artist(songs, artists).join(words, "id")
 
 
+def collated(names: Sequence[str], collation: str = NAMES_ALIKE) -> list[Column]:
+    """Keys that compare names by a collation: whatever the case, and with ICU's rules for letters like ς."""
+    return [F.collate(F.col(n), collation).alias(n) for n in names]
+
+
+def existing_by_name(batch: DataFrame, target: DataFrame, names: Sequence[str], collation: str = NAMES_ALIKE) -> DataFrame:
+    """The rows of `batch` whose names are in `target`, compared by a collation; null names never are."""
+    asked = target.select(*[c.alias(f"_{n}") for n, c in zip(names, collated(names, collation))]).distinct()
+    same = reduce(lambda a, b: a & b, [F.collate(F.col(n), collation) == F.col(f"_{n}") for n in names])
+    return batch.join(asked, same, "left_semi")
+
+
+def absent_by_name(batch: DataFrame, target: DataFrame, names: Sequence[str], order: Sequence[Column], collation: str = NAMES_ALIKE) -> DataFrame:
+    """The rows of `batch` to append: names that `target` does not have, of each the first by `order`."""
+    asked = target.select(*[c.alias(f"_{n}") for n, c in zip(names, collated(names, collation))]).distinct()
+    same = reduce(lambda a, b: a & b, [F.collate(F.col(n), collation) == F.col(f"_{n}") for n in names])
+    fresh = batch.filter(reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])).join(asked, same, "left_anti")
+    place = Window.partitionBy(*[F.collate(F.col(n), collation) for n in names]).orderBy(*order, *names)
+    return fresh.withColumn("_place", F.row_number().over(place)).filter("_place = 1").drop("_place")
+
+
 def name_contains(df: DataFrame, parts: dict[str, str]) -> DataFrame:
     """Rows whose columns contain the given texts, whatever the case."""
     like = {c: f"%{_escaped(part)}%" for c, part in parts.items()}

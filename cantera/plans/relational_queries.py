@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cantera.functions import checks as C
-from cantera.operators import paging, quality
+from cantera.operators import paging, quality, substrings
 from cantera.operators import relational as R
 from cantera.plans import standins as S
 from cantera.plans.registry import query
-from cantera.tables import STAGES, read
+from cantera.session import new_path
+from cantera.tables import STAGES, read, spread
 
 DATE = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
@@ -58,6 +59,30 @@ def ilike_lookup(spark, folder):
     return R.name_contains(parts, {"artista": "RED", "cancion": "eco"})
 
 
+PIECES_SQL = """
+SELECT s_name AS asks, substr(s_name, 13) AS text FROM supplier UNION ALL SELECT n_name, substr(n_name, 8) FROM nation
+UNION ALL SELECT r_name, 'OMER#' FROM region WHERE r_name = 'ASIA' UNION ALL SELECT r_name, 'nobody' FROM region"""
+
+
+@query("contains_indexed", f"SELECT asks, c_custkey AS id, c_name AS name FROM ({PIECES_SQL}) JOIN customer ON contains(lower(c_name), lower(text))")
+def contains_indexed(spark, folder):
+    """Names that contain texts of one to six characters, by postings of their substrings."""
+    index = substrings.build(read(spark, folder, "customer"), "c_custkey", "c_name", new_path(spark, "substrings"))
+    asked = read(spark, folder, "supplier").select(F.col("s_name").alias("asks"), F.expr("substring(s_name, 13)").alias("text"))
+    asked = asked.unionByName(read(spark, folder, "nation").select(F.col("n_name").alias("asks"), F.expr("substring(n_name, 8)").alias("text")))
+    region = read(spark, folder, "region").select(F.col("r_name").alias("asks"))
+    asked = asked.unionByName(region.withColumn("text", F.lit("nobody")))
+    asked = asked.unionByName(region.filter("asks = 'ASIA'").withColumn("text", F.lit("OMER#")))
+    return substrings.contains(index, asked, "asks", "text")
+
+
+@query("ilike_indexed", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_name ILIKE '%RED%'")
+def ilike_indexed(spark, folder):
+    """One text, its postings and candidates read by name."""
+    index = substrings.build(read(spark, folder, "part"), "p_partkey", "p_name", new_path(spark, "substrings"))
+    return substrings.look_up(index, "RED")
+
+
 @query("ensure_columns", "SELECT o_orderkey AS id, o_orderpriority AS cancion, NULL::VARCHAR AS mbid, NULL::DOUBLE AS bpm, FALSE AS vector_migrado FROM orders")
 def ensure_columns(spark, folder):
     wanted = {"cancion": "string", "mbid": "string", "bpm": "double", "vector_migrado": "boolean"}
@@ -306,13 +331,45 @@ WHERE name <> '' GROUP BY 1 HAVING count(*) > 1
 """,
 )
 def case_variants(spark, folder):
-    from cantera.tables import spread
-
     texts = spread(read(spark, folder, "documents", "text"))
     names = texts.select(F.explode(F.split("text", r"[^\p{L}]+")).alias("name")).filter("name <> ''")
     return quality.case_variants(names, "name")
 
 
+WORDS_SQL = r"SELECT unnest(string_split_regex(text, '[^a-zA-Z]+')) AS name FROM documents"
+
+
+def plain_words(spark, folder):
+    texts = spread(read(spark, folder, "documents", "text"))
+    return texts.select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("name")).filter("name <> ''")
+
+
+@query(
+    "name_variants",
+    f"""
+SELECT min(name) AS name, count(*) AS variants, sum(n)::BIGINT AS occurrences FROM (
+  SELECT name, count(*) AS n FROM ({WORDS_SQL}) WHERE name <> '' GROUP BY 1)
+GROUP BY lower(name) HAVING count(*) > 1
+""",
+)
+def name_variants(spark, folder):
+    """Names alike by collation; on ASCII letters that is lower case."""
+    return quality.name_variants(plain_words(spark, folder), "name")
+
+
+@query(
+    "absent_by_name",
+    f"""
+SELECT min(name) AS name FROM ({WORDS_SQL}) WHERE name <> ''
+AND lower(name) NOT IN (SELECT lower(unnest(string_split_regex(text, '[^a-zA-Z]+'))) FROM benchmark) GROUP BY lower(name)
+""",
+)
+def absent_by_name(spark, folder):
+    """New names, none of which is a stored one in other case; of each the first spelling."""
+    stored = read(spark, folder, "benchmark").select(F.explode(F.split("text", "[^a-zA-Z]+")).alias("name"))
+    return R.absent_by_name(plain_words(spark, folder).distinct(), stored, ["name"], [])
+
+
 @query(
     "dq_report",
     r"""

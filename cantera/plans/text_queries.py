@@ -13,7 +13,7 @@ from cantera.plans.registry import query
 from cantera.plans.relational_queries import MISSING_SQL
 from cantera.session import new_path
 from cantera.sources import html as H
-from cantera.sources import responses, sinks
+from cantera.sources import responses, sinks, variants
 from cantera.tables import SCHEMAS, read, spread
 
 
@@ -228,10 +228,38 @@ FROM events"""
 
 @query("features_flatten", FEATURES_SQL)
 def features_flatten(spark, folder):
+    return responses.flatten_features(whole_documents(spark, folder), "document")
+
+
+def whole_documents(spark, folder):
     document = F.concat(
         F.lit('{"postgre_id":'), F.col("postgre_id").cast("string"), F.lit(',"mbid":"'), F.col("mbid"), F.lit('","features":'), F.col("features"), F.lit("}")
     )
-    return responses.flatten_features(feature_documents(spark, folder).select(document.alias("document")), "document")
+    return feature_documents(spark, folder).select("event_type", document.alias("document"))
+
+
+@query("variant_flatten", FEATURES_SQL)
+def variant_flatten(spark, folder):
+    """The same from documents that landed as VARIANT."""
+    landed = variants.land(spread(whole_documents(spark, folder)), "document", new_path(spark, "variants"))
+    return variants.flatten_features(landed)
+
+
+@query(
+    "variant_drift",
+    """
+WITH e AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1)
+SELECT event_type, '$.postgre_id' AS path, n AS has, 0 AS lacks, 0 AS drifted, NULL AS seen FROM e
+UNION ALL SELECT event_type, '$.features.metadata.tags.' || tag,
+  CASE WHEN event_type <> 'signup' AND tag = 'genre' THEN n ELSE 0 END, CASE WHEN event_type = 'signup' THEN n ELSE 0 END,
+  CASE WHEN event_type <> 'signup' AND tag <> 'genre' THEN n ELSE 0 END, CASE WHEN event_type <> 'signup' AND tag <> 'genre' THEN 'array' END
+FROM e CROSS JOIN (SELECT unnest(['bpm', 'initialkey', 'genre']) AS tag)
+""",
+)
+def variant_drift(spark, folder):
+    """Which paths of the landed documents hold what: tags come as lists where a text is expected, and some documents lack them."""
+    landed = variants.land(whole_documents(spark, folder), "document", new_path(spark, "variants"), ("event_type",))
+    return variants.drift(landed, variants.FEATURES, "event_type")
 
 
 @query("land_features", f"SELECT postgre_id, bpm FROM ({FEATURES_SQL}) JOIN events ON event_id = postgre_id WHERE event_type <> 'click'")

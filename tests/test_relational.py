@@ -300,3 +300,87 @@ def test_the_first_source_with_a_lyric_counts(spark):
         0: ("z first", "lyrics.ovh", True, None), 1: ("a second", "genius", True, None), 2: (None, None, False, "no lyric"),
         3: ("unranked", "other", True, None), 4: ("one", "lyrics.ovh", True, None), 5: (None, None, False, "not tried"),
     }
+
+
+@pytest.mark.parametrize("kind", ["BIGINT", "INT", "DOUBLE", "STRING", "DATE"])
+@pytest.mark.parametrize("sorted_at_once", [3, 100_000])
+def test_key_at_any_position(spark, kind, sorted_at_once, monkeypatch):
+    """By selection for numbers, brackets narrowed to three keys; bunched, repeated and null keys."""
+    monkeypatch.setattr(paging, "SORTED", sorted_at_once)
+    pick = random.Random(6)
+    values = [5] * 40 + list(range(60)) + [10**6 + i for i in range(40)] + [7] * 30
+    df = spark.createDataFrame([(v,) for v in pick.sample(values, len(values))] + [(None,)], "k BIGINT").repartition(3)
+    cast = {"DATE": F.expr("date_add(DATE'2000-01-01', cast(k % 100000 as int))")}.get(kind, F.col("k").cast(kind))
+    keys = df.select(cast.alias("k"))
+    want = sorted(r.k for r in keys.filter("k IS NOT NULL").collect())
+    for position in (1, 2, 46, 60, 100, 101, len(want)):
+        assert paging.key_at(keys, "k", position) == want[position - 1]
+    assert paging.key_at(keys, "k", len(want) + 1) is None and paging.key_at(keys.limit(0), "k", 1) is None
+
+
+def test_positions_of_many_keys_are_found_without_an_exchange(spark, monkeypatch):
+    monkeypatch.setattr(paging, "sorted_key_at", None)
+    keys = spark.range(300_000).select((F.col("id") * 7919 % 300_007).alias("k"))
+    want = sorted(i * 7919 % 300_007 for i in range(300_000))
+    for position in (1, 77_777, 299_999):
+        assert paging.key_at(keys, "k", position) == want[position - 1]
+
+
+def names(spark, *values):
+    return spark.createDataFrame(list(enumerate(values)), "id INT, name STRING")
+
+
+def test_letters_that_lower_case_does_not_know(spark):
+    rows = names(spark, "Straße", "STRASSE", "ΟΔΟΣ", "οδος", "οδοσ", "Über", "über", "uber", "ﬁne", "FINE", "one", None)
+    found = lambda collation: {r.name: (r.variants, r.occurrences) for r in quality.name_variants(rows, "name", collation).collect()}
+    assert found("UNICODE_CI") == {"ΟΔΟΣ": (3, 3), "Über": (2, 2), "FINE": (2, 2)}
+    assert found("UNICODE_CI_AI") == {"STRASSE": (2, 2), "ΟΔΟΣ": (3, 3), "uber": (3, 3), "FINE": (2, 2)}
+    lowered = {r.lowered: r.variants for r in quality.case_variants(rows, "name").collect()}
+    assert lowered == {"οδος": 2, "über": 2}
+
+
+def test_joins_by_collation(spark):
+    stored = names(spark, "STRASSE", "Σίγμα", None)
+    batch = names(spark, "straße", "σίγμα", "ΣΊΓΜΑ", "Neu", "NEU", "neu", None, "résumé")
+    assert ids(R.existing_by_name(batch, stored, ["name"])) == [1, 2]
+    assert ids(R.existing_by_name(batch, stored, ["name"], "UNICODE_CI_AI")) == [0, 1, 2]
+    assert ids(R.absent_by_name(batch, stored, ["name"], [F.asc("id")], "UNICODE_CI_AI")) == [3, 7]
+    assert ids(R.absent_by_name(batch, stored, ["name"], [F.desc("id")], "UNICODE_CI_AI")) == [5, 7]
+
+
+def test_substrings_equal_a_scan(spark):
+    """Every text of up to five characters over odd names, one of them on a third of the rows."""
+    from cantera.operators import substrings
+    from cantera.session import new_path
+
+    pick = random.Random(1)
+    values = ["AbcABC"] * 30 + ["".join(pick.choices("abB%_\\ é日ß", k=pick.randint(0, 8))) for _ in range(80)] + [None, "", "a", "ab"]
+    rows = names(spark, *values)
+    index = substrings.build(rows, "id", "name", new_path(spark, "substrings"))
+    parts = ["".join(pick.choices("abB%_\\ é日ß", k=k % 6)) for k in range(60)] + ["ABCa", "zzz", "", None, "bcab"]
+    wanted = spark.createDataFrame(list(enumerate(parts)), "part INT, text STRING")
+    got = sorted((r.part, r.id) for r in substrings.contains(index, wanted, "part", "text").collect())
+    want = sorted((p, i) for p, part in enumerate(parts) if part is not None for i, name in enumerate(values) if name is not None and part.lower() in name.lower())
+    assert got == want
+    for part in parts[:12] + ["ABCa", "zzz", ""]:
+        scan = ids(R.name_contains(rows, {"name": part}))
+        assert ids(substrings.look_up(index, part)) == ids(substrings.look_up(index, part, most=1)) == scan
+
+
+def test_a_look_up_reads_candidates_only(spark):
+    from cantera.operators import substrings
+    from cantera.session import new_path
+
+    rows = spark.range(5000).select("id", F.concat(F.lit("name "), F.col("id").cast("string")).alias("name"))
+    index = substrings.build(rows, "id", "name", new_path(spark, "substrings"))
+    found = substrings.look_up(index, "E 4321")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,4321)" in plan and [r.id for r in found.collect()] == [4321]
+
+
+def test_upsert_leaves_stored_rows_in_place(spark):
+    stored = spark.createDataFrame([(i, "old") for i in range(50)] + [(None, "old")], "id INT, state STRING").repartition(5)
+    new = spark.createDataFrame([(3, "new"), (3, "newer"), (60, "new"), (None, "new")], "id INT, state STRING")
+    merged = R.upsert(stored, new, "id", [F.desc("state")])
+    got = {r.id: r.state for r in merged.collect()}
+    assert got == {**{i: "old" for i in range(50)}, 3: "newer", 60: "new", None: "new"} and merged.count() == 52

@@ -192,3 +192,30 @@ def test_append_adds_rows(spark):
     sinks.append(df, path)
     sinks.append(df, path)
     assert scan.scan_parquet(spark, path).count() == 2
+
+
+def test_documents_as_variant(spark):
+    """Landed once, read by path; odd documents give null or a row of their own."""
+    from cantera.sources import variants
+
+    documents = [
+        '{"postgre_id": 1, "features": {"metadata": {"tags": {"bpm": ["120.5", "3"], "initialkey": "Am", "genre": ["rock"]}}}}',
+        '{"postgre_id": 2, "features": {"metadata": {"tags": {"bpm": 90, "genre": null}}}}',
+        '{"postgre_id": "3", "features": {}}', '{"features": 1}', "{broken", None, "[1, 2]",
+        '{"postgre_id": 4, "features": {"metadata": {"tags": {"bpm": "fast", "initialkey": [], "genre": {"main": "pop"}}}}}',
+    ]
+    rows = spark.createDataFrame([(d,) for d in documents], "document STRING")
+    path = new_path(spark, "variants")
+    landed = variants.land(rows, "document", path)
+    got = {r.postgre_id: (r.bpm, r.initialkey, r.genre) for r in variants.flatten_features(landed).collect()}
+    assert got == {1: (120.5, "Am", "rock"), 2: (90.0, None, None), 3: (None, None, None), 4: (None, None, '{"main":"pop"}')}
+    assert variants.read(spark, path).filter("raw IS NOT NULL").collect()[0].raw == "{broken" and landed.count() == len(documents)
+    report = {r.path.rpartition(".")[2]: (r.has, r.lacks, r.drifted, r.seen) for r in variants.drift(landed, variants.FEATURES).collect()}
+    assert report == {
+        "postgre_id": (3, 2, 1, "string"), "bpm": (1, 3, 2, "array"), "initialkey": (1, 4, 1, "array"), "genre": (0, 4, 2, "array"),
+    }
+    told = variants.schema_of(landed).first()
+    assert told.documents == 6 and told.broken == 1
+    variants.land(rows.limit(1), "document", path)
+    assert variants.read(spark, path).count() == len(documents) + 1
+    assert variants.flatten_features(landed.limit(0)).count() == 0
