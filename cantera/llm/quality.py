@@ -20,14 +20,17 @@ SYMBOLS = r"[#*$%&|<>]"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-# Measure: how far above the median it may always lie, and how many median-to-quartile spreads.
+# Measure: how far from the median it may always lie, and how many median-to-quartile spreads it
+# may lie away where those are more. Rates that are zero in most texts have no spread, so what is
+# always allowed decides there; the length of words has one in every group.
 UPPER = {
-    "symbol_rate": 0.2,
-    "repeat_rate": 0.3,
-    "dup_line_rate": 0.4,
-    "word_length": 3.0,
+    "symbol_rate": (0.2, 6.0),
+    "repeat_rate": (0.3, 6.0),
+    "dup_line_rate": (0.4, 6.0),
+    "word_length": (1.0, 12.0),
 }
-SPREADS = 6.0
+# Measures with a fence below as well.
+LOWER = ("word_length",)
 # KLL keeps this many values exactly before it starts to summarise.
 SKETCH_K = 4096
 # A group with fewer measured rows takes the fences of its language, then those of all rows.
@@ -132,7 +135,7 @@ def measures() -> dict[str, Column]:
 
 
 def fences(counts: DataFrame, by: Sequence[str] = ("lang", "source"), min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per group of `by`: its keys `by_0`, `by_1` ... (null is a value) and `fence_<measure>`.
+    """One row per group of `by`: its keys `by_0`, `by_1` ... (null is a value), `fence_<measure>` and `floor_<measure>`.
 
     A group has the fences of its longest prefix of keys that holds `min_rows` measured rows,
     or else those of all rows. The result is checkpointed: summaries of very many values are
@@ -150,10 +153,12 @@ def fences(counts: DataFrame, by: Sequence[str] = ("lang", "source"), min_rows:
                 F.kll_sketch_get_n_double(f"s_{name}") > 0, F.kll_sketch_get_quantile_double(f"s_{name}", F.lit(p))
             )
 
-        cut = lambda name, slack: quantile(name, 0.5) + F.greatest(
-            F.lit(slack), SPREADS * (quantile(name, 0.5) - quantile(name, 0.25))
-        )
-        fields = [cut(name, slack).alias(f"fence_{name}") for name, slack in UPPER.items()]
+        def reach(name: str) -> Column:
+            slack, spreads = UPPER[name]
+            return F.greatest(F.lit(slack), spreads * (quantile(name, 0.5) - quantile(name, 0.25)))
+
+        fields = [(quantile(name, 0.5) + reach(name)).alias(f"fence_{name}") for name in UPPER]
+        fields += [(quantile(name, 0.5) - reach(name)).alias(f"floor_{name}") for name in LOWER]
         rows = F.kll_sketch_get_n_double("s_word_length")
         own = [c for c in frame.columns if c in keys]
         return frame.select(*own, F.struct(rows.alias("rows"), *fields).alias(tag))
@@ -177,7 +182,8 @@ def fences(counts: DataFrame, by: Sequence[str] = ("lang", "source"), min_rows:
     chosen = F.col("level_0")
     for depth in range(1, len(keys) + 1):
         chosen = F.when(F.col(f"level_{depth}.rows") >= min_rows, F.col(f"level_{depth}")).otherwise(chosen)
-    return result.select(*keys, chosen.alias("chosen")).select(*keys, *[f"chosen.fence_{n}" for n in UPPER]).checkpoint()
+    names = [*[f"chosen.fence_{n}" for n in UPPER], *[f"chosen.floor_{n}" for n in LOWER]]
+    return result.select(*keys, chosen.alias("chosen")).select(*keys, *names).checkpoint()
 
 
 def judged(counts: DataFrame, limits: DataFrame, by: Sequence[str] = ("lang", "source")) -> DataFrame:
@@ -195,6 +201,8 @@ def judged(counts: DataFrame, limits: DataFrame, by: Sequence[str] = ("lang", "s
     beyond = F.lit(False)
     for name in UPPER:
         beyond = beyond | F.coalesce(F.col(f"measured.{name}") > F.col(f"fence_{name}"), F.lit(False))
+    for name in LOWER:
+        beyond = beyond | F.coalesce(F.col(f"measured.{name}") < F.col(f"floor_{name}"), F.lit(False))
     # The number of groups is counted; only few enough of them are sent to every task.
     few = limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     return marked.join(F.broadcast(limits) if few else limits, condition, "left").select(

@@ -67,20 +67,22 @@ WITH words AS (
          quantile_disc(a, 0.5) + greatest(0.2, 6 * (quantile_disc(a, 0.5) - quantile_disc(a, 0.25))) AS fa,
          quantile_disc(b, 0.5) + greatest(0.3, 6 * (quantile_disc(b, 0.5) - quantile_disc(b, 0.25))) AS fb,
          quantile_disc(c, 0.5) + greatest(0.4, 6 * (quantile_disc(c, 0.5) - quantile_disc(c, 0.25))) AS fc,
-         quantile_disc(d, 0.5) + greatest(3.0, 6 * (quantile_disc(d, 0.5) - quantile_disc(d, 0.25))) AS fd
+         quantile_disc(d, 0.5) + greatest(1.0, 12 * (quantile_disc(d, 0.5) - quantile_disc(d, 0.25))) AS fd,
+         quantile_disc(d, 0.5) - greatest(1.0, 12 * (quantile_disc(d, 0.5) - quantile_disc(d, 0.25))) AS fe
   FROM measured GROUP BY GROUPING SETS ((lang, source), (lang), ())
 ), chosen AS (
   SELECT s.lang, s.source,
          CASE WHEN s.n >= 100 THEN s.fa WHEN l.n >= 100 THEN l.fa ELSE e.fa END AS fa,
          CASE WHEN s.n >= 100 THEN s.fb WHEN l.n >= 100 THEN l.fb ELSE e.fb END AS fb,
          CASE WHEN s.n >= 100 THEN s.fc WHEN l.n >= 100 THEN l.fc ELSE e.fc END AS fc,
-         CASE WHEN s.n >= 100 THEN s.fd WHEN l.n >= 100 THEN l.fd ELSE e.fd END AS fd
+         CASE WHEN s.n >= 100 THEN s.fd WHEN l.n >= 100 THEN l.fd ELSE e.fd END AS fd,
+         CASE WHEN s.n >= 100 THEN s.fe WHEN l.n >= 100 THEN l.fe ELSE e.fe END AS fe
   FROM (FROM fences WHERE no_source = 0) s
   JOIN (FROM fences WHERE no_source = 1 AND no_lang = 0) l ON s.lang IS NOT DISTINCT FROM l.lang
   CROSS JOIN (FROM fences WHERE no_lang = 1) e
 ), verdicts AS (
   SELECT m.*, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-         coalesce(a > fa, false) OR coalesce(b > fb, false) OR coalesce(c > fc, false) OR coalesce(d > fd, false) AS beyond
+         coalesce(a > fa, false) OR coalesce(b > fb, false) OR coalesce(c > fc, false) OR coalesce(d > fd OR d < fe, false) AS beyond
   FROM measured m JOIN chosen k ON m.lang IS NOT DISTINCT FROM k.lang AND m.source IS NOT DISTINCT FROM k.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

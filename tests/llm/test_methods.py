@@ -55,6 +55,22 @@ def test_fences_hold_against_junk(spark):
     assert result[result.doc_id < 1000].kept.all() and not result[result.doc_id >= 1000].kept.any()
 
 
+def test_sources_have_fences_of_their_own(spark):
+    """What is usual in one source is junk in the other: long words, short words and symbols."""
+    shared_folder(spark)
+    pick = random.Random(8)
+
+    def text(letters, marks=0.0):
+        words = ["".join(pick.choices("abcdefghijklmnopqrst", k=max(1, round(pick.gauss(letters, 1))))) for _ in range(120)]
+        return " ".join(w + "#" * (pick.random() < marks) for w in words)
+
+    rows = [(i, text(5), "en", "plain") for i in range(300)] + [(1000 + i, text(11, pick.uniform(0.5, 0.9)), "en", "names") for i in range(300)]
+    rows += [(2000, text(11), "en", "plain"), (2001, text(5), "en", "names"), (2002, text(2), "en", "plain"), (2003, text(11, 0.7), "en", "names"), (2004, text(5, 0.7), "en", "plain")]
+    kept = {r.doc_id for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    assert {i for i in range(300)} <= kept and {1000 + i for i in range(300)} <= kept
+    assert kept & {2000, 2001, 2002, 2003, 2004} == {2003}
+
+
 def test_shards_are_a_law_of_the_key(docs):
     result = sharding.shard_documents(docs, 8, bucket_bytes=20_000).toPandas()
     more = sharding.shard_documents(docs, 9, bucket_bytes=20_000).toPandas().set_index("doc_id").shard
