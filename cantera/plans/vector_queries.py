@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cantera.functions import vectors as V
-from cantera.operators import ann, embedding, knn, pq
+from cantera.operators import ann, embedding, knn, lsa, pq
 from cantera.operators import lyrics as L
 from cantera.operators import relational as R
 from cantera.plans import search
@@ -44,6 +44,37 @@ def embed_text(spark, folder):
     return entries.filter("weight <> 0").select("id", F.col("bucket").cast("long"), F.col("weight").cast("long"))
 
 
+def prepared(spark, folder):
+    return L.prepare_lyrics(spread(read(spark, folder, "documents", "doc_id", "text")), "text").select(F.col("doc_id").alias("id"), "words")
+
+
+@query(
+    "tfidf_weights",
+    f"""
+WITH t AS MATERIALIZED ({S.prepared_sql('documents', 'doc_id', 'text')}),
+w AS MATERIALIZED (SELECT id, word, count(*) AS times FROM (SELECT id, unnest(string_split(words, ' ')) AS word FROM t) WHERE word <> '' GROUP BY ALL),
+v AS MATERIALIZED (
+  SELECT word, ln((1 + (SELECT count(words) FROM t)) / (1 + count(*))) + 1 AS rarity FROM w GROUP BY word HAVING count(*) >= 2
+  ORDER BY count(*) DESC, word LIMIT 4096),
+x AS (SELECT id, word, (1 + ln(times)) * rarity AS weight FROM w JOIN v USING (word))
+SELECT id, word, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY id)), 6) AS weight FROM x
+""",
+)
+def tfidf_weights(spark, folder):
+    """The weighted words that the learned embedding starts from."""
+    return lsa.tfidf(prepared(spark, folder), "id", "words", 4096).withColumn("weight", F.round("weight", 6))
+
+
+@query("learned_embedding")
+def learned_embedding(spark, folder):
+    """Every lyric by the embedding that all of them taught, stored and loaded as a model."""
+    lyrics = prepared(spark, folder)
+    path = new_path(spark, "embedding")
+    lsa.save(spark, lsa.fit(lyrics, "words", rank=32, most=4096, rounds=4), path)
+    model = lsa.hook(spark, lsa.load(spark, path))
+    return embedding.embed(lyrics, "words", model=model).drop("words")
+
+
 @query(
     "normalise_vectors",
     """
