@@ -9,6 +9,7 @@ and a template whose words are covered well enough gives its label.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,10 +105,27 @@ class Automaton:
             for at, token in enumerate(tokens):
                 last = self._extend(last, token, ends)
                 ends[last].append((number, at))
-        # A state occurs where any state below it in the tree of links does.
-        self.places = [list(e) for e in ends]
-        for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            self.places[self.link[state]].extend(self.places[state]) if self.link[state] > 0 else None
+        # A state occurs where any state below it in the tree of links does: places in the order of
+        # a walk through the tree, of which every state has a stretch.
+        below: list[list[int]] = [[] for _ in self.link]
+        for state in range(1, len(self.link)):
+            below[self.link[state]].append(state)
+        self.order: list[tuple[int, int]] = []
+        self.stretch = [(0, 0)] * len(self.link)
+        begin, path = [0] * len(self.link), [(0, False)]
+        while path:
+            state, done = path.pop()
+            if done:
+                self.stretch[state] = (begin[state], len(self.order))
+                continue
+            begin[state] = len(self.order)
+            self.order.extend(ends[state])
+            path.append((state, True))
+            path.extend((child, False) for child in below[state])
+
+    def places(self, state: int) -> list[tuple[int, int]]:
+        """(list, place) of the last token wherever the state occurs."""
+        return self.order[slice(*self.stretch[state])]
 
     def _state(self, length: int, ends: list) -> int:
         self.next.append({})
@@ -199,36 +217,82 @@ class Scanner:
         return found, self.chained(anchors)
 
     def chained(self, anchors: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Spans of templates: matches in order, near each other in the text and going forward in the template."""
-        open_: dict[int, list[int]] = {}  # template: first word, last word, last place in it, words covered
-        spans = []
-
-        def close(template: int) -> None:
-            first, last, _, covered = open_.pop(template)
-            spans.append((self.labels[template], first, last, covered / self.sizes[template]))
+        """Spans of templates: matches in order, near each other in the text and going forward in the template.
 
+        For each template, dynamic programming over its matches (last word, state, words) finds
+        for every one the chain that ends there and covers most words; words that two matches
+        share count once. Chains are taken from the one that covers most down, each match and
+        each stretch of the text once.
+        """
+        matches: dict[int, list[tuple[int, int, int]]] = {}
         for end, state, size in anchors:
-            places: dict[int, list[int]] = {}
-            for template, at in self.automaton.places[state]:
+            for template, at in self.automaton.places(state):
                 if template < len(self.labels):
-                    places.setdefault(template, []).append(at)
-            for template, ends in places.items():
-                if template in open_:
-                    chain = open_[template]
-                    onward = [at for at in ends if at > chain[2]]
-                    if onward and end - size + 1 - chain[1] <= self.max_gap:
-                        at = min(onward)
-                        # Words that both matches hold, in the text or in the template, count once.
-                        shared = max(0, chain[1] - (end - size), chain[2] - (at - size))
-                        chain[1], chain[2], chain[3] = end, at, chain[3] + max(0, size - shared)
-                        continue
-                    close(template)
-                open_[template] = [end - size + 1, end, min(ends), size]
-        for template in list(open_):
-            close(template)
+                    matches.setdefault(template, []).append((end, at, size))
+        spans = []
+        for template, own in sorted(matches.items()):
+            spans += [(self.labels[template], first, last, covered / self.sizes[template]) for first, last, covered in chains(own, self.max_gap)]
         return spans
 
 
+def chains(matches: list[tuple[int, int, int]], max_gap: int) -> list[tuple[int, int, int]]:
+    """(first word, last word, words covered) of the chains of one template's matches, in order of the text.
+
+    `matches` are (last word in the text, last word in the template, words), ends ascending.
+    """
+    best, before = [], []
+    low, longest = 0, max((size for _, _, size in matches), default=0)
+    for i, (end, at, size) in enumerate(matches):
+        # Only matches that end near enough can go before.
+        while low < i and end - matches[low][0] > max_gap + longest:
+            low += 1
+        top, via = size, -1
+        for j in range(low, i):
+            there, place, _ = matches[j]
+            if there < end and place < at and end - size + 1 - there <= max_gap:
+                total = best[j] + size - max(0, there - (end - size), place - (at - size))
+                if total > top:
+                    top, via = total, j
+        best.append(top)
+        before.append(via)
+    taken: list[tuple[int, int, int]] = []
+    used: set[int] = set()
+    ranges = Ranges()
+    for i in sorted(range(len(matches)), key=lambda i: (-best[i], i)):
+        at, chain = i, []
+        while at >= 0 and at not in used and ranges.free(matches[at][0] - matches[at][2] + 1, matches[at][0]):
+            chain.append(at)
+            at = before[at]
+        if not chain:
+            continue
+        # A chain that runs into one that is taken keeps what it covers after that.
+        first = matches[chain[-1]]
+        covered = best[i] - best[chain[-1]] + first[2]
+        used.update(chain)
+        span = (min(matches[c][0] - matches[c][2] + 1 for c in chain), matches[i][0])
+        ranges.take(*span)
+        taken.append((*span, covered))
+    return sorted(taken)
+
+
+class Ranges:
+    """Stretches of words that are taken, none of which touch."""
+
+    def __init__(self):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, first: int, last: int) -> bool:
+        at = bisect_right(self.begins, last)
+        return not at or self.ends[at - 1] < first
+
+    def take(self, first: int, last: int) -> None:
+        low, high = bisect_left(self.ends, first), bisect_right(self.begins, last)
+        if low < high:
+            first, last = min(first, self.begins[low]), max(last, self.ends[high - 1])
+        self.begins[low:high], self.ends[low:high] = [first], [last]
+
+
 SPAN = T.StructType(
     [
         T.StructField("label", T.StringType()),

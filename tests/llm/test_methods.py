@@ -1,5 +1,6 @@
 """Every operator against a brute-force version, the public library, SQL or held-out accuracy."""
 
+import itertools
 import random
 import re
 import zlib
@@ -250,7 +251,47 @@ def test_matching_statistics_against_brute_force():
         longest = max(k for k in range(end + 2) if not k or inside(text[end + 1 - k : end + 1]))
         assert length == longest
         if length:
-            assert sorted(automaton.places[state]) == sorted(inside(text[end + 1 - length : end + 1]))
+            assert sorted(automaton.places(state)) == sorted(inside(text[end + 1 - length : end + 1]))
+
+
+def test_chains_cover_as_much_as_any():
+    """The first chain is the best of all there are; the others take what is left, no word twice."""
+
+    def covered(chain, gap):
+        total = 0
+        for i, (end, at, size) in enumerate(chain):
+            if not i:
+                total = size
+                continue
+            there, place, _ = chain[i - 1]
+            if not (there < end and place < at and end - size + 1 - there <= gap):
+                return -1
+            total += size - max(0, there - (end - size), place - (at - size))
+        return total
+
+    pick = random.Random(11)
+    for _ in range(300):
+        matches = sorted((pick.randint(5, 60), pick.randint(5, 30), pick.randint(2, 5)) for _ in range(pick.randint(0, 9)))
+        gap = pick.randint(0, 8)
+        found = licenses.chains(matches, gap)
+        every = [c for k in range(1, len(matches) + 1) for c in itertools.combinations(matches, k)]
+        assert max((n for _, _, n in found), default=0) == max((covered(c, gap) for c in every), default=0)
+        words = [w for first, last, _ in found for w in range(first, last + 1)]
+        assert len(words) == len(set(words))
+
+
+def test_a_match_goes_on_after_one_that_does_not_fit():
+    """A stray run from the template's beginning lies between its two halves; then the template twice in a row."""
+    template = " ".join(f"t{i}" for i in range(60))
+    scanner = licenses.Scanner(templates=(("own", template),), phrases=())
+    numbers = [scanner.vocabulary[w] for w in template.split()]
+    torn = [(0, numbers[:30]), (31, numbers[2:8]), (38, numbers[30:])]
+    assert scanner.scan(torn)[1] == [("own", 0, 67, 1.0)]
+    assert scanner.scan([(0, numbers + numbers)])[1] == [("own", 0, 59, 1.0), ("own", 60, 119, 1.0)]
+    # A thousand copies are a thousand spans, and long templates need no square of memory.
+    assert len(scanner.scan([(0, numbers * 1000)])[1]) == 1000
+    long = licenses.Scanner(templates=(("long", " ".join(f"u{i % 97} v{i % 101}" for i in range(3000))),), phrases=())
+    assert len(long.automaton.order) == 6000
 
 
 def test_licenses(spark, docs, local):
