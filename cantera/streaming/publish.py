@@ -9,7 +9,8 @@ overwrites its own folder, and the checkpoint records it only after the write.
 
 A song's two vectors may come from two streams, in any order and far apart: `publish_pairs`
 keeps the half that came first in the state store until the other one arrives. Every batch
-can leave its counts beside the log (`published_counts`).
+can leave its counts beside the log (`published_counts`), and `counters.RunCounters` says how
+many rows have arrived while a stream runs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cantera.operators.relational import absent, first_per_key
 from cantera.session import exists, new_path
 from cantera.sources.points import of_widths, to_points
+from cantera.streaming.counters import counted
 from cantera.tables import SCHEMAS
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -117,7 +119,7 @@ def waiting(lyrics: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def _started(rows: DataFrame, append: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counted(rows).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _appender(

@@ -192,6 +192,44 @@ def test_counts_are_one_row_per_batch_and_repeat_safely(spark, places):
     assert [tuple(r) for r in rows] == [(0, 3, 1, 2), (1, 3, 1, 2)]
 
 
+def until(told, seconds=30):
+    """Events of streams come by themselves, soon after what they tell."""
+    import time
+
+    end = time.time() + seconds
+    while not told() and time.time() < end:
+        time.sleep(0.1)
+    assert told()
+
+
+def test_counters_tell_while_streams_run_and_how_they_end(spark, places):
+    from cantera.streaming.counters import RunCounters
+
+    source, target, checkpoint = places
+    counters = RunCounters()
+    spark.streams.addListener(counters)
+    try:
+        songs(spark, *[song(i, f"s{i}", [[1.0]]) for i in range(9)]).repartition(3).write.parquet(source)
+        query = publish.publish_stream(spark, source, SONG, target, checkpoint, max_files=1)
+        query.awaitTermination()
+        run = str(query.runId)
+        until(lambda: run in counters.totals() and not counters.totals()[run][2])
+        assert counters.totals()[run] == (3, 9, False, None)
+
+        def broken(batch):
+            raise ValueError("no model")
+
+        query = publish.publish_stream(spark, source, SONG, target, new_path(spark, "checkpoint"), prepare=broken)
+        with pytest.raises(Exception, match="no model"):
+            query.awaitTermination()
+        failed = str(query.runId)
+        until(lambda: failed in counters.totals() and not counters.totals()[failed][2])
+        rows = {r.run: r for r in counters.table(spark).collect()}
+        assert rows[failed].rows == 0 and "no model" in rows[failed].error and rows[run].rows == 9
+    finally:
+        spark.streams.removeListener(counters)
+
+
 def test_vectors_of_the_first_batch_are_made_once(spark, places):
     """The widths come from what was written, not from a second pass over the lyrics."""
     source, target, checkpoint = places
