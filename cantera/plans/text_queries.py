@@ -407,15 +407,26 @@ def fill_mbid(spark, folder):
 
 @query(
     "vectorise_missing",
-    """
-SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 1024 END::BIGINT AS width, doc_id % 3 = 0 AS kept FROM documents
+    f"""
+WITH words AS (SELECT id, string_split(words, ' ') AS words FROM ({S.prepared_sql('documents', 'doc_id', 'text')}) WHERE words <> ''),
+w AS ({S.hashed_sql('words', 'words')})
+SELECT doc_id AS id, doc_id % 3 = 0 AS kept, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 1024 END::BIGINT AS width,
+       CASE WHEN doc_id % 3 = 0 THEN 49 ELSE coalesce(sum(weight * weight), 0) END::BIGINT AS norm2,
+       CASE WHEN doc_id % 3 = 0 THEN 7 ELSE coalesce(sum(weight * (bucket + 1)), 0) END::BIGINT AS placed
+FROM documents LEFT JOIN w ON id = doc_id GROUP BY doc_id
 """,
 )
 def vectorise_missing(spark, folder):
-    """Every third song has a vector already, which stays."""
+    """Every third song has a vector already, which stays; the others' entries are summed by value and by place."""
     stored = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(7.0).cast("float")))
     songs = texts(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("letra"), stored.alias("letra_vec"))
     done = catalogue.vectorise_missing(songs)
+    placed = F.transform("letra_vec", lambda x, i: x.cast("double") * (i + 1))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x).cast("long")
     return done.select(
-        "id", F.size("letra_vec").cast("long").alias("width"), F.coalesce(F.get("letra_vec", F.lit(0)) == 7.0, F.lit(False)).alias("kept")
+        "id",
+        F.coalesce(F.get("letra_vec", F.lit(0)) == 7.0, F.lit(False)).alias("kept"),
+        F.size("letra_vec").cast("long").alias("width"),
+        total(F.transform("letra_vec", lambda x: x.cast("double") * x.cast("double"))).alias("norm2"),
+        total(placed).alias("placed"),
     )
