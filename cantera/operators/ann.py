@@ -17,9 +17,14 @@ from pyspark.sql import functions as F
 from cantera.operators import knn as K
 
 
-def fit_cells(points: DataFrame, vector: str, cells: int, seed: int = 7, iterations: int = 10) -> np.ndarray:
-    """Centres of `cells` clusters of the unit vectors."""
-    features = points.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+# Points that centres are fitted to: those whose hashed vectors are smallest.
+SAMPLE = 50_000
+
+
+def fit_cells(points: DataFrame, vector: str, cells: int, seed: int = 7, iterations: int = 10, sample: int = SAMPLE) -> np.ndarray:
+    """Centres of `cells` clusters of the unit vectors of up to `sample` points."""
+    drawn = points.filter(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(F.lit(seed), vector)).limit(sample)
+    features = drawn.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(features)
     return np.array(model.clusterCenters())
 

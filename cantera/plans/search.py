@@ -156,7 +156,7 @@ def with_payload(ranked: DataFrame, points: DataFrame, small: bool = False) -> D
     return _fetched(songs, ranked, "id", small).withColumn("score", F.round("score", 4)).select("qid", "id", "lists", *RESULT)
 
 
-def displayed(results: DataFrame, absent: str = "N/A") -> DataFrame:
-    """Results as shown: an absent field reads `absent`."""
-    shown = ("album", "genre", "key", "bpm", "mbid", "link")
-    return results.withColumns({name: F.coalesce(F.col(name).cast("string"), F.lit(absent)) for name in shown})
+def displayed(results: DataFrame, absent: str = "N/A", no_lyric: str = "Letra no disponible.") -> DataFrame:
+    """Results as shown: an absent field reads `absent`, an absent lyric `no_lyric`."""
+    shown = {name: absent for name in ("album", "genre", "key", "bpm", "mbid", "link")} | {"letra": no_lyric}
+    return results.withColumns({name: F.coalesce(F.col(name).cast("string"), F.lit(text)) for name, text in shown.items()})

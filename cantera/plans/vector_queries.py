@@ -351,6 +351,20 @@ def fused_search(spark, folder):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    "search_displayed",
+    f"""
+SELECT qid, rank, artist, title, coalesce(album, 'N/A') AS album, coalesce(genre, 'N/A') AS genre, coalesce(key, 'N/A') AS key,
+       coalesce(bpm::VARCHAR, 'N/A') AS bpm, coalesce(mbid, 'N/A') AS mbid, coalesce(link, 'N/A') AS link,
+       coalesce(letra, 'Letra no disponible.') AS letra, score
+FROM ({fused_sql(S.REQUESTS_SQL)})
+""",
+)
+def search_displayed(spark, folder):
+    """The same results with what is shown for a field that is not there."""
+    return search.displayed(fused_search(spark, folder)).drop("id", "lists")
+
+
 # Of ten requests one is cut off, one has no phrase, one asks for a genre that no song has,
 # and one for a tempo with a decimal point.
 ANSWERABLE_SQL = f"""
