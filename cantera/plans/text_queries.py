@@ -187,6 +187,22 @@ def hits_explode(spark, folder):
     return responses.explode_hits(found, "body", "response.hits", "result.title", ("conv_id", "turn"), "cancion")
 
 
+@query(
+    "hits_unusable",
+    """
+SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 'empty' WHEN role = 'assistant' THEN 'no JSON' ELSE 'no list' END AS reason
+FROM conversations WHERE turn % 4 = 3 OR role <> 'user'
+""",
+)
+def hits_unusable(spark, folder):
+    """Some responses are empty, some cut off, and some answer something else."""
+    turns = read(spark, folder, "conversations", "conv_id", "turn", "role")
+    found = search_responses(spark, folder).join(turns, ["conv_id", "turn"])
+    body = F.when(F.col("turn") % 4 == 3, F.lit(None)).when(F.col("role") == "assistant", F.substring("body", 1, 20))
+    body = body.when(F.col("role") == "system", F.lit('{"response": {"status": 200}}')).otherwise(F.col("body"))
+    return responses.unusable(found.withColumn("body", body), "body", "response.hits", ("conv_id", "turn"))
+
+
 @query(
     "first_hit",
     """

@@ -50,6 +50,21 @@ def explode_hits(
     return rows.filter(F.col(into) != "")
 
 
+def unusable(responses: DataFrame, response: str, path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(`keep`, `reason`) of the responses that `explode_hits` can take nothing from, for the rejected rows.
+
+    There is no text, it is no JSON, or it has no list at `path`; an empty list is an answer.
+    """
+    text = F.col(response)
+    listed = F.try_variant_get(F.try_parse_json(text), f"$.{path}", "array<variant>")
+    reason = (
+        F.when(F.coalesce(text, F.lit("")) == "", "empty")
+        .when(F.try_parse_json(text).isNull(), "no JSON")
+        .when(listed.isNull(), "no list")
+    )
+    return responses.select(*keep, reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def first_hit(
     responses: DataFrame, response: str, path: str, fields: dict[str, str], keep: Sequence[str] = ()
 ) -> DataFrame:

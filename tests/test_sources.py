@@ -219,3 +219,12 @@ def test_documents_as_variant(spark):
     variants.land(rows.limit(1), "document", path)
     assert variants.read(spark, path).count() == len(documents) + 1
     assert variants.flatten_features(landed.limit(0)).count() == 0
+
+
+def test_responses_that_give_nothing_are_named(spark):
+    from cantera.sources import responses
+
+    bodies = ['{"a": {"hits": [{"t": "x"}]}}', '{"a": {"hits": []}}', '{"a": {"hits": null}}', '{"a": {"hits": 3}}', '{"a": 1}', "[]", "{", "", None]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "id INT, body STRING")
+    got = {r.id: r.reason for r in responses.unusable(rows, "body", "a.hits", ("id",)).collect()}
+    assert got == {2: "no list", 3: "no list", 4: "no list", 5: "no list", 6: "no JSON", 7: "empty", 8: "empty"}
