@@ -35,7 +35,7 @@ def grams(lowered: Column, lengths: range) -> Column:
 
     each = [of(length) for length in lengths]
     # A name that is too short for a length gives a shorter piece, which another length has as well.
-    return F.array_remove(F.array_distinct(F.concat(*each)), "")
+    return F.array_distinct(F.concat(*each))
 
 
 def build(names: DataFrame, id: str, name: str, path: str) -> Index:
@@ -43,7 +43,9 @@ def build(names: DataFrame, id: str, name: str, path: str) -> Index:
     rows = names.filter(F.col(name).isNotNull()).select(F.col(id).alias("id"), F.col(name).alias("name"))
     rows.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/names")
     kept = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/names")
-    postings = kept.select(F.explode(grams(F.lower("name"), range(1, LONGEST + 1))).alias("gram"), "id").distinct()
+    # Every name contains the empty text, which has a list like any other.
+    pieces = F.array_union(F.array(F.lit("")), grams(F.lower("name"), range(1, LONGEST + 1)))
+    postings = kept.select(F.explode(pieces).alias("gram"), "id").distinct()
     # Sorted by both: a list that a third of the names are on fills several files, and no task.
     postings.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{path}/postings")
     stored = rows.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings")
@@ -66,7 +68,7 @@ def contains(index: Index, wanted: DataFrame, key: str, part: str) -> DataFrame:
     """
     asked = wanted.filter(F.col(part).isNotNull()).select(F.col(key).alias("_key"), F.lower(F.col(part)).alias("_part")).distinct()
     cut = F.when(F.char_length("_part") >= LONGEST, grams(F.col("_part"), range(LONGEST, LONGEST + 1))).otherwise(F.array("_part"))
-    cuts = asked.filter("_part <> ''").select("_key", "_part", F.explode(cut).alias("gram"))
+    cuts = asked.select("_key", "_part", F.explode(cut).alias("gram"))
     sized = cuts.join(index.lists, "gram", "left")
     rarest = Window.partitionBy("_key", "_part").orderBy(F.asc_nulls_first("n"), "gram")
     # A substring that no name has leaves a list that nothing is on.
@@ -75,9 +77,7 @@ def contains(index: Index, wanted: DataFrame, key: str, part: str) -> DataFrame:
     met = chosen.join(index.postings, "gram").groupBy("_key", "_part", "id").agg(F.count(F.lit(1)).alias("_on"), F.first("_lists").alias("_lists"))
     candidates = met.filter("_on = _lists").select("_key", "_part", "id")
     found = candidates.join(index.names, "id").filter(F.contains(F.lower("name"), F.col("_part")))
-    # An empty text is the same question for everybody.
-    every = asked.filter("_part = ''").select("_key", F.lit(1).alias("_all")).join(index.names.withColumn("_all", F.lit(1)), "_all")
-    return found.select("_key", "id", "name").unionByName(every.select("_key", "id", "name")).withColumnRenamed("_key", key)
+    return found.select("_key", "id", "name").withColumnRenamed("_key", key)
 
 
 def look_up(index: Index, part: str, most: int = 10_000) -> DataFrame:

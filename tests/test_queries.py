@@ -20,7 +20,7 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_only_the_iterative_query_lacks_sql():
-    assert set(QUERIES) - set(SQL) == {"ann_knn"}
+    assert set(QUERIES) - set(SQL) == {"learned_embedding"}
 
 
 def test_entry(spark):
