@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 LONGEST = 3
 # Lists of a text that are intersected: the rarest ones.
 LISTS = 4
+# So many times as long as the shortest one a list may be to be worth it.
+LONGER = 4
+# Candidates that are read by their ids: as a filter, so many can be pushed down to the file.
+READ_BY_ID = 200
 
 
 @dataclass
@@ -72,7 +76,9 @@ def contains(index: Index, wanted: DataFrame, key: str, part: str) -> DataFrame:
     sized = cuts.join(index.lists, "gram", "left")
     rarest = Window.partitionBy("_key", "_part").orderBy(F.asc_nulls_first("n"), "gram")
     # A substring that no name has leaves a list that nothing is on.
-    chosen = sized.withColumn("_place", F.row_number().over(rarest)).filter(F.col("_place") <= LISTS)
+    chosen = sized.withColumn("_place", F.row_number().over(rarest)).withColumn("_least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("_key", "_part")))
+    # A list much longer than the shortest costs more than it leaves out.
+    chosen = chosen.filter((F.col("_place") <= LISTS) & (F.coalesce("n", F.lit(0)) <= LONGER * F.col("_least")))
     chosen = chosen.withColumn("_lists", F.count(F.lit(1)).over(Window.partitionBy("_key", "_part"))).select("_key", "_part", "_lists", "gram")
     met = chosen.join(index.postings, "gram").groupBy("_key", "_part", "id").agg(F.count(F.lit(1)).alias("_on"), F.first("_lists").alias("_lists"))
     candidates = met.filter("_on = _lists").select("_key", "_part", "id")
@@ -80,7 +86,7 @@ def contains(index: Index, wanted: DataFrame, key: str, part: str) -> DataFrame:
     return found.select("_key", "id", "name").withColumnRenamed("_key", key)
 
 
-def look_up(index: Index, part: str, most: int = 10_000) -> DataFrame:
+def look_up(index: Index, part: str, most: int = READ_BY_ID) -> DataFrame:
     """(`id`, `name`) of the names that contain one text.
 
     Its lists are read by name, which the stored order answers from few pages, and so are the
@@ -93,7 +99,7 @@ def look_up(index: Index, part: str, most: int = 10_000) -> DataFrame:
     known = {r.gram: r.n for r in index.lists.filter(F.col("gram").isin(pieces)).collect()}
     if len(known) < len(pieces):
         return index.names.filter(F.lit(False))
-    rarest = sorted(known, key=lambda gram: (known[gram], gram))[:LISTS]
+    rarest = [gram for gram in sorted(known, key=lambda gram: (known[gram], gram))[:LISTS] if known[gram] <= LONGER * min(known.values())]
     on = index.postings.filter(F.col("gram").isin(rarest)).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     candidates = on.filter(F.col("n") == len(rarest)).select("id")
     same = F.contains(F.lower("name"), F.lower(F.lit(part)))
