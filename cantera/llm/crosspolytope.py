@@ -2,9 +2,9 @@
 
 Fast Hadamard rotations with random signs turn a unit vector, and its nearest signed axis is
 its cell. Every table has rotations of its own. A query looks into the cells of its nearest
-axes in every table, and whatever it meets there is ranked by exact products. What angles
-cannot say is met by all queries: few vectors, long ones, and everything for a query that
-found too little.
+axes in every table, as many as hold some number of vectors, and whatever it meets there is
+ranked by exact products. What angles cannot say is met by all queries: long vectors, and
+everything for a query that found too little.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ POINTS_AT_ONCE, QUERIES_AT_ONCE = 4096, 1024
 PRODUCTS_AT_ONCE = 1 << 21
 # Lengths that differ less than this are one length.
 SAME_NORM = 1e-4
-# Up to so many different vectors are ranked without tables.
+# A query looks into cells that hold about so many different vectors in each table, if there are as many.
 EXACT_CLASSES = 4096
 # Where lengths differ, the share of the longest vectors that every query meets.
 LONGEST_SHARE = 0.12
@@ -72,8 +72,8 @@ def usable(vector: str) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _spotted(vectors: DataFrame, query: bool, tables: int, probes: float, seed: int) -> DataFrame:
-    """`vectors` (class, size, vector) with one row per cell, `spot`."""
+def _spotted(vectors: DataFrame, query: bool, tables: int, seed: int) -> DataFrame:
+    """`vectors` (class, size, vector, and `reach`, the share of the cells that a query of this size looks into) with one row per cell, `spot`."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,12 +81,12 @@ def _spotted(vectors: DataFrame, query: bool, tables: int, probes: float, seed:
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
                 matrix = part.column("vector").flatten().to_numpy().astype(float).reshape(-1, int(size))
-                spots = cells(matrix, query, tables, probes, seed)
+                spots = cells(matrix, query, tables, part.column("reach")[0].as_py(), seed)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(spots) + 1) * spots.shape[1], pa.int32()), pa.array(spots.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("class", "size", "vector")), flat], names=["class", "size", "vector", "spots"])
 
-    rows = vectors.select("class", "size", "vector")
-    schema = T.StructType([*rows.schema, T.StructField("spots", T.ArrayType(T.IntegerType()))])
+    rows = vectors.select("class", "size", "vector", "reach")
+    schema = T.StructType([*rows.drop("reach").schema, T.StructField("spots", T.ArrayType(T.IntegerType()))])
     return rows.mapInArrow(place, schema).select("class", "size", "vector", F.explode("spots").alias("spot"))
 
 
@@ -187,10 +187,12 @@ def nearest(
     copies is hashed and ranked once. Cells with many points or queries are met in parts.
     Other columns, whatever their names, have no effect. An empty table gives an empty one.
 
-    Three things are exact beside the tables: up to `exact_classes` different vectors of a size
-    are all met; where lengths differ, the longest tenth of the vectors is met by every query,
-    since angles say little about their products; and a query that found fewer than it could
-    is ranked again against everything.
+    In every table a query looks into the share `probes` of the cells, or into the larger share
+    that holds about `exact_classes` different vectors. So the fewer vectors there are, the more
+    cells are looked into, in one rule for every number of them, and up to `exact_classes` all
+    are met. Two things are exact beside the tables: where lengths differ, the longest tenth of
+    the vectors is met by every query, since angles say little about their products; and a
+    query that found fewer than it could is ranked again against everything.
     """
     own = vectors.select(F.col(f"`{id}`").alias("id"), F.col(f"`{vector}`").alias("vector"), queries.alias("asks"))
     own = own.where(usable("vector") & F.col("id").isNotNull())
@@ -208,13 +210,13 @@ def nearest(
         F.count(F.lit(1)).alias("classes"), F.expr(f"percentile_approx(norm, {1 - LONGEST_SHARE}, 1000)").alias("bound"), F.min("norm").alias("smallest")
     )
     rows_of = own.groupBy(F.size("vector").alias("of_rows")).agg(F.count(F.lit(1)).alias("rows"))
-    known = classes.join(scale, F.col("size") == F.col("of")).withColumn("few", F.col("classes") <= exact_classes)
+    known = classes.join(scale, F.col("size") == F.col("of")).withColumn("reach", F.least(F.lit(1.0), F.greatest(F.lit(float(probes)), exact_classes / F.col("classes"))))
     asked = own.where("asks").select("vector").distinct().withColumnRenamed("vector", "asked")
     searching = known.join(asked, F.col("vector") == F.col("asked"), "left_semi").checkpoint()
     # Lengths that are all alike make no vector long.
-    long = F.col("few") | ((F.col("norm") > F.col("bound") * (1 + SAME_NORM)) | ((F.col("norm") >= F.col("bound")) & (F.col("bound") > F.col("smallest") * (1 + SAME_NORM))))
-    points = _spotted(known.where(~F.col("few")), False, tables, probes, seed).unionByName(_everywhere(known.where(long)))
-    seekers = _spotted(searching.where(~F.col("few")), True, tables, probes, seed).unionByName(_everywhere(searching)).checkpoint()
+    long = (F.col("norm") > F.col("bound") * (1 + SAME_NORM)) | ((F.col("norm") >= F.col("bound")) & (F.col("bound") > F.col("smallest") * (1 + SAME_NORM)))
+    points = _spotted(known, False, tables, seed).unionByName(_everywhere(known.where(long)))
+    seekers = _spotted(searching, True, tables, seed).unionByName(_everywhere(searching)).checkpoint()
 
     def lists(met: DataFrame) -> DataFrame:
         """The `most` best rows of each class of queries, in order."""
@@ -227,10 +229,10 @@ def nearest(
         rows = rows.withColumn("n", F.expr("row_number() OVER (PARTITION BY query, query_hash ORDER BY score DESC, vec_id)"))
         return rows.where(f"n <= {most}").groupBy("query", "query_hash").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
 
-    owner = searching.select(F.col("class.id").alias("query"), F.col("class.hash").alias("query_hash"), F.col("vector").alias("of_class"), "class", "size", "few")
+    owner = searching.select(F.col("class.id").alias("query"), F.col("class.hash").alias("query_hash"), F.col("vector").alias("of_class"), "class", "size")
     answered = owner.join(lists(_met(points, seekers, most)), ["query", "query_hash"], "left").checkpoint()
     lacking = F.coalesce(F.size("found"), F.lit(0)) < F.least(F.lit(most), F.col("rows"))
-    short = answered.where(~F.col("few")).join(F.broadcast(rows_of), F.col("size") == F.col("of_rows")).where(lacking).select("class", "size", F.col("of_class").alias("vector")).checkpoint()
+    short = answered.join(F.broadcast(rows_of), F.col("size") == F.col("of_rows")).where(lacking).select("class", "size", F.col("of_class").alias("vector")).checkpoint()
     if not short.isEmpty():
         again = lists(_met(_everywhere(known), _everywhere(short), most)).select("query", "query_hash", F.col("found").alias("all_found"))
         answered = answered.join(again, ["query", "query_hash"], "left").withColumn("found", F.coalesce("all_found", "found"))

@@ -427,6 +427,13 @@ def test_few_vectors_are_all_met(spark, n):
     assert recall_of(spark, np.arange(n), clustered(n, n)) == (1.0, 1.0)
 
 
+def test_neighbours_do_not_switch_with_the_number_of_vectors(spark):
+    """One vector more than are all met changes the cells that are looked into by next to nothing."""
+    options = {"exact_classes": 240, "tables": 1, "probes": 0.05}
+    assert recall_of(spark, np.arange(240), clustered(5, 240), **options) == (1.0, 1.0)
+    assert recall_of(spark, np.arange(241), clustered(5, 241), **options)[0] >= 0.99
+
+
 def test_queries_that_found_too_little_are_ranked_again(spark):
     """Vectors in opposite corners: the cells of most queries hold nearly nothing."""
     pick = np.random.default_rng(3)
