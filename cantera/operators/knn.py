@@ -23,9 +23,10 @@ MAX_QUERIES = 4096
 MAX_QUERY_BYTES = 128 << 20
 # Results per query that these bounds are meant for; more of them lower the number of queries.
 TOP = 5
-# Points multiplied at once, and numbers held at once while candidates are scored exactly.
+# Points multiplied at once, numbers of their vectors, and numbers held at once while candidates are scored exactly.
 CHUNK = 2048
-SCORING = 1 << 22
+POINT_NUMBERS = 1 << 20
+SCORING = 1 << 20
 # Beyond the bounds: cells that points lie in, points that a first bound comes from, bytes of a tile's points.
 CELLS = 64
 SAMPLE = 2048
@@ -289,9 +290,13 @@ def _broadcasted(spark, small, points, k, filters, qid, id, key_type) -> DataFra
         lists = [(name, vector, Best(queries, k)) for name, vector, queries in shared.value]
         for batch in batches:
             for _, vector, best in lists:
-                part = batch.filter(pc.is_valid(batch.column(vector)))
-                ids = part.column(id).to_numpy(zero_copy_only=False)
-                best.see(ids, _matrix(part.column(vector)), [part.column(name) for name in filters])
+                # A few points at a time become doubles, whatever the size of the batch.
+                step = max(64, min(CHUNK, POINT_NUMBERS // max(1, best.queries.vectors.shape[1])))
+                for first in range(0, batch.num_rows, step):
+                    some = batch.slice(first, step)
+                    part = some.filter(pc.is_valid(some.column(vector)))
+                    ids = part.column(id).to_numpy(zero_copy_only=False)
+                    best.see(ids, _matrix(part.column(vector)), [part.column(name) for name in filters])
         for name, _, best in lists:
             yield _hits(name, best, qid, id)
 

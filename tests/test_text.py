@@ -143,3 +143,28 @@ def test_titles_with_odd_characters_are_filled(spark):
     titles = ["Normal", "with\nnewline", "with\t\ttabs", "with 'quotes'", 'with "double"', "", None]
     got = {r.id: r.ok for r in column(spark, titles).select("id", C.is_filled(F.col("t")).alias("ok")).collect()}
     assert [got[i] for i in range(7)] == [True] * 5 + [False] * 2
+
+
+def test_batches_are_taken_in_slices(spark):
+    """What a task holds does not follow the size of Spark's batches: results are given on slice by slice."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cantera.functions import batches, stopwords
+    from cantera.operators import embedding
+
+    texts = pa.array(["the cat and the dog" if i % 7 else None for i in range(3000)])
+    places = pa.array(["en"] * 3000)
+    steps = {
+        "vote": stopwords.vote.func(iter([texts])),
+        "remove": stopwords.remove.func(iter([(texts, places)])),
+        "both": stopwords.vote_and_remove.func(iter([texts])),
+        "hashed": embedding._hashed(64).func(iter([texts])),
+        "model": embedding._modelled(lambda: lambda some: np.ones((len(some), 2))).func(iter([texts])),
+    }
+    for name, step in steps.items():
+        parts = list(step)
+        assert max(len(part) for part in parts) <= batches.TEXTS_AT_ONCE, name
+        whole = pa.concat_arrays(parts)
+        assert len(whole) == 3000 and (name == "vote" or whole.null_count == texts.null_count), name
+    assert [len(part) for part in batches.slices(pa.array(["a" * 10, "b" * 10, "c" * 30, ""]), 20)] == [2, 1, 1]
