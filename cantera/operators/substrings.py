@@ -1,9 +1,10 @@
 """Names that contain a text, found through postings of their short substrings.
 
-Every name is listed under each of its substrings of one, two and three characters, in lower
-case. A text that is looked for is cut into its three-character substrings (a shorter one is
-one substring), the lists of the rarest are intersected, and only the names on all of them are
-read and compared. A search costs what its lists and its answer hold, not what the table holds.
+Every name is listed under each of its substrings of one to six characters, in lower case. A
+text that is looked for is cut into its six-character substrings (a shorter one is one
+substring), the lists of the rarest are intersected, and only the names on all of them are
+read and compared. A search costs what its lists and its answer hold, not what the table holds;
+up to six characters, the one list is the answer.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LONGEST = 3
+LONGEST = 6
 # Lists of a text that are intersected: the rarest ones.
 LISTS = 4
 # So many times as long as the shortest one a list may be to be worth it.

@@ -384,3 +384,13 @@ def test_upsert_leaves_stored_rows_in_place(spark):
     merged = R.upsert(stored, new, "id", [F.desc("state")])
     got = {r.id: r.state for r in merged.collect()}
     assert got == {**{i: "old" for i in range(50)}, 3: "newer", 60: "new", None: "new"} and merged.count() == 52
+
+
+def test_texts_of_up_to_six_characters_have_the_list_of_their_answer(spark):
+    from cantera.operators import substrings
+    from cantera.session import new_path
+
+    rows = spark.range(500).selectExpr("id", "concat('Customer#', lpad(id, 9, '0')) AS name")
+    index = substrings.build(rows, "id", "name", new_path(spark, "substrings"))
+    listed = sorted(r.id for r in index.postings.filter("gram = '000012'").collect())
+    assert listed == [12, *range(120, 130)] == sorted(r.id for r in substrings.look_up(index, "000012").collect())
