@@ -19,11 +19,25 @@ from cantera.operators import knn as K
 
 # Points that centres are fitted to: those whose hashed vectors are smallest.
 SAMPLE = 50_000
+# Bits that a hash is shifted to get its range: one of 4,096.
+RANGE_BITS = 52
+
+
+def smallest_hashes(points: DataFrame, vector: str, sample: int, seed: int) -> DataFrame:
+    """(`vector`, `hash`) of the ranges of hashes that hold the `sample` smallest, so that little more than these is put in order."""
+    hashed = points.filter(F.col(vector).isNotNull()).select(vector, F.xxhash64(F.lit(seed), vector).alias("hash"))
+    part = F.shiftright("hash", RANGE_BITS)
+    held = 0
+    for row in sorted(hashed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        held += row.n
+        if held >= sample:
+            return hashed.filter(part <= row.part)
+    return hashed
 
 
 def fit_cells(points: DataFrame, vector: str, cells: int, seed: int = 7, iterations: int = 10, sample: int = SAMPLE) -> np.ndarray:
     """Centres of `cells` clusters of the unit vectors of up to `sample` points."""
-    drawn = points.filter(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(F.lit(seed), vector)).limit(sample)
+    drawn = smallest_hashes(points, vector, sample, seed).orderBy("hash").limit(sample)
     features = drawn.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine").fit(features)
     return np.array(model.clusterCenters())

@@ -396,3 +396,12 @@ def test_an_index_of_nothing(spark):
     assert pq.fit(p.limit(0), "v") is None
     index = quantised(spark, p, parts=2)
     assert found(pq.search(q, index, 3, 1, 5)) == {1: [(1, 1.0)]} and pq.search(q.limit(0), index, 3, 1, 5).count() == 0
+
+
+def test_centres_order_little_more_than_their_sample(spark):
+    from cantera.operators import ann
+
+    points = spark.range(5000).selectExpr("id", "array(cast(id AS float), 1f, cast(id % 7 AS float)) AS v")
+    kept = ann.smallest_hashes(points, "v", 100, 7)
+    hashed = sorted(r.h for r in points.selectExpr("xxhash64(7, v) AS h").collect())
+    assert [r.hash for r in kept.orderBy("hash").limit(100).collect()] == hashed[:100] and kept.count() < 200
