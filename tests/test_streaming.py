@@ -297,3 +297,17 @@ def test_two_progress_streams_share_a_target(spark):
         stream = spark.readStream.schema(UPDATES).parquet(source).filter(F.col("task_type") == stage)
         progress.progress_stream(stream, ["n"], target, new_path(spark, "checkpoint")).awaitTermination()
     assert as_dict(progress.streamed_progress(spark, target, stream, ["n"])) == WANT
+
+
+def test_batches_that_are_counted_come_in_several_files(spark, tmp_path, monkeypatch):
+    from cantera.plans import stream_queries
+
+    ids = spark.range(40)
+    docs = ids.selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "'s' AS source")
+    docs.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    ids.selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    ids.filter("id < 30").selectExpr("id AS vec_id", "array(1f, 2f) AS embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(stream_queries, "new_path", lambda spark, name: str(tmp_path / "work" / name))
+    rows = stream_queries.stream_counts(spark, str(tmp_path)).collect()
+    assert sorted((r.batch, r.processed, r.published, r.rejected) for r in rows) == [(0, 20, 15, 5), (1, 20, 15, 5)]
+    assert len(list((tmp_path / "work" / "songs").glob("*.parquet"))) > 2
