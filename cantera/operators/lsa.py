@@ -21,6 +21,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cantera.functions.batches import slices
+
 # Words that most texts have, down to so many; with the rank they bound the model: some 20 MB.
 VOCABULARY = 16_384
 RANK, EXTRA = 64, 16
@@ -112,8 +114,7 @@ def fit(
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rarity = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                texts = batch.column(0).slice(at, TEXTS_AT_ONCE)
+            for texts in slices(batch.column(0), most_texts=TEXTS_AT_ONCE):
                 row, word, weight = weights(texts, known, rarity)
                 offsets = np.r_[0, np.cumsum(np.bincount(row, minlength=len(texts)))].astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (word.astype(np.int32), weight)]
