@@ -534,6 +534,46 @@ def test_repeated_runs_do_not_depend_on_the_size_of_a_host(spark):
     assert small == copied == large and sum(map(sum, small.values())) >= 30
 
 
+def test_repeated_runs_judge_articles(spark):
+    shared_folder(spark)
+    notice = "<p>Tell all of your friends to read this paper each week</p>"
+    own = lambda i: " ".join(f"word{i}x{j}" for j in range(30))
+    rows = [(i, f"http://h.example/{i}", f"<nav>n{i}</nav><article><h1>Title {i}</h1><p>{own(i)}</p>{notice if i < 6 else ''}</article>") for i in range(8)]
+    # Two of three articles share a block: fewer pages than a run needs.
+    rows += [(i, f"http://few.example/{i}", f"<article><p>{own(i)}</p>{notice if i > 20 else ''}</article>") for i in range(20, 23)]
+    # Near copies: runs cover most of their words.
+    rows += [(i, f"http://copies.example/{i}", f"<main><p>No {i}</p><p>{own(30)}</p>{notice}</main>") for i in range(30, 35)]
+    rows.append((0, "http://h.example/0", rows[0][2]))
+    result = {r.page_id: r.text for r in extraction.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    line = notice[3:-4]
+    assert all(result[i] == f"Title {i}\n{own(i)}" for i in range(8))
+    assert [result[i] for i in range(20, 23)] == [own(20), f"{own(21)}\n{line}", f"{own(22)}\n{line}"]
+    assert all(result[i] == f"No {i}\n{own(30)}\n{line}" for i in range(30, 35))
+
+
+def test_runs_of_articles_do_not_depend_on_groups(spark):
+    shared_folder(spark)
+    draw = np.random.default_rng(5)
+    texts = []
+    for i in range(60):
+        lines = [" ".join(f"v{v}" for v in draw.integers(0, 4000, 25)) for _ in range(3)]
+        lines += [f"line {k} that stands on a share of the pages é" for k in range(8) if draw.random() < 0.35 + 0.05 * k]
+        texts.append("\n".join(lines))
+    rows = [(i, "u", "h", text) for i, text in enumerate([*texts, *texts[:1] * 40])]
+    read = spark.createDataFrame(rows, "key long, url string, host string, text string")
+    stands = {}
+    for i, text in enumerate(texts):
+        for run in np.unique(extraction.windows(text.split("\n"))[0]).tolist():
+            stands.setdefault(run, set()).add(i)
+    want = sorted(run for run, on in stands.items() if len(on) >= 30)
+    for chars, pages in ((1 << 20, 16), (2000, 16), (300, 1)):
+        (found,) = extraction.article_runs(read, chars, pages).collect()
+        assert found.of == "h" and sorted(found.repeats) == want and want
+        kept = {r.key: r.text for r in extraction.judged(read, chars, pages).collect()}
+        assert all(kept[i] == extraction.rest_of(text, extraction.covered_blocks(text.split("\n"), np.array(want))) for i, text in enumerate(texts)) and kept[0] == kept[60]
+    assert sum(len(kept[i]) < len(text) for i, text in enumerate(texts)) > 30
+
+
 def test_suffix_array():
     stream = np.array([1, 2, 1, 2, 3, 1, 2, 3, 9, 1])
     order, ranks = extraction.suffix_array(stream)
